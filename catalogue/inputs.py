@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.sources.files import spread_scan
+
 WORDS_PER_PAGE = 200
 
 
@@ -16,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The columns of a table, over all task slots even where its files cannot be split."""
+    return spread_scan(table(spark, sf_dir, name).select(*columns))
+
+
+def orders_of_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_table(
+        spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"
+    )
+
+
 def bill_text(vendor: Column) -> Column:
     """A bill for each order: head, body by kind, date line and total line by key modulus."""
     key, price = F.col("o_orderkey"), F.col("o_totalprice")
@@ -66,14 +79,14 @@ def bill_text(vendor: Column) -> Column:
 def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text`` of a bill per order, without a join."""
     vendor = F.concat(F.lit("Trading House "), F.col("o_custkey").cast("string"))
-    return table(spark, sf_dir, "orders").select(
+    return orders_of_bills(spark, sf_dir).select(
         F.col("o_orderkey").alias("doc_id"), bill_text(vendor).alias("text")
     )
 
 
 def customer_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bills headed by the customer name, with the values they were made from."""
-    orders = table(spark, sf_dir, "orders")
+    orders = orders_of_bills(spark, sf_dir)
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return orders.join(customers, orders.o_custkey == customers.c_custkey).select(
         F.col("o_orderkey").alias("doc_id"),
@@ -125,7 +138,7 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     Coordinates follow from the word position so that reading order differs from word order
     and some tokens share a corner.
     """
-    words = table(spark, sf_dir, "documents").select(
+    words = spread_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text")
     )
     on_page = F.col("pos") % WORDS_PER_PAGE
@@ -173,7 +186,8 @@ def xml_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',100;150,'), w, F.lit('"/><polyline points="5,5;7,9"/>'
                                     '<polygon label="dot" points="5,5"/></image>'),
     )
-    return table(spark, sf_dir, "orders").select(element.alias("xml"))
+    orders = spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    return orders.select(element.alias("xml"))
 
 
 def xml_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +225,8 @@ def json_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
               '{"type":"choices","value":{}},{"type":"taxonomy","value":'), taxonomy,
         F.lit("}]}]}"),
     )
-    return table(spark, sf_dir, "orders").select(task.alias("json"))
+    orders = spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    return orders.select(task.alias("json"))
 
 
 def box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +240,10 @@ def box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("0.25"),
         F.when(key % 23 != 0, F.lit("0.125 7")),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    lines = spread_table(
+        spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity"
+    )
+    return lines.select(
         F.concat(F.lit("img"), key.cast("string")).alias("stem"), text.alias("value")
     )
 
@@ -299,5 +317,5 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["path", "length", "content"],
             )
 
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     return documents.mapInArrow(pack, "path STRING, length BIGINT, content BINARY")

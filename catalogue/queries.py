@@ -43,7 +43,7 @@ from folioflow.streaming.extract import breach_alerts, extract_stream, request_l
 from folioflow.streaming.latency import current_metrics, keep_history
 
 from . import inputs
-from .inputs import table
+from .inputs import spread_table, table
 
 
 # Text ---------------------------------------------------------------------------------
@@ -56,7 +56,7 @@ def classify_keywords(spark, sf_dir):
 
 
 def classify_documents(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    documents = spread_table(spark, sf_dir, "documents", "text")
     typed = documents.select(classify("text").alias("c")).select("c.*")
     return typed.groupBy("doc_type", "confidence").agg(F.count(F.lit(1)).alias("documents"))
 
@@ -97,7 +97,8 @@ def vendor_dictionary(spark, sf_dir):
 
 
 def summarize_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    documents = spread_table(spark, sf_dir, "documents", "doc_id", "text")
+    return documents.select(
         "doc_id", F.array_join(summarize("text"), " | ").alias("summary")
     )
 
@@ -114,7 +115,7 @@ def extract_bills(spark, sf_dir):
 
 
 def extract_corpus(spark, sf_dir):
-    return _flat(extract_documents(table(spark, sf_dir, "documents")))
+    return _flat(extract_documents(spread_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def extract_with_vendor_table(spark, sf_dir):
@@ -407,7 +408,7 @@ def _count_letters(row, task):
 
 
 def guarded_map(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    documents = spread_table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
     done = map_documents(documents, _count_letters, "letters BIGINT", keep=("doc_id",))
     return done.select("doc_id", "success", "error", "letters")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import WHITESPACE_CLASS, bind, matches_near, preceded_by
+from .strings import SPACE, bind, matches_near, preceded_by
 
 # Cue words, window, scores, currency default, number shapes.
 TOTAL_KEYWORDS = ("total", "grand total", "amount due", "balance due")
@@ -17,7 +17,7 @@ PLAIN_SCORE = 0.5
 SUBTOTAL_SCORE = 0.3
 SMALLEST_AMOUNT = 0.01
 CURRENCY = "USD"
-AMOUNT_PREFIX = rf"[$€£₹]?[{WHITESPACE_CLASS}]?"
+AMOUNT_PREFIX = f"[$€£₹]?{SPACE}?"
 GROUPED_NUMBER = r"[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{2})?"
 PLAIN_NUMBER = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]{2})?"
 
@@ -35,11 +35,12 @@ def amount_candidates(
     A subtotal line counts as a total line unless ``penalise_subtotal``.
     """
     number = PLAIN_NUMBER if plain_digits else GROUPED_NUMBER
-    cues = {"near": preceded_by(keywords, window)}
+    # The window ends at the symbol or blank before the number, which starts the match.
+    cues = {"near": preceded_by(keywords, window, AMOUNT_PREFIX)}
     if penalise_subtotal:
-        cues["near"] = preceded_by(keywords, window, unless_after="sub")
-        cues["subtotal"] = preceded_by(["subtotal"], window)
-    found = matches_near(text, AMOUNT_PREFIX, number, **cues)
+        cues["near"] = preceded_by(keywords, window, AMOUNT_PREFIX, unless_after="sub")
+        cues["subtotal"] = preceded_by(["subtotal"], window, AMOUNT_PREFIX)
+    found = matches_near(text, number, "[0-9]", **cues)
 
     def score(hit: Column) -> Column:
         points = F.when(hit["near"] != "", NEAR_SCORE)

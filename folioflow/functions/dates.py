@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import WHITESPACE_CLASS, bind, matches_near, preceded_by
+from .strings import SPACE, bind, matches_near, preceded_by
 
 # Cue words, how far left of a date they may stand, scores, date shapes.
 DATE_KEYWORDS = ("invoice date", "date:", "dated:", "bill date")
@@ -17,7 +17,7 @@ PLAIN_SCORE = 0.5
 DATE_SHAPES = (
     r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}",
     r"[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}",
-    rf"[A-Za-z]{{3}}[{WHITESPACE_CLASS}][0-9]{{1,2}},[{WHITESPACE_CLASS}][0-9]{{4}}",
+    rf"[A-Za-z]{{3}}{SPACE}[0-9]{{1,2}},{SPACE}[0-9]{{4}}",
 )
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -43,17 +43,13 @@ def parse_date(raw: Column, century_pivot: int = 69) -> Column:
         day = F.when(year_first, third).when(day_first, first).otherwise(second)
         return F.when(year != "0000", F.concat_ws("-", year, month, day)).try_cast("date")
 
-    def named(parts: Column) -> Column:
-        months = F.array(*[F.lit(m) for m in MONTHS])
-        month = F.array_position(months, F.lower(parts[0])).cast("string")
-        return F.when(
-            parts[2] != "0000", F.concat_ws("-", parts[2], month, parts[1])
-        ).try_cast("date")
-
-    return F.when(
-        raw.rlike("^[A-Za-z]"),
-        bind(F.split(raw, rf",?[{WHITESPACE_CLASS}]"), named),
-    ).otherwise(bind(F.split(raw, "[/-]"), numeric))
+    months = F.array(*[F.lit(m) for m in MONTHS])
+    month = F.array_position(months, F.lower(F.left(raw, F.lit(3)))).cast("string")
+    day, year = F.regexp_extract(raw, "[0-9]+", 0), F.right(raw, F.lit(4))
+    named = F.when(year != "0000", F.concat_ws("-", year, month, day)).try_cast("date")
+    return F.when(raw.rlike("^[A-Za-z]"), named).otherwise(
+        bind(F.split(F.translate(raw, "-", "/"), "/"), numeric)
+    )
 
 
 def date_candidates(
@@ -64,7 +60,7 @@ def date_candidates(
 ) -> Column:
     """``array<struct<score, position, value>>`` of the parseable candidates in text order."""
     shapes = "(?:" + "|".join(DATE_SHAPES) + ")"
-    found = matches_near(text, "", shapes, near=preceded_by(keywords, window))
+    found = matches_near(text, shapes, shapes, near=preceded_by(keywords, window))
     scored = F.transform(
         found,
         lambda hit, position: F.struct(

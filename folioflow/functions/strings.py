@@ -20,6 +20,10 @@ WHITESPACE_CLASS = (
 )
 
 
+# The same set for Java regular expressions outside classes, faster than a list of ranges.
+SPACE = r"(?U:[\s\x{1c}-\x{1f}])"
+
+
 def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -34,35 +38,49 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def preceded_by(keywords: Sequence[str], window: int, unless_after: str = "") -> str:
+def preceded_by(
+    keywords: Sequence[str], window: int, prefix: str = "", unless_after: str = ""
+) -> str:
     """Regex fragment: some keyword lies wholly within the ``window`` characters to the left.
 
-    The fragment captures one group, empty when no keyword is near. A bounded look-behind
-    reads the characters in place, so a hit costs O(window) wherever it is in the text.
-    A keyword directly following ``unless_after`` does not count.
+    ``prefix`` is what may stand between the window and the value without counting. The
+    fragment captures one group, empty when no keyword is near; a keyword directly following
+    ``unless_after`` does not count. A bounded look-behind reads the characters in place, so a
+    hit costs O(window) wherever it is in the text; the look-ahead on first letters keeps it
+    from trying every keyword at every character.
     """
+    # A keyword that contains another one adds nothing.
+    needed = [k for k in keywords if not any(o != k and o in k for o in keywords)]
+    needed = [k for k in needed if len(k) <= window]
+    initials = "".join(sorted({rf"\x{{{ord(k[0]):x}}}" for k in needed}))
     guard = rf"(?<!\Q{unless_after}\E)" if unless_after else ""
-    contexts = "|".join(
-        rf"{guard}\Q{keyword}\E[\s\S]{{0,{window - len(keyword)}}}"
-        for keyword in keywords
-        if len(keyword) <= window
-    )
-    return rf"(?:(?i:(?<=({contexts}))))?"
+    contexts = "|".join(rf"\Q{k}\E[\s\S]{{0,{window - len(k)}}}" for k in needed)
+    return rf"(?:(?i:(?<=((?=[{initials}]){guard}(?:{contexts})){prefix})))?"
 
 
-def matches_near(text: Column | str, prefix: str, value: str, **cues: str) -> Column:
-    """All non-overlapping matches of ``prefix value``, left to right.
+def matches_near(text: Column | str, value: str, starts: str, **cues: str) -> Column:
+    """All non-overlapping matches of the regex ``value``, left to right.
 
     Returns ``array<struct<value, cue...>>``; each cue is a ``preceded_by`` fragment and its
-    field is non-empty where it holds. ``prefix`` and ``value`` must hold no capturing group.
+    field is non-empty where it holds. ``starts`` is a cheap pattern that holds wherever a
+    value starts. Neither may hold a capturing group. The cues are optional and of zero width,
+    so both scans stop at the same matches; texts without a match are scanned once.
     """
     text = as_column(text)
-    pattern = F.lit(f"(?={prefix}{value}){''.join(cues.values())}{prefix}({value})")
-
-    def group(index: int, name: str) -> Column:
-        return F.regexp_extract_all(text, pattern, F.lit(index)).alias(name)
-
-    return F.arrays_zip(
-        group(len(cues) + 1, "value"),
-        *[group(index, name) for index, name in enumerate(cues, start=1)],
+    cued = F.lit(f"(?={starts}){''.join(cues.values())}{value}")
+    values = F.regexp_extract_all(text, F.lit(f"({value})"), F.lit(1))
+    nothing = F.expr(
+        "CAST(array() AS ARRAY<STRUCT<value: STRING"
+        + "".join(f", {name}: STRING" for name in cues)
+        + ">>)"
+    )
+    groups = [
+        F.regexp_extract_all(text, cued, F.lit(index)).alias(name)
+        for index, name in enumerate(cues, start=1)
+    ]
+    return bind(
+        values,
+        lambda found: F.when(F.size(found) == 0, nothing).otherwise(
+            F.arrays_zip(found.alias("value"), *groups)
+        ),
     )

@@ -29,6 +29,19 @@ def read_files(spark: SparkSession, directory: str, glob: str | None = None) ->
     return reader.load(directory)
 
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Even out a scan that yields fewer partitions than there are task slots.
+
+    For costly per-row work on a few files that cannot be split; with enough partitions, or on
+    a stream, the scan is returned as it is. ``scan`` must be a plain file scan, since its
+    partitions are counted.
+    """
+    if scan.isStreaming:
+        return scan
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+
+
 def extension(path: Column | str) -> Column:
     """Lower-cased extension with its dot, empty for names like ``.profile`` or ``notes``."""
     return F.lower(F.regexp_extract(as_column(path), r"(?:^|/)\.*[^./][^/]*(\.[^./]*)$", 1))
