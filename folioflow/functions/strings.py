@@ -67,7 +67,11 @@ def matches_near(text: Column | str, value: str, starts: str, **cues: str) -> Co
     so both scans stop at the same matches; texts without a match are scanned once.
     """
     text = as_column(text)
-    cued = F.lit(f"(?={starts}){''.join(cues.values())}{value}")
+    cued = f"(?={starts}){''.join(cues.values())}{value}"
+    # Java measures look-behinds in UTF-16 units, and in characters only when the pattern itself
+    # holds one beyond the basic plane. The slower measure is for texts with such characters.
+    astral = text.rlike(r"[\x{10000}-\x{10ffff}]")
+    by_character = f"{cued}|(?!)\U00010000"
     values = F.regexp_extract_all(text, F.lit(f"({value})"), F.lit(1))
     nothing = F.expr(
         "CAST(array() AS ARRAY<STRUCT<value: STRING"
@@ -75,7 +79,9 @@ def matches_near(text: Column | str, value: str, starts: str, **cues: str) -> Co
         + ">>)"
     )
     groups = [
-        F.regexp_extract_all(text, cued, F.lit(index)).alias(name)
+        F.when(astral, F.regexp_extract_all(text, F.lit(by_character), F.lit(index)))
+        .otherwise(F.regexp_extract_all(text, F.lit(cued), F.lit(index)))
+        .alias(name)
         for index, name in enumerate(cues, start=1)
     ]
     return bind(

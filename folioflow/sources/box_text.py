@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import box_from_centre
-from folioflow.functions.strings import WHITESPACE_CLASS, strip
+from folioflow.functions.strings import SPACE, bind, strip
 
 from .annotations import attach_image_size, attributes, name_classes, order_key, record
 
@@ -17,24 +19,28 @@ _NUMBERS = ("_x", "_y", "_w", "_h")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Numbers of ``stem, value`` lines with five or more fields; further fields are ignored."""
-    fields = F.split(strip("value"), f"[{WHITESPACE_CLASS}]+")
-    return (
-        lines.withColumn("_f", fields)
-        .filter(F.size("_f") >= 5)
-        .select(
-            *lines.columns,
-            F.col("_f")[0].try_cast("int").alias("class_id"),
-            *[F.col("_f")[i].try_cast("double").alias(n) for i, n in enumerate(_NUMBERS, 1)],
-        )
-    )
+    """Add ``_line``, the numbers of a ``stem, value`` line; null below five fields.
+
+    Further fields are ignored. ``_line.readable`` tells whether all numbers could be read.
+    """
 
 
-def _well_formed():
-    condition = F.col("class_id").isNotNull()
-    for name in _NUMBERS:
-        condition = condition & F.col(name).isNotNull()
-    return condition
+    def parsed(fields: Column) -> Column:
+        class_id = F.get(fields, F.lit(0)).try_cast("int")
+        numbers = [F.get(fields, F.lit(i)).try_cast("double") for i in range(1, 5)]
+        readable = functools.reduce(
+            operator.and_, [n.isNotNull() for n in numbers], class_id.isNotNull()
+        )
+        return F.when(
+            F.size(fields) >= 5,
+            F.struct(
+                readable.alias("readable"), class_id.alias("class_id"),
+                *[n.alias(name) for n, name in zip(numbers, _NUMBERS)],
+            ),
+        )
+
+    # One expression per line, so that a filter pushed below it repeats it once at most.
+    return lines.withColumn("_line", bind(F.split(strip("value"), f"{SPACE}+"), parsed))
 
 
 def box_records(
@@ -43,7 +49,7 @@ def box_records(
     images: DataFrame | None = None,
 ) -> DataFrame:
     """Records of ``stem, value`` lines; in pixels where ``images`` knows the size of a stem."""
-    parsed = parse_lines(lines).filter(_well_formed())
+    parsed = parse_lines(lines).filter("_line.readable").select("*", "_line.*")
     sized = attach_image_size(name_classes(parsed, classes), images)
     attrs = attributes(
         {"class_id": F.col("class_id"), "normalised": F.lit(images is None)}
@@ -61,7 +67,7 @@ def box_records(
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """Lines with enough fields whose numbers cannot be read."""
-    return parse_lines(lines).filter(~_well_formed()).select(*lines.columns)
+    return parse_lines(lines).filter("NOT _line.readable").select(*lines.columns)
 
 
 def read_lines(spark: SparkSession, directory: str) -> DataFrame:
