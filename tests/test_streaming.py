@@ -1,0 +1,97 @@
+import datetime
+import io
+import zipfile
+
+from folioflow.functions.vendor import known_name
+from folioflow.operators.reports import latency_metrics
+from folioflow.plans.extract import extract_documents
+from folioflow.streaming.batches import report_stream
+from folioflow.streaming.extract import breach_alerts, extract_stream
+from folioflow.streaming.latency import current_metrics, keep_history, refresh_history
+
+REQUESTS = "ts TIMESTAMP, seq BIGINT, method STRING, path STRING, elapsed_ms DOUBLE"
+START = datetime.datetime(2024, 1, 1)
+
+
+def write_requests(spark, folder, first, count):
+    rows = [(START + datetime.timedelta(seconds=i // 2), i, "GET", "/x", float(i % 3000))
+            for i in range(first, first + count)]
+    spark.createDataFrame(rows, REQUESTS).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_extraction_stream_equals_batch(spark, tmp_path):
+    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    documents = spark.createDataFrame(
+        [(str(i), f"Barn {i}\nDate: 2024-01-{i + 1:02d}\nTotal: ${i}.50") for i in range(20)],
+        "doc_id STRING, text STRING")
+    known = known_name("text", ["Barn 3"])
+    for half in (documents.limit(10), documents.offset(10)):
+        half.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(documents.schema).parquet(folder)
+        extract_stream(stream, out, mark, known).awaitTermination()
+    stored = spark.read.parquet(out)
+    assert sorted(map(str, stored.collect())) == sorted(
+        map(str, extract_documents(documents, known_vendor=known).collect()))
+
+
+def test_rolling_metrics(spark, tmp_path):
+    folder, root, mark = (str(tmp_path / n) for n in ("in", "history", "mark"))
+    order = ("ts", "seq")
+    empty = spark.createDataFrame([], REQUESTS)
+    assert current_metrics(spark, root, empty.schema, order).first().total_requests == 0
+    for first, count in ((0, 700), (700, 900), (1600, 5)):
+        write_requests(spark, folder, first, count)
+        stream = spark.readStream.schema(REQUESTS).parquet(folder)
+        keep_history(stream, root, mark, order).awaitTermination()
+        everything = latency_metrics(spark.read.parquet(folder), order)
+        assert current_metrics(spark, root, empty.schema, order).collect() == everything.collect()
+
+
+def test_history_refresh_can_be_repeated(spark, tmp_path):
+    root = str(tmp_path / "history")
+    schema = spark.createDataFrame([], REQUESTS).schema
+    batches = []
+    for first in (0, 600):
+        folder = str(tmp_path / f"in{first}")
+        write_requests(spark, folder, first, 600)
+        batches.append(spark.read.parquet(folder))
+    refresh_history(batches[0], 0, root, ("ts", "seq"))
+    for _ in range(3):
+        refresh_history(batches[1], 1, root, ("ts", "seq"))
+        found = current_metrics(spark, root, schema, ("ts", "seq")).first()
+        assert (found.total_requests, found.max_ms) == (1000, 1199.0)
+
+
+def test_alerts_stream(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_requests(spark, folder, 1995, 10)
+    stream = breach_alerts(spark.readStream.schema(REQUESTS).parquet(folder))
+    (stream.writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True)
+     .start().awaitTermination())
+    assert sorted(r.seq for r in spark.read.parquet(out).collect()) == [2001, 2002, 2003, 2004]
+
+
+def measure(row, task):
+    if bytes(row["content"]) == b"bad":
+        raise ValueError("unreadable")
+    return {"size": len(row["content"])}
+
+
+def test_batch_arrival(spark, tmp_path):
+    inbox, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    inbox.mkdir()
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as packed:
+        for name, content in (("a.png", b"123"), ("b.png", b"bad"), ("c.txt", b"no")):
+            packed.writestr(name, content)
+    (inbox / "one.zip").write_bytes(buffer.getvalue())
+    (inbox / "two.zip").write_bytes(b"broken")
+    (inbox / "three.zip").write_bytes(b"")
+    stream = spark.readStream.format("binaryFile").schema(
+        "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY").load(str(inbox))
+    report_stream(stream, measure, "size INT", out, mark).awaitTermination()
+    (report,) = spark.read.parquet(f"{out}/reports").collect()
+    assert (report.total_documents, report.successful, report.failed) == (2, 1, 1)
+    results = {r.source_path: r for r in spark.read.parquet(f"{out}/results").collect()}
+    assert results["a.png"].size == 3 and results["b.png"].error == "unreadable"
