@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from folioflow.operators.tokens import (
     assemble_documents, cap_pages, engine_fallback, polygon_tokens, read_pages,
     read_pages_with_fallback, usable_tokens,
@@ -106,4 +104,3 @@ def test_one_shuffle_from_tokens_to_documents(spark):
     assert plan.toString().count("Exchange hashpartitioning") == 1
     assert documents_from_tokens(primary)._jdf.queryExecution().executedPlan().toString().count(
         "Exchange hashpartitioning") == 1
-    assert F is not None
