@@ -438,7 +438,11 @@ def _stream(spark, sf_dir, name) -> DataFrame:
 def stream_extract(spark, sf_dir):
     path = scratch_path(spark, "stream-extract")
     vendor_text = F.concat(F.lit("Trading House "), F.col("o_custkey").cast("string"))
-    bills = _stream(spark, sf_dir, "orders").select(
+    columns = ("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    orders = _stream(spark, sf_dir, "orders").select(*columns)
+    # The table may be a single file, hence a single task: spread its narrow rows first.
+    spread = orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    bills = spread.select(
         F.col("o_orderkey").alias("doc_id"), inputs.bill_text(vendor_text).alias("text")
     )
     extract_stream(bills, f"{path}/out", f"{path}/checkpoint").awaitTermination()

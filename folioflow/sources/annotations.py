@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions.strings import bind
 from folioflow.operators.joins import first_per_key, lookup_join, small_side
 from folioflow.schemas import ANNOTATION, BOX, ORDER_KEY
 
@@ -19,24 +20,35 @@ PROBED_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tiff")
 UNKNOWN = "unknown"
 
 
-def attributes(fixed: Mapping[str, Column], extra: Column | None = None) -> Column:
-    """String map of fixed entries; ``extra`` (``map<string,string>``) wins on a clash."""
-    parts = [piece for name, value in fixed.items() for piece in (F.lit(name), value.cast("string"))]
-    base = F.create_map(*parts) if parts else F.expr("CAST(map() AS MAP<STRING, STRING>)")
-    if extra is None:
+def attributes(fixed: Mapping[str, Column], children: Column | None = None) -> Column:
+    """String map of fixed entries, then ``children``, an ``array<struct<name, value>>``.
+
+    A later entry of a name replaces earlier ones, fixed entries included.
+    """
+    if not fixed and children is None:
+        return F.expr("CAST(map() AS MAP<STRING, STRING>)")
+    pieces = [p for name, value in fixed.items() for p in (F.lit(name), value.cast("string"))]
+    base = F.create_map(*pieces)
+    if children is None:
         return base
-    kept = F.map_filter(base, lambda name, _: ~F.map_contains_key(extra, name))
-    return F.coalesce(F.map_concat(kept, extra), base)
+    entries = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+            for name, value in fixed.items()
+        ]
+    )
+    return F.when(F.size(children) == 0, base).otherwise(
+        bind(F.concat(entries, children), _last_of_each_name)
+    )
 
 
-def last_wins_map(pairs: Column) -> Column:
-    """Map from ``array<struct<name, value>>`` where the last value of a name counts."""
+def _last_of_each_name(pairs: Column) -> Column:
     names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
-    values = F.transform(
-        names,
-        lambda name: F.element_at(F.filter(pairs, lambda p: p["name"] == name), -1)["value"],
-    )
-    return F.map_from_arrays(names, values)
+
+    def last_value(name: Column) -> Column:
+        return F.element_at(F.filter(pairs, lambda p: p["name"] == name), -1)["value"]
+
+    return bind(names, lambda keys: F.map_from_arrays(keys, F.transform(keys, last_value)))
 
 
 def record(

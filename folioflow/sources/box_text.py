@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import box_from_centre
-from folioflow.functions.strings import SPACE, bind, strip
+from folioflow.functions.strings import SPACE, strip
 
 from .annotations import attach_image_size, attributes, name_classes, order_key, record
 
@@ -18,29 +18,25 @@ TOOL = "roboflow"
 _NUMBERS = ("_x", "_y", "_w", "_h")
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Add ``_line``, the numbers of a ``stem, value`` line; null below five fields.
+def _numbers(value: str) -> Column:
+    """Array of one struct of numbers with a ``readable`` flag, empty below five fields.
 
-    Further fields are ignored. ``_line.readable`` tells whether all numbers could be read.
+    Further fields are ignored.
     """
 
-
     def parsed(fields: Column) -> Column:
         class_id = F.get(fields, F.lit(0)).try_cast("int")
         numbers = [F.get(fields, F.lit(i)).try_cast("double") for i in range(1, 5)]
         readable = functools.reduce(
             operator.and_, [n.isNotNull() for n in numbers], class_id.isNotNull()
         )
-        return F.when(
-            F.size(fields) >= 5,
-            F.struct(
-                readable.alias("readable"), class_id.alias("class_id"),
-                *[n.alias(name) for n, name in zip(numbers, _NUMBERS)],
-            ),
+        return F.struct(
+            readable.alias("readable"), class_id.alias("class_id"),
+            *[n.alias(name) for n, name in zip(numbers, _NUMBERS)],
         )
 
-    # One expression per line, so that a filter pushed below it repeats it once at most.
-    return lines.withColumn("_line", bind(F.split(strip("value"), f"{SPACE}+"), parsed))
+    fields = F.array(F.split(strip(value), f"{SPACE}+"))
+    return F.transform(F.filter(fields, lambda f: F.size(f) >= 5), parsed)
 
 
 def box_records(
@@ -49,7 +45,11 @@ def box_records(
     images: DataFrame | None = None,
 ) -> DataFrame:
     """Records of ``stem, value`` lines; in pixels where ``images`` knows the size of a stem."""
-    parsed = parse_lines(lines).filter("_line.readable").select("*", "_line.*")
+    # Unreadable lines are dropped inside the generator: a filter on the parsed numbers would
+    # be moved below earlier shuffles and parse every line a second time.
+    parsed = lines.select(
+        "stem", F.inline(F.filter(_numbers("value"), lambda n: n["readable"]))
+    )
     sized = attach_image_size(name_classes(parsed, classes), images)
     attrs = attributes(
         {"class_id": F.col("class_id"), "normalised": F.lit(images is None)}
@@ -67,7 +67,8 @@ def box_records(
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """Lines with enough fields whose numbers cannot be read."""
-    return parse_lines(lines).filter("NOT _line.readable").select(*lines.columns)
+    bad = F.filter(_numbers("value"), lambda n: ~n["readable"])
+    return lines.select("*", F.explode(bad).alias("_bad")).drop("_bad")
 
 
 def read_lines(spark: SparkSession, directory: str) -> DataFrame:

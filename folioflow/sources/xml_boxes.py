@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import bounding_box, box, points_from_text
 
-from .annotations import (
-    UNKNOWN, attributes, last_wins_map, merge_annotations, order_key, record,
-)
+from .annotations import UNKNOWN, attributes, merge_annotations, order_key, record
 
 TOOL = "cvat"
 _CORNERS = "_xtl: DOUBLE, _ytl: DOUBLE, _xbr: DOUBLE, _ybr: DOUBLE"
@@ -52,7 +50,7 @@ def image_boxes(images: DataFrame) -> DataFrame:
             "image_width": F.coalesce("_width", F.lit(0.0)),
             "image_height": F.coalesce("_height", F.lit(0.0)),
         },
-        last_wins_map(F.col("children")),
+        F.col("children"),
     )
     return rows.withColumn("children", children).select(
         *record(

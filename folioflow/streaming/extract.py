@@ -17,7 +17,10 @@ def extract_stream(
     known_vendor: Column | None = None,
     file_format: str = "parquet",
 ) -> StreamingQuery:
-    """Start writing one response row per arriving document. Stateless, exactly once in files."""
+    """Start writing one response row per arriving document. Stateless, exactly once in files.
+
+    A micro-batch of one large file is one task; repartition ``documents`` where that is so.
+    """
     return (
         extract_documents(documents, known_vendor=known_vendor)
         .writeStream.format(file_format)
