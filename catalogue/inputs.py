@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.operators.columns import settle
 from folioflow.sources.files import spread_scan
 
 WORDS_PER_PAGE = 200
@@ -138,8 +139,9 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     Coordinates follow from the word position so that reading order differs from word order
     and some tokens share a corner.
     """
-    words = spread_table(spark, sf_dir, "documents", "doc_id", "text").select(
-        "doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text")
+    documents = spread_table(spark, sf_dir, "documents", "doc_id", "text")
+    words = settle(documents.withColumnRenamed("text", "full"), words=F.split("full", " ")).select(
+        "doc_id", F.posexplode("words").alias("pos", "text")
     )
     on_page = F.col("pos") % WORDS_PER_PAGE
     y = F.floor(on_page / 10).cast("int") * 12

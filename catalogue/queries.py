@@ -15,6 +15,7 @@ from folioflow.functions.summary import summarize
 from folioflow.functions.timing import overhead_reduction_pct, process_time_header
 from folioflow.functions.vendor import vendor
 from folioflow.operators import evaluate as ev
+from folioflow.operators.columns import settle
 from folioflow.operators.documents import map_documents
 from folioflow.operators.reports import batch_report, latency_metrics, timing_report
 from folioflow.operators.sampling import newest, sample_media, sample_ordered, sample_positions
@@ -228,7 +229,8 @@ def _record_columns(records: DataFrame, *attributes: str) -> DataFrame:
 
 
 def _parsed(rows: DataFrame, column: str, parse, schema: str) -> DataFrame:
-    return rows.select(parse(column, schema).alias("p")).select(F.lit("t").alias("file"), "p.*")
+    parsed = settle(rows, p=parse(column, schema))
+    return parsed.select(F.lit("t").alias("file"), "p.*")
 
 
 def xml_image_boxes(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.strings import as_column
 from folioflow.functions.vendor import HEAD_CHARS, name_words, normalised_name
 
+from .columns import settle
 from .joins import small_side
 
 
@@ -42,28 +43,17 @@ def vendor_mentions(
     if not lengths:
         return documents.select(doc_id, F.lit(None).cast("string").alias("vendor")).limit(0)
 
-    heads = documents.select(
-        doc_id, name_words(F.substring(as_column(text), 1, head_chars)).alias("_words")
+    heads = documents.select(doc_id, F.substring(as_column(text), 1, head_chars).alias("_head"))
+    worded = settle(heads, _words=name_words("_head"))
+    placed = worded.select(doc_id, "_words", F.posexplode("_words").alias("_at", "_word"))
+    fitting = F.filter(
+        F.array(*[F.lit(n) for n in lengths]),
+        lambda n: F.col("_at") + n <= F.size("_words"),
     )
-    placed = heads.select(
-        doc_id, "_words", F.explode(F.sequence(F.lit(1), F.size("_words"))).alias("_at")
-    ).filter(F.size("_words") > 0)
-    candidates = placed.select(
-        doc_id,
-        "_at",
-        F.explode(
-            F.transform(
-                F.filter(
-                    F.array(*[F.lit(n) for n in lengths]),
-                    lambda n: F.col("_at") + n - 1 <= F.size("_words"),
-                ),
-                lambda n: F.struct(
-                    n.alias("n"),
-                    F.array_join(F.slice("_words", F.col("_at"), n), " ").alias("run"),
-                ),
-            )
-        ).alias("_c"),
-    ).select(doc_id, "_at", F.col("_c.n").alias("_n"), F.col("_c.run").alias("_run"))
+    candidates = settle(
+        placed.select(doc_id, "_words", "_at", F.explode(fitting).alias("_n")),
+        _run=F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_n")), " "),
+    ).drop("_words")
 
     small = small_side(runs)
     if small is not runs:

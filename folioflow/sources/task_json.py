@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import bounding_box, box, percent_to_pixel, point
 from folioflow.functions.strings import bind
+from folioflow.operators.columns import settle
 
 from .annotations import UNKNOWN, attributes, order_key, record
 
@@ -93,8 +94,8 @@ def task_records(tasks: DataFrame) -> DataFrame:
             ),
         )
     )
-    rows = results.select(
-        "file", "id", "path", "a_no", "place", F.posexplode(entries).alias("e_no", "e")
+    rows = settle(results, entries=entries).select(
+        "file", "id", "path", "a_no", "place", F.posexplode("entries").alias("e_no", "e")
     )
     return rows.select(
         *record(

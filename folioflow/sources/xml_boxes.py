@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import bounding_box, box, points_from_text
+from folioflow.operators.columns import settle
 
 from .annotations import UNKNOWN, attributes, merge_annotations, order_key, record
 
@@ -74,10 +75,12 @@ def image_shapes(images: DataFrame) -> DataFrame:
             ),
         )
 
-    rows = images.select(
-        "file", "_id", "_name",
-        F.posexplode(F.concat(tagged("polygon"), tagged("polyline"))).alias("place", "s"),
-    ).withColumn("rect", bounding_box(F.col("s.points")))
+    named = images.select("file", "_id", "_name", "polygon", "polyline")
+    shapes = settle(named, shapes=F.concat(tagged("polygon"), tagged("polyline")))
+    rows = settle(
+        shapes.select("file", "_id", "_name", F.posexplode("shapes").alias("place", "s")),
+        rect=bounding_box(F.col("s.points")),
+    )
     return rows.filter(F.col("rect").isNotNull()).select(
         *record(
             F.coalesce("_name", F.lit(UNKNOWN)), F.coalesce("s.label", F.lit(UNKNOWN)),
