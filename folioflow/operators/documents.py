@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.schemas import TOKEN
+
+from .tokens import FALLBACK_ENGINE, PRIMARY_ENGINE
+
+OCR_RESULT = f"engine STRING, tokens ARRAY<{TOKEN}>"
 OUTCOME = (
     T.StructField("success", T.BooleanType()),
     T.StructField("error", T.StringType()),
@@ -85,6 +90,33 @@ def map_documents(
     return documents.mapInPandas(run, output)
 
 
+def first_with_tokens(
+    primary: Callable[[dict, Task], list],
+    secondary: Callable[[dict, Task], list],
+    engine: str = PRIMARY_ENGINE,
+    fallback: str = FALLBACK_ENGINE,
+) -> Callable[[dict, Task], dict]:
+    """A function for ``map_documents`` with the schema ``OCR_RESULT`` from two OCR callables.
+
+    Each returns a list of ``{text, confidence, bbox}``. The second one runs only for pages on
+    which the first fails or finds nothing; a failing engine counts as finding nothing.
+    """
+
+    def found_by(callable_: Callable[[dict, Task], list], row: dict, task: Task) -> list:
+        try:
+            return callable_(row, task)
+        except Exception:  # the other engine, or an empty page, takes its place
+            return []
+
+    def read(row: dict, task: Task) -> dict:
+        tokens = found_by(primary, row, task)
+        if tokens:
+            return {"engine": engine, "tokens": tokens}
+        return {"engine": fallback, "tokens": found_by(secondary, row, task)}
+
+    return read
+
+
 def spread_documents(documents: DataFrame, key: str, tasks: int) -> DataFrame:
     """Even out documents over ``tasks`` tasks before a costly map; ``key`` must be unique."""
     return documents.repartition(tasks, F.col(key))

@@ -143,6 +143,6 @@ def evaluate(labels: DataFrame, predictions: DataFrame) -> Evaluation:
     return Evaluation(
         summary=score(confusion_counts(details)),
         details=details,
-        skipped=labels.join(known, "file_path", "left_anti"),
+        skipped=lookup_join(labels, known, ["file_path"], "left_anti"),
         duplicate_predictions=duplicate_keys(predictions, ["file_path"]),
     )

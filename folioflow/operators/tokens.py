@@ -15,6 +15,8 @@ from folioflow.functions.geometry import integer_polygon, rectangle_polygon
 from folioflow.functions.strings import strip
 from folioflow.schemas import TOKEN
 
+from .joins import lookup_join
+
 # Engine names, page cap.
 PRIMARY_ENGINE = "easyocr"
 FALLBACK_ENGINE = "tesseract_fallback"
@@ -43,6 +45,13 @@ def polygon_tokens(raw: DataFrame) -> DataFrame:
     return raw.withColumn("bbox", integer_polygon("bbox"))
 
 
+def token_rows(results: DataFrame, keys: Sequence[str] = PAGE_KEY) -> DataFrame:
+    """A row per token from per-page results with an array ``tokens``, ``seq`` by position."""
+    return results.select(*keys, "engine", F.posexplode("tokens").alias("seq", "_token")).select(
+        *keys, "engine", "seq", "_token.*"
+    )
+
+
 def cap_pages(df: DataFrame, max_pages: int = MAX_PAGES, page: str = "page") -> DataFrame:
     """The first pages of every document; apply before anything costly."""
     return df.filter(F.col(page) < max_pages)
@@ -56,7 +65,7 @@ def engine_fallback(
 ) -> DataFrame:
     """Primary tokens, plus the secondary tokens of pages where primary has none."""
     served = primary.select(*keys).distinct()
-    rescued = secondary.join(served, list(keys), "left_anti")
+    rescued = lookup_join(secondary, served, list(keys), "left_anti")
     return primary.unionByName(rescued.withColumn("engine", F.lit(engine)))
 
 

@@ -94,9 +94,12 @@ def name_classes(
             classes.select(F.col("class_id").cast("int").alias("class_id"), "label"),
             ["class_id"], ["label"],
         )
-        named = boxes.join(
-            small_side(names.withColumnRenamed("label", "_label")), "class_id", "left"
-        )
+        names = names.withColumnRenamed("label", "_label")
+        small = small_side(names)
+        if small is names:
+            named = lookup_join(boxes, names, ["class_id"])
+        else:
+            named = boxes.join(small, "class_id", "left")
         return named.withColumn("label", F.coalesce("_label", default)).drop("_label")
     literal = CLASS_NAMES if classes is None else classes
     if not literal:

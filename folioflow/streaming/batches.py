@@ -5,38 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folioflow.operators.documents import Task, map_documents
+from folioflow.operators.documents import Task
 from folioflow.operators.reports import NO_MEMBERS, batch_report
-from folioflow.sources.archives import expand_archives
-from folioflow.sources.files import check_archives
-
-
-def process_archives(
-    archives: DataFrame,
-    function: Callable[[dict, Task], dict],
-    schema: str,
-    setup: Callable[[], object] | None = None,
-    tasks: int | None = None,
-) -> DataFrame:
-    """Results of ``function`` for every readable member of the accepted archives.
-
-    ``archives``: ``path, length, content``. ``function`` sees ``doc_id, archive, source_path,
-    content``; unreadable members and archives are left out, as in ``expand_archives`` errors.
-    """
-    accepted, _ = check_archives(archives)
-    members = expand_archives(accepted, tasks=tasks).filter(
-        F.col("error").isNull() & F.col("content").isNotNull()
-    )
-    named = members.select(
-        F.sha2(F.concat_ws("::", "archive", "member"), 256).alias("doc_id"),
-        "archive",
-        F.col("member").alias("source_path"),
-        "content",
-    )
-    return map_documents(named, function, schema, setup, ("doc_id", "archive", "source_path"))
+from folioflow.plans.batch import archive_items, process_items
 
 
 def report_stream(
@@ -48,7 +21,7 @@ def report_stream(
     setup: Callable[[], object] | None = None,
     tasks: int | None = None,
 ) -> StreamingQuery:
-    """Start processing arriving archives.
+    """Start processing arriving archives (``path, length, content``) member by member.
 
     Each micro-batch writes ``results`` and a one-row ``reports`` under a folder of its own
     id, overwritten if the batch runs again. The report lasts from the first start to the
@@ -57,7 +30,9 @@ def report_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         here = f"batch_id={batch_id}"
-        results = process_archives(batch, function, schema, setup, tasks)
+        items = archive_items(batch, tasks)
+        kept = ("doc_id", "archive", "source_path")
+        results = process_items(items, function, schema, setup, keep=kept)
         results.write.mode("overwrite").parquet(f"{output}/results/{here}")
         stored = batch.sparkSession.read.parquet(f"{output}/results/{here}")
         report = batch_report(stored, empty_message=NO_MEMBERS)
