@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import integer_polygon, rectangle_polygon
+from folioflow.functions.reading import tokens_text
 from folioflow.functions.strings import strip
 from folioflow.schemas import TOKEN
 
@@ -84,18 +85,13 @@ def _in_reading_order(collected: Column) -> Column:
     return F.transform(F.sort_array(collected), lambda entry: entry["token"])
 
 
-def _joined_text(tokens: Column | str) -> Column:
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    return F.array_join(F.transform(tokens, lambda token: token["text"]), " ")
-
-
 def read_pages(tokens: DataFrame, keys: Sequence[str] = PAGE_KEY) -> DataFrame:
     """One row per page: ``tokens`` in reading order and ``full_text`` joined by blanks."""
     return (
         tokens.groupBy(*keys)
         .agg(F.min("engine").alias("engine"), F.collect_list(_sortable()).alias("_found"))
         .withColumn("tokens", _in_reading_order(F.col("_found")))
-        .select(*keys, "engine", "tokens", _joined_text("tokens").alias("full_text"))
+        .select(*keys, "engine", "tokens", tokens_text("tokens").alias("full_text"))
     )
 
 
@@ -106,11 +102,13 @@ def read_pages_with_fallback(
     keys: Sequence[str] = PAGE_KEY,
     primary_engine: str = PRIMARY_ENGINE,
     fallback_engine: str = FALLBACK_ENGINE,
+    together: Sequence[str] = (),
 ) -> DataFrame:
     """Reading order and engine fallback for every listed page in one shuffle.
 
     A page without primary tokens is labelled as fallback even when the secondary engine
-    found nothing either. Tokens of unlisted pages are ignored.
+    found nothing either. Tokens of unlisted pages are ignored. ``together`` names the keys
+    to partition by when a later step groups by fewer of them; by default pages spread freely.
     """
 
     def tagged(tokens: DataFrame, rank: int) -> DataFrame:
@@ -121,9 +119,8 @@ def read_pages_with_fallback(
         *keys, F.lit(0).alias("_rank"), F.lit(None).cast(entry).alias("_entry")
     )
     rows = listed.unionByName(tagged(primary, 1)).unionByName(tagged(secondary, 2))
-    # Partitioned by document: page and document assembly both fit this partitioning.
     grouped = (
-        rows.repartition(keys[0])
+        (rows.repartition(*together) if together else rows)
         .groupBy(*keys)
         .agg(
             F.max(F.col("_rank") == 0).alias("_listed"),
@@ -139,7 +136,7 @@ def read_pages_with_fallback(
             _in_reading_order(F.when(served, F.col("_primary")).otherwise(F.col("_secondary"))),
         )
         .withColumn("engine", F.when(served, primary_engine).otherwise(fallback_engine))
-        .select(*keys, "engine", "tokens", _joined_text("tokens").alias("full_text"))
+        .select(*keys, "engine", "tokens", tokens_text("tokens").alias("full_text"))
     )
 
 

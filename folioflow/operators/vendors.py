@@ -29,16 +29,15 @@ def vendor_mentions(
     """
     runs = (
         names.select(as_column(name).alias("vendor"), normalised_name(name).alias("_run"))
-        .filter("_run <> ''")
+        .filter((F.col("_run") != "") & (F.char_length("_run") <= head_chars))
         .groupBy("_run")
         .agg(F.min("vendor").alias("vendor"))
     )
     words = F.size(F.split("_run", " "))
-    # A name must fit the head, so there are at most head_chars / 2 distinct lengths.
+    # Names fit the head, so there are at most head_chars / 2 distinct lengths.
     lengths = sorted(
         row.n
-        for row in runs.filter(F.char_length("_run") <= head_chars)
-        .select(words.alias("n")).distinct().collect()
+        for row in runs.select(words.alias("n")).distinct().collect()
     )
     if not lengths:
         return documents.select(doc_id, F.lit(None).cast("string").alias("vendor")).limit(0)

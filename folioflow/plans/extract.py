@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.amounts import total_amount
 from folioflow.functions.classify import classify
 from folioflow.functions.dates import invoice_date
+from folioflow.functions.reading import read_page_array
 from folioflow.functions.strings import as_column
 from folioflow.functions.summary import summarize
 from folioflow.functions.vendor import vendor
@@ -113,8 +114,21 @@ def documents_from_tokens(
     if pages is None:
         pages = primary.select("doc_id", "page").unionByName(secondary.select("doc_id", "page"))
         pages = pages.distinct()
+    # Partitioned by document once: page and document assembly both fit this partitioning.
     return assemble_documents(
-        read_pages_with_fallback(cap_pages(pages, max_pages), primary, secondary)
+        read_pages_with_fallback(
+            cap_pages(pages, max_pages), primary, secondary, together=("doc_id",)
+        )
+    )
+
+
+def documents_from_page_arrays(rows: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """Document texts from one row per document. Map-only, for streams as well.
+
+    ``rows``: ``doc_id, pages ARRAY<STRUCT<page, engine, tokens>>``, tokens in reported order.
+    """
+    return rows.select("doc_id", read_page_array("pages", max_pages).alias("_read")).select(
+        "doc_id", "_read.*"
     )
 
 

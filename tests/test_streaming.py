@@ -2,9 +2,15 @@ import datetime
 import io
 import zipfile
 
+from pyspark.sql import functions as F
+
 from folioflow.functions.vendor import known_name
 from folioflow.operators.reports import latency_metrics
-from folioflow.plans.extract import extract_documents
+from folioflow.operators.tokens import token_rows
+from folioflow.plans.extract import (
+    documents_from_page_arrays, documents_from_tokens, extract_documents,
+)
+from folioflow.schemas import TOKEN
 from folioflow.streaming.batches import report_stream
 from folioflow.streaming.extract import breach_alerts, extract_stream
 from folioflow.streaming.latency import current_metrics, keep_history, refresh_history
@@ -34,6 +40,29 @@ def test_extraction_stream_equals_batch(spark, tmp_path):
         map(str, extract_documents(documents, known_vendor=known).collect()))
 
 
+def test_page_arrays_read_like_token_tables(spark, tmp_path):
+    corner = [[{"x": x, "y": y}] * 4 for x, y in ((5, 9), (9, 1), (5, 9), (1, 1))]
+    words = ("Total:", "Barn", "$7.00", "Burger")
+    tokens = [{"text": t, "confidence": 0.9, "bbox": b} for t, b in zip(words, corner)]
+    pages = [(page, "easyocr", tokens if page != 1 else []) for page in (3, 0, 1, 2, 4, 5)]
+    page = "STRUCT<page: INT, engine: STRING, tokens: ARRAY<" + TOKEN + ">>"
+    rows = spark.createDataFrame([("d", pages), ("e", [])], f"doc_id STRING, pages ARRAY<{page}>")
+    flat = token_rows(rows.select("doc_id", F.inline("pages")))
+    listed = rows.select("doc_id", F.inline("pages")).select("doc_id", "page")
+    expected = documents_from_tokens(flat, None, listed).first()
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.write.parquet(folder)
+    stream = documents_from_page_arrays(spark.readStream.schema(rows.schema).parquet(folder))
+    extract_stream(stream, out, str(tmp_path / "mark")).awaitTermination()
+    found = documents_from_page_arrays(rows).filter("doc_id = 'd'").first()
+    assert found.text == "\n".join(
+        "Burger Barn Total: $7.00" if p != 1 else "" for p in range(5)) == expected.text
+    assert found.tokens == expected.tokens and (found.pages, found.engine) == (5, "easyocr")
+    stored = {r.doc_id: r for r in spark.read.parquet(out).collect()}
+    assert stored["d"].fields.total_amount.value == 7.0 and stored["d"].debug.pages == 5
+    assert stored["e"].doc_type == "unknown" and stored["e"].debug.pages == 0
+
+
 def test_rolling_metrics(spark, tmp_path):
     folder, root, mark = (str(tmp_path / n) for n in ("in", "history", "mark"))
     order = ("ts", "seq")

@@ -169,6 +169,26 @@ def test_summary(spark, evaluate_text):
         assert found == case[1], case
 
 
+def test_long_texts(spark):
+    texts = [
+        "1" + ",234" * 100_000 + " total 5",
+        "9" * 300_000,
+        " " * 300_000 + "x" * 200_000,
+        "1/" * 150_000 + "2/2024",
+        "-" * 200_000 + "a. " + "word 7 " * 60_000,
+        "total " * 60_000 + "12",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")
+    known = known_name("text", ["Burger Barn"])
+    rows = extract_documents(frame, known_vendor=known).orderBy("doc_id").collect()
+    amounts = [r.fields.total_amount for r in rows]
+    assert (amounts[0].value, amounts[0].confidence) == (5.0, 0.9)
+    assert (amounts[1].value, amounts[5].value, amounts[5].confidence) == (999.0, 12.0, 0.9)
+    assert rows[2].fields.vendor_name.value == "x" * 200_000
+    assert rows[3].fields.invoice_date.value == day(2024, 1, 2)
+    assert rows[4].summary == [("word 7 " * 60_000).strip(), "-" * 200_000 + "a"]
+
+
 def test_strip_is_unicode_aware(spark, evaluate_text):
     texts = ["\x1c　 a b \x85 ", "​"]
     assert evaluate_text(strip("text"), *texts) == [t.strip() for t in texts]
