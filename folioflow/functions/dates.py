@@ -60,7 +60,10 @@ def date_candidates(
 ) -> Column:
     """``array<struct<score, position, value>>`` of the parseable candidates in text order."""
     shapes = "(?:" + "|".join(DATE_SHAPES) + ")"
-    found = matches_near(text, shapes, shapes, near=preceded_by(keywords, window))
+    # Every shape has a digit before a separator or comma.
+    found = matches_near(
+        text, shapes, shapes, needs="[0-9][/,-]", near=preceded_by(keywords, window)
+    )
     scored = F.transform(
         found,
         lambda hit, position: F.struct(

@@ -58,12 +58,15 @@ def preceded_by(
     return rf"(?:(?i:(?<=((?=[{initials}]){guard}(?:{contexts})){prefix})))?"
 
 
-def matches_near(text: Column | str, value: str, starts: str, **cues: str) -> Column:
+def matches_near(
+    text: Column | str, value: str, starts: str, needs: str | None = None, **cues: str
+) -> Column:
     """All non-overlapping matches of the regex ``value``, left to right.
 
     Returns ``array<struct<value, cue...>>``; each cue is a ``preceded_by`` fragment and its
     field is non-empty where it holds. ``starts`` is a cheap pattern that holds wherever a
-    value starts. Neither may hold a capturing group. The cues are optional and of zero width,
+    value starts, ``needs`` one found in every text with a value, which saves the scan of the
+    others. None of them may hold a capturing group. The cues are optional and of zero width,
     so both scans stop at the same matches; texts without a match are scanned once.
     """
     text = as_column(text)
@@ -73,6 +76,8 @@ def matches_near(text: Column | str, value: str, starts: str, **cues: str) -> Co
     astral = text.rlike(r"[\x{10000}-\x{10ffff}]")
     by_character = f"{cued}|(?!)\U00010000"
     values = F.regexp_extract_all(text, F.lit(f"({value})"), F.lit(1))
+    if needs:
+        values = F.when(text.rlike(needs), values).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)"))
     nothing = F.expr(
         "CAST(array() AS ARRAY<STRUCT<value: STRING"
         + "".join(f", {name}: STRING" for name in cues)
