@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.session import scratch_path
 
@@ -67,6 +68,16 @@ def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def extended(schema: T.StructType, added: str) -> T.StructType:
+    """``schema`` with the fields of a DDL string."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(added).fields])
+
+
 def bucket_of(column: Column, modulus: int) -> Column:
     """CRC-32 of the decimal text of an id, modulo ``modulus``; null ids give null."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Memo, texts_as_bytes, worker_cache
+from .common import Memo, extended, quoted, texts_as_bytes, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -22,7 +22,7 @@ REMEMBERED = 1 << 20
 # Groups that large lengths are rounded in, and the share of a sequence up to which a length
 # counts as small.
 GROUPS = 48
-SMALL_SHARE = 16
+SMALL_SHARE = 3
 # Rows ranked in one task: at least so many, and no more buckets than this in all.
 BUCKET_ROWS = 512
 BUCKETS = 1 << 14
@@ -334,7 +334,7 @@ def pack(
     cuts = spark.createDataFrame(
         [(n, int(-(-c // rows))) for n, c in sizes.items()], "_length LONG, _buckets LONG"
     )
-    keys = [F.col(c) for c in pieces.columns]
+    keys = [F.col(quoted(c)) for c in pieces.columns]
     bucketed = (
         pieces.join(F.broadcast(cuts), F.col(length_column) == F.col("_length"))
         .withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.col("_buckets")))
@@ -378,5 +378,5 @@ def pack(
         .over(Window.partitionBy("_length", "_bucket").orderBy(*keys))
         .cast("bigint"),
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id BIGINT, offset BIGINT")
+    added = "sequence_id BIGINT, offset BIGINT"
+    return ranked.mapInArrow(run, extended(pieces.schema, added))
