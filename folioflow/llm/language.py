@@ -17,10 +17,10 @@ UNDETERMINED = "und"
 # Per language: texts looked at, the longest of them in bytes, and bytes of dictionary.
 SAMPLE_TEXTS = 64
 SAMPLE_BYTES = 1 << 14
-DICTIONARY_BYTES = 1 << 17
+DICTIONARY_BYTES = 1 << 15
 # Bytes compressed at a time, so that a long text does not become its own dictionary.
 BLOCK = 2000
-LEVEL = 3
+LEVEL = 12
 # Gain of the best language over the next, as a share of the next, that counts as clear.
 MIN_MARGIN = 0.01
 
