@@ -119,7 +119,7 @@ def detect_language(
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tools = worker_cache(f"languages_{key}", lambda: compressors(dictionaries))
         found: list[tuple] = []
-        for text in batch.column(len(carried)).to_pylist():
+        for text in batch.column(1).to_pylist():
             if not tools or not text or not any(map(str.isalpha, text)):
                 found.append((UNDETERMINED, 0.0, 0.0, True))
                 continue
@@ -134,12 +134,13 @@ def detect_language(
             found.append((lang, score, margin, margin < min_margin))
         kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
         return pa.RecordBatch.from_arrays(
-            batch.columns[: len(carried)]
-            + [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)],
-            names=[*carried, *names],
+            [batch.column(0), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))],
+            names=["_row", *names],
         )
 
-    kept = docs.select(*map(quoted, carried))
-    rows = docs.select(*map(quoted, carried), F.col(text_column).alias("_text"))
+    rows = docs.select(
+        F.struct(*map(quoted, carried)).alias("_row"), F.col(text_column).alias("_text")
+    )
     added = "lang_pred STRING, score DOUBLE, margin DOUBLE, rejected BOOLEAN"
-    return rows.mapInArrow(per_batch(run), extended(kept.schema, added))
+    schema = extended(rows.select("_row").schema, added)
+    return rows.mapInArrow(per_batch(run), schema).select("_row.*", *names)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -13,59 +15,98 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Memo, extended, quoted, texts_as_bytes, worker_cache
+from .common import extended, quoted, texts_as_bytes, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
-# Tokenised words that a worker remembers, about 140 bytes each.
+# Tokenised words and runs of letters that a worker remembers, about 140 bytes each.
 REMEMBERED = 1 << 20
+REMEMBERED_RUNS = 1 << 19
+# Latin letters, then ASCII punctuation, as whole words.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 # Groups that large lengths are rounded in, and the share of a sequence up to which a length
 # counts as small.
 GROUPS = 48
 SMALL_SHARE = 3
 # Rows ranked in one task: at least so many, and no more buckets than this in all.
-BUCKET_ROWS = 512
+BUCKET_ROWS = 128
 BUCKETS = 1 << 14
 
 
 class WordTokenizer:
     """Ids of texts by the library, word by word.
 
-    For tokenizers that drop white space and cut words at it: the ids of a text are then those
-    of its words in turn. Words not seen before go to the library together, with a special
-    token between them.
+    For tokenizers that drop white space, cut words at it, lower letters and keep a run of
+    letters or of punctuation together: the ids of a text are then those of its words in
+    turn, and those of a plain word are the ids of its letters and of what follows them. Runs
+    and words not seen before go to the library many at a time.
     """
 
     def __init__(self, definition: bytes):
-        self.library = Tokenizer.from_str(definition.decode())
-        added = self.library.get_added_tokens_decoder()
+        self.library = library = Tokenizer.from_str(definition.decode())
+        added = library.get_added_tokens_decoder()
         self.mark_id, mark = min((i, str(t.content)) for i, t in added.items() if t.special)
         self.mark = mark.encode()
-        probe = "a  bc.d\n"
-        if self.ids(probe.encode()) != self.ids(b"a") + self.ids(b"bc.d"):
-            raise ValueError("the tokenizer does not drop white space")
-        self.known = Memo(self.ids, REMEMBERED)
+        suffix = library.model.end_of_word_suffix
+        self.ends = np.zeros(library.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in library.get_vocab(False).items() if t.endswith(suffix)]] = True
+        for probe, parts in (("a  bc.d\n", ("a", "bc.d")), ("Bc.,", ("bc", ".,"))):
+            if self.ids(probe.encode()) != b"".join(self.ids(p.encode()) for p in parts):
+                raise ValueError("the tokenizer does not cut texts as expected")
+        self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         found = self.library.encode(text.decode(errors="replace"), add_special_tokens=False).ids
         return np.array(found, dtype="<u4").tobytes()
 
+    @staticmethod
+    def cut(ids: bytes, starts: np.ndarray, stops: np.ndarray) -> Iterator[bytes]:
+        return map(ids.__getitem__, map(slice, (4 * starts).tolist(), (4 * stops).tolist()))
+
+    def learn_runs(self, runs: list[str]) -> None:
+        """Each run is one word to the library, so its last id is one that ends a word."""
+        for begun in range(0, len(runs), 512):
+            some = runs[begun : begun + 512]
+            ids = self.ids(" ".join(some).encode())
+            stops = np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1
+            if len(stops) != len(some):
+                raise ValueError("the tokenizer does not end words as expected")
+            self.runs.update(zip(some, self.cut(ids, np.append(0, stops[:-1]), stops)))
+
+    def learn_words(self, words: list[bytes]) -> None:
+        """Words of any kind, with a special token between them."""
+        for begun in range(0, len(words), 512):
+            some = words[begun : begun + 512]
+            ids = self.ids(self.mark.join(some))
+            marks = np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark_id)
+            starts, stops = np.append(0, marks + 1), np.append(marks, len(ids) // 4)
+            self.known.update(zip(some, self.cut(ids, starts, stops)))
+
     def learn(self, words: Iterable[bytes]) -> None:
-        fresh = [w for w in words if self.mark not in w]
-        for begun in range(0, len(fresh), 4096):
-            some = fresh[begun : begun + 4096]
-            flat = np.frombuffer(self.ids(self.mark.join(some)), "<u4")
-            for word, ids in zip(some, np.split(flat, np.flatnonzero(flat == self.mark_id))):
-                # All but the first begin with the mark.
-                self.known[word] = (ids[1:] if word is not some[0] else ids).tobytes()
+        plain, others = [], []
+        for word in words:
+            if self.mark in word:
+                self.known[word] = self.ids(word)
+            elif found := PLAIN.fullmatch(word.decode(errors="replace")):
+                plain.append((word, found[1].lower(), found[2]))
+            else:
+                others.append(word)
+        wanted = {p for _, *parts in plain for p in parts}
+        if len(self.runs) + len(wanted) > REMEMBERED_RUNS:
+            self.runs = {"": b""}
+        runs = self.runs
+        self.learn_runs(list(wanted.difference(runs)))
+        self.known.update((word, runs[a] + runs[b]) for word, a, b in plain)
+        self.learn_words(others)
 
     def encode(self, texts: Sequence[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
-        fresh = {w for some in words for w in some if w not in self.known}
+        fresh = set(chain.from_iterable(words))
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
-            fresh = {w for some in words for w in some}
+        fresh.difference_update(self.known)
         self.learn(fresh)
         return [b"".join(map(self.known.__getitem__, some)) for some in words]
 
@@ -334,11 +375,14 @@ def pack(
     cuts = spark.createDataFrame(
         [(n, int(-(-c // rows))) for n, c in sizes.items()], "_length LONG, _buckets LONG"
     )
-    keys = [F.col(quoted(c)) for c in pieces.columns]
+    whole = pieces.select(
+        F.struct(*map(quoted, pieces.columns)).alias("_row"),
+        F.col(length_column).cast("bigint").alias("_size"),
+    )
     bucketed = (
-        pieces.join(F.broadcast(cuts), F.col(length_column) == F.col("_length"))
-        .withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.col("_buckets")))
-        .drop("_buckets")
+        whole.join(F.broadcast(cuts), F.col("_size") == F.col("_length"))
+        .withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.col("_buckets")))
+        .drop("_buckets", "_size")
     )
     # Bounded by BUCKETS plus one per length.
     held = sorted(
@@ -350,8 +394,6 @@ def pack(
         offsets.append((n, b, before))
         before, last = before + c, n
     table = np.array(offsets, dtype=np.int64).reshape(-1, 3)
-    columns = pieces.columns
-    result = [*columns, "sequence_id", "offset"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket_keys = table[:, 0] << 40 | table[:, 1]
@@ -365,18 +407,18 @@ def pack(
             place = rank - found[:, 1]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(c) for c in columns],
+                    batch.column("_row"),
                     pa.array(found[:, 3] + place // found[:, 4]),
                     pa.array(found[:, 5] + place % found[:, 4] * length),
                 ],
-                names=result,
+                names=["_row", "sequence_id", "offset"],
             )
 
     ranked = bucketed.withColumn(
         "_rank",
         F.row_number()
-        .over(Window.partitionBy("_length", "_bucket").orderBy(*keys))
+        .over(Window.partitionBy("_length", "_bucket").orderBy("_row"))
         .cast("bigint"),
     )
-    added = "sequence_id BIGINT, offset BIGINT"
-    return ranked.mapInArrow(run, extended(pieces.schema, added))
+    schema = extended(whole.select("_row").schema, "sequence_id BIGINT, offset BIGINT")
+    return ranked.mapInArrow(run, schema).select("_row.*", "sequence_id", "offset")

@@ -159,7 +159,7 @@ def quality_rules(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns: list[list] = [[] for _ in names]
-        for text in texts_as_bytes(batch.column(len(carried))):
+        for text in texts_as_bytes(batch.column(1)):
             text = text or b""
             words = text.split()
             found = ngram_buckets(words, buckets)
@@ -180,10 +180,12 @@ def quality_rules(
                 column.append(value)
         kinds = [pa.int64()] * 5 + [pa.float64()] + [pa.bool_()] * 2
         return pa.RecordBatch.from_arrays(
-            batch.columns[: len(carried)] + [pa.array(c, k) for c, k in zip(columns, kinds)],
-            names=[*carried, *names],
+            [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+            names=["_row", *names],
         )
 
-    kept = docs.select(*map(quoted, carried))
-    rows = docs.select(*map(quoted, carried), F.col(text_column).alias("_text"))
-    return rows.mapInArrow(per_batch(run), extended(kept.schema, added))
+    rows = docs.select(
+        F.struct(*map(quoted, carried)).alias("_row"), F.col(text_column).alias("_text")
+    )
+    schema = extended(rows.select("_row").schema, added)
+    return rows.mapInArrow(per_batch(run), schema).select("_row.*", *names)

@@ -153,7 +153,7 @@ def close_pairs(
     flags = np.zeros((2, width * 64), dtype=np.uint8)
     flags[0, :size], flags[1, :size] = side == 1, side == 2
     second, free = BitPlanes.packed(flags)
-    digits = radius.bit_length()
+    digits = max(1, radius.bit_length())
     spare = (1 << digits) - 1 - radius
     everything = ~np.uint64(0)
     active = np.arange(width)
