@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from folioflow.session import scratch_path
 
 HOLDER = "_folioflow_worker"
+KEPT = 2
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -24,15 +25,21 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
-    """An object kept for the life of a Python worker, made on first use.
+    """An object kept in a Python worker over many tasks, made on first use.
 
     Functions are sent with the tasks by value, so their modules' globals start anew in each
-    task; what is dear to build lives in a module of its own in the worker instead.
+    task; what is dear to build lives in a module of its own in the worker instead. Of such
+    objects the worker keeps the ``KEPT`` used last, so that stages do not add up in memory.
     """
     holder = sys.modules.setdefault(HOLDER, types.ModuleType(HOLDER))
-    if not hasattr(holder, name):
-        setattr(holder, name, make())
-    return getattr(holder, name)
+    kept = holder.__dict__.setdefault("kept", {})
+    found = kept.pop(name, None)
+    if found is None:
+        while len(kept) >= KEPT:
+            del kept[next(iter(kept))]
+        found = make()
+    kept[name] = found
+    return found
 
 
 class Memo(dict):

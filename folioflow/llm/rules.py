@@ -24,7 +24,7 @@ THRESHOLD = -0.06
 # Trusted ids up to which they are broadcast; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 # Word hashes that a worker remembers, about 120 bytes each.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 _WHITE = bytes([0x20, *range(0x09, 0x0E)])
 _TRAILING = bytes(range(0x80, 0xC0))
