@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from folioflow.session import scratch_path
 
 HOLDER = "_folioflow_worker"
-KEPT = 2
+KEPT = 1
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

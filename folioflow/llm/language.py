@@ -45,7 +45,8 @@ def learn_dictionaries(
 
     Of the distinct texts of at most ``sample_bytes`` bytes in each language, those with the
     smallest hashes are taken whole, ``sample_texts`` at most, until ``dictionary_bytes`` are
-    full. Copies of a text count once. Rows without a language, a text or an id teach nothing.
+    full. Copies of a text count once. Only ids and hashes are ranked; the sample, that many
+    rows per language, is broadcast to the texts, which are not shuffled. Rows without a language, a text or an id teach nothing.
     """
     rows = docs.select(
         F.col(id_column).alias("id"),
@@ -63,7 +64,7 @@ def learn_dictionaries(
     chosen = chosen.select("lang", "hash", "first").withColumnRenamed("lang", "_lang")
     found = (
         rows.join(
-            chosen,
+            F.broadcast(chosen),
             (F.col("id") == F.col("first"))
             & (F.xxhash64("text") == F.col("hash"))
             & (F.col("lang") == F.col("_lang")),

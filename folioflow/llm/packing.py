@@ -20,8 +20,8 @@ from .common import extended, quoted, texts_as_bytes, worker_cache
 CAPACITY = 4096
 END_ID = 1
 # Tokenised words and runs of letters that a worker remembers, about 140 bytes each.
-REMEMBERED = 3 << 18
-REMEMBERED_RUNS = 1 << 19
+REMEMBERED = 1 << 19
+REMEMBERED_RUNS = 1 << 18
 # Latin letters, then ASCII punctuation, as whole words.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 # Groups that large lengths are rounded in, and the share of a sequence up to which a length
