@@ -21,6 +21,10 @@ DATE = "1970-01-01T00:00:00Z"
 # Bytes of an archive that one task searches at a time, and payload bytes it hands on at once.
 BLOCK_BYTES = 1 << 24
 BATCH_BYTES = 1 << 23
+# Blocks get a task each up to so many tasks; their rows are too small to be counted by size.
+MOST_TASKS = 10_000
+# Repeated payloads up to which their table is broadcast; beyond, the rows are shuffled to it.
+BROADCAST_ROWS = 200_000
 
 _VERSION = re.compile(rb"WARC/\d\.\d$")
 _FIELD = re.compile(rb"([^\x00-\x20:\x7f]+):[ \t]*(.*?)[ \t]*$", re.S)
@@ -135,13 +139,15 @@ class Archive:
 def archive_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``path, length, begin, stop`` of blocks of every file; contents are not read here."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    blocks = F.ceil(F.col("length") / F.lit(block_bytes))
+    tasks = min(MOST_TASKS, files.agg(F.sum(blocks)).first()[0] or 1)
     begin = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(block_bytes)))
     return (
         files.select("path", "length")
         .filter("length > 0")
         .select("path", "length", begin.alias("begin"))
         .withColumn("stop", F.least(F.col("begin") + block_bytes, "length"))
-        .repartition("path", "begin")
+        .repartition(tasks, "path", "begin")
     )
 
 
@@ -280,7 +286,8 @@ def read_archives(
         "begin", F.col("at") - F.pmod(F.col("at"), F.lit(block_bytes))
     )
     walks = entries.join(blocks, ["path", "begin"]).select("path", "length", "at", "stop")
-    return walks.repartition("path", "at").mapInArrow(_records, RECORD)
+    tasks = max(1, min(MOST_TASKS, entries.count()))
+    return walks.repartition(tasks, "path", "at").mapInArrow(_records, RECORD)
 
 
 def broken_chains(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -316,7 +323,8 @@ def revisit_roles(
     Of equal payloads of at least ``min_bytes`` bytes the row with the largest id keeps it and
     the others refer to it; every other row has null. Rows that repeat the largest id all keep
     it, and rows without an id refer to it. Only payloads that occur twice take part in the
-    join, one row each, with counts combined before the shuffle.
+    join, one row each, with counts combined before the shuffle. Few of them are broadcast, so
+    that the payloads stay where they are read; with many, the rows are shuffled.
     """
     sized = rows.withColumn("_digest", F.sha1("payload")).withColumn(
         "_bytes", F.octet_length("payload")
@@ -328,6 +336,9 @@ def revisit_roles(
         .filter("_rows > 1 AND _keeper IS NOT NULL")
         .drop("_rows")
     )
+    keepers = written(keepers, "warc-keepers")
+    if keepers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        keepers = F.broadcast(keepers)
     # The extra key lets adaptive execution split a payload that many rows share.
     keys = ["_digest", "_bytes"]
     spread = F.xxhash64(*keys)
