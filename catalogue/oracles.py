@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from folioflow.functions.strings import WHITESPACE, WHITESPACE_CLASS
-
-_WS = f"[{WHITESPACE_CLASS}]"
-_WS_CHARS = "'" + WHITESPACE + "'"
+# Unicode white space, as a class body and as characters.
+_WHITE = (
+    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+_WS, _SOLID = f"[{_WHITE}]", f"[^{_WHITE}]"
+_WS_POINTS = (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+)
+_WS_CHARS = "'" + "".join(map(chr, _WS_POINTS)) + "'"
 
 # Inputs -------------------------------------------------------------------------------
 
@@ -169,7 +176,8 @@ _MENTIONS = f"""
 words AS (SELECT doc_id, pos, word FROM (
   SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (
     SELECT doc_id, list_filter(list_transform(
-      regexp_split_to_array(lower(left(text, 500)), '{_WS}+'),
+      regexp_split_to_array(lower(CASE WHEN length(text) > 500
+        THEN regexp_replace(left(text, 501), '{_SOLID}*$', '') ELSE text END), '{_WS}+'),
       lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')),
       lambda x: x <> '') AS w FROM bills))),
 mentions AS (SELECT doc_id, arg_min(c_name, pos) AS vendor
@@ -231,7 +239,7 @@ chosen AS (SELECT doc_id, page, pos, y, x,
   FROM tokens WHERE (doc_id + page) % 15 <> 0),
 listed AS (SELECT DISTINCT doc_id, page,
   CASE WHEN (doc_id + page) % 5 <> 0 THEN 'easyocr' ELSE 'tesseract_fallback' END AS engine
-  FROM tokens WHERE page < 5),
+  FROM tokens),
 page_texts AS (SELECT l.doc_id, l.page, l.engine, count(c.pos) AS tokens,
   coalesce(string_agg(c.word, ' ' ORDER BY y, x, pos), '') AS full_text
   FROM listed l LEFT JOIN chosen c ON l.doc_id = c.doc_id AND l.page = c.page
@@ -488,8 +496,8 @@ ORACLES: dict[str, str] = {
           CASE WHEN page_id % 3 = 0 THEN 'pdf' WHEN page_id % 3 = 1 THEN 'image'
                WHEN page_id % 7 = 3 THEN 'pdf' ELSE 'image' END AS kind FROM pages""",
     "upload_guards": """SELECT page_id, CASE
-          WHEN page_id % 7 <> 6 THEN 'Only ZIP archives are accepted for batch processing'
-          WHEN page_id % 14 = 6 THEN 'Empty file uploaded' ELSE 'accepted' END AS reason
+          WHEN page_id % 7 <> 6 THEN 'not_zip'
+          WHEN page_id % 14 = 6 THEN 'empty' ELSE 'accepted' END AS reason
         FROM pages""",
     "zip_expand": """SELECT 'doc_' || doc_id || '.zip' AS archive, i::BIGINT AS member_index,
           ['b.png', 'sub/a.JPG'][i + 1] AS member,
@@ -507,10 +515,12 @@ ORACLES: dict[str, str] = {
     "stream_extract": _stored_fields(_BILLS),
     "stream_metrics": _LATENCY,
     "stream_breaches": _BREACHES,
-    "stream_batches": """SELECT 2 * count(*) AS total_documents,
-          count(*) FILTER ((length(text) + 6) % 7 <> 0)
-            + count(*) FILTER ((length(text) + 10) % 7 <> 0) AS successful,
-          count(*) FILTER ((length(text) + 6) % 7 = 0)
-            + count(*) FILTER ((length(text) + 10) % 7 = 0) AS failed
-        FROM documents WHERE doc_id % 50 <> 0""",
+    "stream_batches": """SELECT 'doc_' || doc_id || '.zip' AS archive,
+          CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 2 END::BIGINT AS total_documents,
+          CASE WHEN doc_id % 50 = 0 THEN 0 ELSE ((length(text) + 6) % 7 <> 0)::INT
+            + ((length(text) + 10) % 7 <> 0)::INT END::BIGINT AS successful,
+          CASE WHEN doc_id % 50 = 0 THEN 0 ELSE ((length(text) + 6) % 7 = 0)::INT
+            + ((length(text) + 10) % 7 = 0)::INT END::BIGINT AS failed,
+          doc_id % 50 = 0 AS broken
+        FROM documents""",
 }

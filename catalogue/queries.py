@@ -130,8 +130,9 @@ def extract_with_vendor_table(spark, sf_dir):
 
 
 def _evaluation(spark, sf_dir) -> ev.Evaluation:
-    predictions = predict_first_pages(inputs.bill_pages(spark, sf_dir))
-    return ev.evaluate(inputs.bill_labels(spark, sf_dir), predictions)
+    labels = inputs.bill_labels(spark, sf_dir)
+    pages = ev.labelled_pages(inputs.bill_pages(spark, sf_dir), labels)
+    return ev.evaluate(labels, predict_first_pages(pages))
 
 
 def evaluate_fields(spark, sf_dir):
@@ -492,7 +493,10 @@ def stream_batches(spark, sf_dir):
         arriving, _text_length, "chars BIGINT", f"{path}/out", f"{path}/checkpoint"
     ).awaitTermination()
     reports = spark.read.parquet(f"{path}/out/reports")
-    return reports.select("total_documents", "successful", "failed")
+    return reports.select(
+        "archive", "total_documents", "successful", "failed",
+        F.col("error").isNotNull().alias("broken"),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

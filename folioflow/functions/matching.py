@@ -32,7 +32,8 @@ def amount_match(
 
 def date_match(predicted: Column | str, truth: Column | str) -> Column:
     """Equality of canonical dates or stripped strings; no truth is no match."""
-    return F.coalesce(as_column(predicted) == as_column(truth), F.lit(False))
+    p, t = (strip(as_column(c).cast("string")) for c in (predicted, truth))
+    return F.coalesce(p == t, F.lit(False))
 
 
 def doc_type_match(predicted: Column | str, truth: Column | str) -> Column:

@@ -27,12 +27,14 @@ def tokens_text(tokens: Column | str) -> Column:
     return F.array_join(F.transform(as_column(tokens), lambda token: token["text"]), " ")
 
 
-def read_page_array(pages: Column | str, max_pages: int) -> Column:
+def read_page_array(pages: Column | str, max_pages: int | None = None) -> Column:
     """``struct<text, tokens, pages, engine>`` of ``array<struct<page, engine, tokens>>``.
 
-    The first pages by number, each in reading order, their texts joined by newlines.
+    The first pages by number (all for None), each in reading order, their texts joined by newlines.
     """
-    kept = F.filter(as_column(pages), lambda p: p["page"] < max_pages)
+    kept = as_column(pages)
+    if max_pages is not None:
+        kept = F.filter(kept, lambda p: p["page"] < max_pages)
     ordered = F.transform(
         F.sort_array(kept),
         lambda p: F.struct(

@@ -14,8 +14,6 @@ HEAD_CHARS = 500
 LONGER_THAN = 3
 KNOWN_CONFIDENCE = 0.8
 LINE_CONFIDENCE = 0.4
-# A literal list longer than this belongs in a table; see operators.vendors.
-MAX_LITERAL_NAMES = 200
 
 _EDGE = r"^\p{Punct}+|\p{Punct}+$"
 
@@ -32,6 +30,15 @@ def normalised_name(name: Column | str) -> Column:
     return F.array_join(name_words(name), " ")
 
 
+def text_head(text: Column | str, head_chars: int = HEAD_CHARS) -> Column:
+    """The first characters of a text, without a word that goes on beyond them."""
+    text = as_column(text)
+    cut = F.regexp_replace(
+        F.substring(text, 1, head_chars + 1), f"[^{WHITESPACE_CLASS}]*$", ""
+    )
+    return F.when(F.char_length(text) > head_chars, cut).otherwise(text)
+
+
 def first_line(text: Column | str, longer_than: int = LONGER_THAN) -> Column:
     """First newline-separated line whose stripped length exceeds ``longer_than``."""
     blank = f"[{WHITESPACE_CLASS}&&[^\\n]]"
@@ -42,12 +49,10 @@ def first_line(text: Column | str, longer_than: int = LONGER_THAN) -> Column:
 
 
 def known_name(text: Column | str, names: Sequence[str], head_chars: int = HEAD_CHARS) -> Column:
-    """Earliest of a few literal names in the head of the text, longest at equal position.
+    """Earliest of the literal names in the head of the text, longest at equal position.
 
-    Map-only. The text is reduced to its words, so one regex over the joined words decides.
+    Map-only; for very many names, ``operators.vendors`` does the same with a table. The text is reduced to its words, so one regex over the joined words decides.
     """
-    if len(names) > MAX_LITERAL_NAMES:
-        raise ValueError(f"over {MAX_LITERAL_NAMES} names: use operators.vendors with a table")
     keyed = {" ".join(filter(None, map(_plain_word, name.lower().split()))): name
              for name in sorted(names, reverse=True)}
     keyed.pop("", None)
@@ -55,7 +60,7 @@ def known_name(text: Column | str, names: Sequence[str], head_chars: int = HEAD_
         return F.lit(None).cast("string")
     longest_first = sorted(keyed, key=lambda key: (-key.count(" "), key))
     pattern = "(?<![^ ])(?:" + "|".join(rf"\Q{key}\E" for key in longest_first) + ")(?![^ ])"
-    head = normalised_name(F.substring(as_column(text), 1, head_chars))
+    head = normalised_name(text_head(text, head_chars))
     lookup = F.create_map(*[F.lit(part) for pair in keyed.items() for part in pair])
     return F.try_element_at(lookup, F.regexp_extract(head, pattern, 0))
 

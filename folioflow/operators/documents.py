@@ -8,10 +8,11 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioflow.schemas import TOKEN
 
@@ -57,8 +58,9 @@ def map_documents(
 
     ``schema`` describes the returned dict. Output columns: ``keep``, those of ``schema`` (null
     on failure), then ``success, error, total_ms, timings`` and the clock at start and end in
-    seconds. ``setup`` loads a model once per
-    task; an exception there fails the task, as no row could succeed.
+    seconds. Values reach the function as plain Python objects, integers with nulls included.
+    ``setup`` loads a model once per task; an exception there fails the task, as no row could
+    succeed.
     """
     produced = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     kept = [documents.schema[name] for name in keep]
@@ -79,15 +81,34 @@ def map_documents(
         result.update((name, row[name]) for name in keep)
         return result
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    maps = [f.name for f in output.fields if isinstance(f.dataType, T.MapType)]
+    arrow = to_arrow_schema(output)
+
+    def packed(rows: list[dict]) -> pa.RecordBatch:
+        for row in rows:
+            row.update((n, list(row[n].items())) for n in maps if isinstance(row[n], dict))
+        return pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    def checked(row: dict) -> dict:
+        """The row, or its failure where a value does not fit the schema."""
+        try:
+            packed([dict(row)])
+        except (pa.ArrowException, TypeError, ValueError, OverflowError) as problem:
+            return {**row, **empty, "success": False, "error": str(problem)}
+        return row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = setup() if setup else None
         for batch in batches:
-            for start in range(0, len(batch), ROWS_PER_BATCH):
-                rows = batch.iloc[start : start + ROWS_PER_BATCH].to_dict("records")
-                done = [guarded(row, model) for row in rows]
-                yield pd.DataFrame(done, columns=names).astype(object)
-
-    return documents.mapInPandas(run, output)
+            for start in range(0, batch.num_rows, ROWS_PER_BATCH):
+                rows = batch.slice(start, ROWS_PER_BATCH).to_pylist()
+                done = [{n: r.get(n) for n in names} for r in (guarded(row, model) for row in rows)]
+                try:
+                    yield packed([dict(r) for r in done])
+                except (pa.ArrowException, TypeError, ValueError, OverflowError):
+                    yield packed([checked(r) for r in done])
+
+    return documents.mapInArrow(run, output)
 
 
 def first_with_tokens(

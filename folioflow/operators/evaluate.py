@@ -15,6 +15,7 @@ from .joins import duplicate_keys, first_per_key, lookup_join
 # Fixed value: the overall accuracy a run should reach.
 TARGET_ACCURACY = 0.95
 FIELDS = ("vendor", "date", "amount")
+LABEL_COLUMNS = {"vendor": "vendor_name", "date": "invoice_date", "amount": "total_amount"}
 
 
 @dataclass(frozen=True)
@@ -42,11 +43,18 @@ def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> Column:
     )
 
 
+def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pages of labelled files; apply before fields are extracted from them."""
+    wanted = labels.select("file_path").distinct()
+    return lookup_join(pages, wanted, ["file_path"], "left_semi")
+
+
 def compare(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     """Label rows with their prediction and match flags, by ``file_path``.
 
     ``predictions``: ``file_path, success, vendor, date, amount, doc_type, preprocessing_ms``,
-    failed documents included. A null label value means the label holds no truth for the field.
+    failed documents included. A null label value means the label holds no truth for the field,
+    unless the label's ``malformed`` names it: then there is a truth, and nothing matches it.
     The file with the most labels may dominate: the join splits it, see ``lookup_join``.
     """
     truth = labels.select(
@@ -55,6 +63,7 @@ def compare(labels: DataFrame, predictions: DataFrame) -> DataFrame:
         F.col("invoice_date").alias("gt_date"),
         F.col("total_amount").alias("gt_amount"),
         F.col("doc_type").alias("gt_doc_type"),
+        _malformed(labels).alias("malformed"),
     )
     predicted = predictions.select(
         "file_path",
@@ -80,6 +89,11 @@ def compare(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
+def _malformed(labels: DataFrame) -> Column:
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    return F.coalesce("malformed", none) if "malformed" in labels.columns else none
+
+
 def confusion_counts(details: DataFrame) -> DataFrame:
     """True/false positives and false negatives of all three fields, and totals, in one pass."""
     ok = F.col("success")
@@ -93,7 +107,8 @@ def confusion_counts(details: DataFrame) -> DataFrame:
     ]
     for field in FIELDS:
         match = F.col(f"{field}_match")
-        truth = F.col(f"gt_{field}").isNotNull()
+        unread = F.array_contains("malformed", LABEL_COLUMNS[field])
+        truth = F.col(f"gt_{field}").isNotNull() | unread
         guess = F.col(f"pred_{field}").isNotNull()
         counts += [
             F.count_if(match).alias(f"{field}_tp"),

@@ -53,9 +53,11 @@ def token_rows(results: DataFrame, keys: Sequence[str] = PAGE_KEY) -> DataFrame:
     )
 
 
-def cap_pages(df: DataFrame, max_pages: int = MAX_PAGES, page: str = "page") -> DataFrame:
-    """The first pages of every document; apply before anything costly."""
-    return df.filter(F.col(page) < max_pages)
+def cap_pages(
+    df: DataFrame, max_pages: int | None = MAX_PAGES, page: str = "page"
+) -> DataFrame:
+    """The first pages of every document, all for None; apply before anything costly."""
+    return df if max_pages is None else df.filter(F.col(page) < max_pages)
 
 
 def engine_fallback(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.strings import as_column
-from folioflow.functions.vendor import HEAD_CHARS, name_words, normalised_name
+from folioflow.functions.vendor import HEAD_CHARS, name_words, normalised_name, text_head
 
 from .columns import settle
 from .joins import small_side
@@ -42,7 +42,7 @@ def vendor_mentions(
     if not lengths:
         return documents.select(doc_id, F.lit(None).cast("string").alias("vendor")).limit(0)
 
-    heads = documents.select(doc_id, F.substring(as_column(text), 1, head_chars).alias("_head"))
+    heads = documents.select(doc_id, text_head(text, head_chars).alias("_head"))
     worded = settle(heads, _words=name_words("_head"))
     placed = worded.select(doc_id, "_words", F.posexplode("_words").alias("_at", "_word"))
     fitting = F.filter(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators.documents import Task, document_id, map_documents, spread_documents
+from folioflow.operators.reports import NO_MEMBERS, batch_report
 from folioflow.operators.sampling import MAX_FRAMES_IN_BATCH, sample_media
 from folioflow.sources.archives import expand_archives
 from folioflow.sources.files import check_archives, discover
@@ -48,7 +49,7 @@ def archive_items(archives: DataFrame, tasks: int | None = None) -> DataFrame:
     """``doc_id, archive, source_path, content`` of the readable members of accepted archives.
 
     ``archives``: ``path, length, content``. Broken archives and members are left out here;
-    ``expand_archives`` reports them.
+    ``archive_problems`` has them.
     """
     accepted, _ = check_archives(archives)
     members = expand_archives(accepted, tasks=tasks).filter(
@@ -62,6 +63,48 @@ def archive_items(archives: DataFrame, tasks: int | None = None) -> DataFrame:
     )
 
 
+def archive_problems(archives: DataFrame) -> DataFrame:
+    """``archive, member, error`` of rejected and broken archives and of unreadable members.
+
+    ``member`` is null where the whole archive could not be used.
+    """
+    accepted, rejected = check_archives(archives)
+    unread = expand_archives(accepted).filter(F.col("error").isNotNull())
+    return rejected.select(
+        F.col("path").alias("archive"),
+        F.lit(None).cast("string").alias("member"),
+        F.col("reason").alias("error"),
+    ).unionByName(unread.select("archive", "member", "error"))
+
+
+def archive_reports(archives: DataFrame, results: DataFrame, problems: DataFrame) -> DataFrame:
+    """One report per archive: totals of its members' ``results``, or why there are none.
+
+    ``unreadable`` counts members that could not be read; ``error`` tells of the archive as a
+    whole. Archives with the same path share a report.
+    """
+    listed = archives.select(F.col("path").alias("archive")).distinct()
+    report = batch_report(results, by=["archive"], empty_message=NO_MEMBERS).drop("error")
+    found = problems.groupBy("archive").agg(
+        F.count("member").alias("unreadable"),
+        F.max(F.when(F.col("member").isNull(), F.col("error"))).alias("error"),
+    )
+    totals = [c for c in report.columns if c != "archive"]
+    joined = listed.join(report, listed["archive"].eqNullSafe(report["archive"]), "left").drop(
+        report["archive"]
+    )
+    joined = joined.join(found, joined["archive"].eqNullSafe(found["archive"]), "left").drop(
+        found["archive"]
+    )
+    none = F.when(F.col("total_documents").isNull(), F.lit(NO_MEMBERS))
+    return joined.select(
+        "archive",
+        F.coalesce("error", none).alias("error"),
+        F.coalesce("unreadable", F.lit(0)).alias("unreadable"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in totals],
+    )
+
+
 def process_items(
     items: DataFrame,
     function: Callable[[dict, Task], dict],

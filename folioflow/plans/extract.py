@@ -11,9 +11,8 @@ from folioflow.functions.dates import invoice_date
 from folioflow.functions.reading import read_page_array
 from folioflow.functions.strings import as_column
 from folioflow.functions.summary import summarize
-from folioflow.functions.vendor import vendor
+from folioflow.functions.vendor import KNOWN_CONFIDENCE, vendor
 from folioflow.operators.tokens import (
-    MAX_PAGES,
     PRIMARY_ENGINE,
     assemble_documents,
     cap_pages,
@@ -80,7 +79,7 @@ def with_vendor_table(
     Joins narrow tables only: the extracted rows and the mentions. The texts stay in place.
     """
     mentions = vendor_mentions(documents, names, doc_id, text)
-    known = F.struct(F.col("_known").alias("value"), F.lit(0.8).alias("confidence"))
+    known = F.struct(F.col("_known").alias("value"), F.lit(KNOWN_CONFIDENCE).alias("confidence"))
     return (
         extracted.join(mentions.withColumnRenamed("vendor", "_known"), doc_id, "left")
         .withColumn(
@@ -101,9 +100,9 @@ def documents_from_tokens(
     primary: DataFrame,
     secondary: DataFrame | None = None,
     pages: DataFrame | None = None,
-    max_pages: int = MAX_PAGES,
+    max_pages: int | None = None,
 ) -> DataFrame:
-    """Document texts from token tables, first pages only.
+    """Document texts from token tables, of all pages or the first ``max_pages``.
 
     ``pages`` lists the pages that exist; without it only pages with tokens are known.
     """
@@ -122,7 +121,7 @@ def documents_from_tokens(
     )
 
 
-def documents_from_page_arrays(rows: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def documents_from_page_arrays(rows: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Document texts from one row per document. Map-only, for streams as well.
 
     ``rows``: ``doc_id, pages ARRAY<STRUCT<page, engine, tokens>>``, tokens in reported order.

@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import os
 import zipfile
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,8 +32,8 @@ _BATCH_BYTES = 4 * 1024 * 1024
 def _members(archive: str, content: bytes, extensions: frozenset[str]) -> Iterator[tuple]:
     try:
         opened = zipfile.ZipFile(io.BytesIO(content))
-    except (zipfile.BadZipFile, OSError, ValueError) as problem:
-        yield archive, None, None, None, str(problem)
+    except Exception as problem:  # a damaged archive is a row, not a failed job
+        yield archive, None, None, None, str(problem) or type(problem).__name__
         return
     with opened:
         wanted = (
@@ -45,9 +44,8 @@ def _members(archive: str, content: bytes, extensions: frozenset[str]) -> Iterat
         for index, name in enumerate(wanted):
             try:
                 yield archive, index, name, opened.read(name), None
-            except (zipfile.BadZipFile, zlib.error, OSError, RuntimeError,
-                    NotImplementedError, EOFError) as problem:
-                yield archive, index, name, None, str(problem)
+            except Exception as problem:  # any damage to one member leaves the others readable
+                yield archive, index, name, None, str(problem) or type(problem).__name__
 
 
 def _batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.strings import as_column
 from folioflow.schemas import LABELS
@@ -82,10 +83,10 @@ def check_archives(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = (
         F.when(
             ~F.coalesce(F.lower("path").endswith(".zip"), F.lit(False)),
-            "Only ZIP archives are accepted for batch processing",
+            "not_zip",
         )
-        .when(F.col("length") == 0, "Empty file uploaded")
-        .when(F.col("length") > MAX_CONTENT_BYTES, "Archive exceeds the binary column limit")
+        .when(F.col("length") == 0, "empty")
+        .when(F.col("length") > MAX_CONTENT_BYTES, "too_large")
     )
     checked = uploads.withColumn("reason", reason)
     return (
@@ -95,5 +96,20 @@ def check_archives(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Ground truth from a CSV file with a header."""
-    return spark.read.schema(LABELS).csv(path, header=True)
+    """Ground truth from a CSV file with a header, columns by name and in any order.
+
+    Columns the file lacks are null. ``malformed`` lists the columns whose value is there but
+    cannot be read; such a value is null, and still is a truth that was not met.
+    """
+    raw = spark.read.csv(path, header=True, inferSchema=False)
+    fields = T.StructType.fromDDL(LABELS).fields
+    given = {f.name: F.col(f.name) if f.name in raw.columns else F.lit(None) for f in fields}
+    read = [given[f.name].cast("string").try_cast(f.dataType).alias(f.name) for f in fields]
+    unread = [
+        F.when(
+            given[f.name].isNotNull() & given[f.name].cast("string").try_cast(f.dataType).isNull(),
+            f.name,
+        )
+        for f in fields
+    ]
+    return raw.select(*read, F.array_compact(F.array(*unread)).alias("malformed"))

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from folioflow.operators.documents import Task
-from folioflow.operators.reports import NO_MEMBERS, batch_report
-from folioflow.plans.batch import archive_items, process_items
+from folioflow.plans.batch import (
+    archive_items,
+    archive_problems,
+    archive_reports,
+    process_items,
+)
 
 
 def report_stream(
@@ -20,12 +24,15 @@ def report_stream(
     checkpoint: str,
     setup: Callable[[], object] | None = None,
     tasks: int | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start processing arriving archives (``path, length, content``) member by member.
 
-    Each micro-batch writes ``results`` and a one-row ``reports`` under a folder of its own
-    id, overwritten if the batch runs again. The report lasts from the first start to the
-    last end of its documents.
+    Each micro-batch writes ``results``, ``problems`` and ``reports``, a row per archive with
+    the reason where one was rejected or broken, under folders of its own id, overwritten if
+    the batch runs again. A report lasts from the first start to the last end of the archive's
+    documents. ``trigger`` is passed on, ``{"processingTime": "10 seconds"}`` for one; without
+    it all that is there is processed.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -35,12 +42,14 @@ def report_stream(
         results = process_items(items, function, schema, setup, keep=kept)
         results.write.mode("overwrite").parquet(f"{output}/results/{here}")
         stored = batch.sparkSession.read.parquet(f"{output}/results/{here}")
-        report = batch_report(stored, empty_message=NO_MEMBERS)
-        report.coalesce(1).write.mode("overwrite").parquet(f"{output}/reports/{here}")
+        archive_problems(batch).write.mode("overwrite").parquet(f"{output}/problems/{here}")
+        problems = batch.sparkSession.read.parquet(f"{output}/problems/{here}")
+        report = archive_reports(batch, stored, problems)
+        report.write.mode("overwrite").parquet(f"{output}/reports/{here}")
 
     return (
         archives.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -16,6 +16,7 @@ def extract_stream(
     checkpoint: str,
     known_vendor: Column | None = None,
     file_format: str = "parquet",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start writing one response row per arriving document. Stateless, exactly once in files.
 
@@ -26,7 +27,7 @@ def extract_stream(
         .writeStream.format(file_format)
         .option("path", output)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -57,6 +57,7 @@ def keep_history(
     checkpoint: str,
     order: Sequence[str] = ("ts",),
     history: int = HISTORY_SIZE,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start keeping the newest requests of a stream under ``root``."""
     return (
@@ -64,7 +65,7 @@ def keep_history(
             lambda batch, batch_id: refresh_history(batch, batch_id, root, order, history)
         )
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -56,7 +56,7 @@ def test_page_arrays_read_like_token_tables(spark, tmp_path):
     extract_stream(stream, out, str(tmp_path / "mark")).awaitTermination()
     found = documents_from_page_arrays(rows).filter("doc_id = 'd'").first()
     assert found.text == "\n".join(
-        "Burger Barn Total: $7.00" if p != 1 else "" for p in range(5)) == expected.text
+        "Burger Barn Total: $7.00" if p != 1 else "" for p in range(6)) == expected.text
     assert found.tokens == expected.tokens and (found.pages, found.engine) == (5, "easyocr")
     stored = {r.doc_id: r for r in spark.read.parquet(out).collect()}
     assert stored["d"].fields.total_amount.value == 7.0 and stored["d"].debug.pages == 5
@@ -120,7 +120,12 @@ def test_batch_arrival(spark, tmp_path):
     stream = spark.readStream.format("binaryFile").schema(
         "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY").load(str(inbox))
     report_stream(stream, measure, "size INT", out, mark).awaitTermination()
-    (report,) = spark.read.parquet(f"{out}/reports").collect()
+    reports = {
+        r.archive.rsplit("/", 1)[1]: r for r in spark.read.parquet(f"{out}/reports").collect()
+    }
+    report = reports["one.zip"]
     assert (report.total_documents, report.successful, report.failed) == (2, 1, 1)
+    assert report.error is None and reports["two.zip"].error
+    assert reports["two.zip"].total_documents == 0
     results = {r.source_path: r for r in spark.read.parquet(f"{out}/results").collect()}
     assert results["a.png"].size == 3 and results["b.png"].error == "unreadable"

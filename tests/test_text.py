@@ -138,8 +138,12 @@ def test_known_names(spark, evaluate_text):
     assert evaluate_text(known_name("text", names), *texts) == [
         "Green Garden", "Green Garden Ltd.", None, None, "A.B. Foods", None,
     ]
-    with pytest.raises(ValueError):
-        known_name("text", [f"name {i}" for i in range(201)])
+    many = [f"name {i}" for i in range(1000)]
+    assert evaluate_text(known_name("text", many), "to Name 7, by name 999") == ["name 7"]
+    cut = "x " * 248 + "Johnson Ltd"
+    assert cut[:500].endswith("John")
+    assert evaluate_text(known_name("text", ["John", "x"]), cut[2:], cut) == ["x", "x"]
+    assert evaluate_text(known_name("text", ["John"]), cut) == [None]
 
 
 def test_vendor_confidence(spark, evaluate_text):
