@@ -57,9 +57,9 @@ def test_page_arrays_read_like_token_tables(spark, tmp_path):
     found = documents_from_page_arrays(rows).filter("doc_id = 'd'").first()
     assert found.text == "\n".join(
         "Burger Barn Total: $7.00" if p != 1 else "" for p in range(6)) == expected.text
-    assert found.tokens == expected.tokens and (found.pages, found.engine) == (5, "easyocr")
+    assert found.tokens == expected.tokens and (found.pages, found.engine) == (6, "easyocr")
     stored = {r.doc_id: r for r in spark.read.parquet(out).collect()}
-    assert stored["d"].fields.total_amount.value == 7.0 and stored["d"].debug.pages == 5
+    assert stored["d"].fields.total_amount.value == 7.0 and stored["d"].debug.pages == 6
     assert stored["e"].doc_type == "unknown" and stored["e"].debug.pages == 0
 
 
