@@ -67,6 +67,21 @@ def test_odd_rows_go_through(spark):
         assert stage(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"thing{i}" for i in range(60))
+    rows = [
+        (7, text, "a"), (7, text, "a"), (7, text, "b"), (3, text, "c"), (None, text, "d"),
+        (3, other, "e"), (None, None, "f"), (None, "", "g"), (None, None, "f"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, _hash STRING")
+    kept = corpus_pipeline.near_duplicate(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id or 0, r.text or "", r._hash) for r in kept.collect())
+    assert found[1:] == [(3, other, "e"), (3, text, "c")]
+    assert found[0][:2] == (0, "") and found[0][2] in "fg"
+
+
 def test_packing_checksums(stages):
     assert all(0 <= r.ids_crc32 < 1 << 32 for r in stages[-1].collect())
     assert zlib.crc32(b"") == 0
