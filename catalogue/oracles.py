@@ -510,6 +510,23 @@ ORACLES: dict[str, str] = {
           CASE WHEN n_chars % 10 = 0 THEN 'unreadable page' END AS error,
           CASE WHEN n_chars % 10 <> 0 THEN length(text) - length(replace(text, 'e', '')) END
             AS letters FROM documents""",
+    "labels_from_csv": """SELECT o_orderkey::VARCHAR AS doc_id,
+          'bill_' || o_orderkey || '.jpg' AS file_path, NULL::VARCHAR AS vendor_name,
+          CASE WHEN o_orderkey % 6 <> 0 THEN o_orderdate::DATE END AS invoice_date,
+          CASE WHEN o_orderkey % 15 <> 0 AND o_orderkey % 4 <> 0 THEN o_orderkey::DOUBLE END
+            AS total_amount,
+          CASE WHEN o_orderkey % 30 = 0 THEN 'invoice_date,total_amount'
+               WHEN o_orderkey % 6 = 0 THEN 'invoice_date'
+               WHEN o_orderkey % 15 = 0 THEN 'total_amount' ELSE '' END AS malformed
+        FROM orders""",
+    "engine_pages": """SELECT p_partkey::BIGINT + 9007199254740992 AS doc_id,
+          CASE WHEN second THEN 'tesseract_fallback' ELSE 'easyocr' END AS engine,
+          len(string_split(p_type, ' '))::BIGINT AS tokens,
+          md5(CASE WHEN second THEN lower(p_type) ELSE p_type END) AS text_md5
+        FROM (SELECT *, p_partkey % 3 = 0 OR p_partkey % 5 = 0 AS second FROM part)""",
+    "document_names": """SELECT page_id, source_path, sha256(source_path) AS doc_id FROM (
+          SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN url ELSE 'image_' || page_id END
+            AS source_path FROM pages)""",
     "artifact_sink": _stored_fields(_BILLS),
     "report_sink": _TIMING,
     "stream_extract": _stored_fields(_BILLS),

@@ -16,14 +16,27 @@ from folioflow.functions.timing import overhead_reduction_pct, process_time_head
 from folioflow.functions.vendor import vendor
 from folioflow.operators import evaluate as ev
 from folioflow.operators.columns import settle
-from folioflow.operators.documents import map_documents
-from folioflow.operators.reports import batch_report, latency_metrics, timing_report
+from folioflow.operators.documents import (
+    OCR_RESULT,
+    document_id,
+    first_with_tokens,
+    map_documents,
+    number_documents,
+)
+from folioflow.operators.reports import (
+    batch_report,
+    latency_metrics,
+    success_split,
+    timing_report,
+)
 from folioflow.operators.sampling import newest, sample_media, sample_ordered, sample_positions
 from folioflow.operators.tokens import (
     assemble_documents,
     cap_pages,
     engine_fallback,
+    polygon_tokens,
     read_pages,
+    token_rows,
     usable_tokens,
 )
 from folioflow.operators.vendors import vendor_mentions
@@ -38,7 +51,7 @@ from folioflow.session import scratch_path
 from folioflow.sources import box_text, sinks, task_json, xml_boxes
 from folioflow.sources.annotations import merge_annotations, name_classes
 from folioflow.sources.archives import expand_archives
-from folioflow.sources.files import check_archives, discover, route_media
+from folioflow.sources.files import check_archives, discover, read_labels, route_media
 from folioflow.streaming.batches import report_stream
 from folioflow.streaming.extract import breach_alerts, extract_stream, request_log
 from folioflow.streaming.latency import current_metrics, keep_history
@@ -157,6 +170,23 @@ def evaluate_skipped(spark, sf_dir):
     return _evaluation(spark, sf_dir).skipped.select("doc_id", "file_path")
 
 
+def labels_from_csv(spark, sf_dir):
+    """Labels stored as CSV with columns in another order and some dates and amounts unreadable."""
+    key = F.col("o_orderkey")
+    path = scratch_path(spark, "labels")
+    table(spark, sf_dir, "orders").select(
+        F.when(key % 6 == 0, F.date_format("o_orderdate", "MM/dd/yyyy"))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("invoice_date"),
+        inputs.file_name(key).alias("file_path"),
+        F.when(key % 15 == 0, "n/a").when(key % 4 != 0, key.cast("string")).alias("total_amount"),
+        key.alias("doc_id"),
+    ).write.csv(path, header=True)
+    return read_labels(spark, path).select(
+        "doc_id", "file_path", "vendor_name", "invoice_date", "total_amount",
+        F.array_join("malformed", ",").alias("malformed"),
+    )
+
+
 # Tokens -------------------------------------------------------------------------------
 
 
@@ -185,7 +215,9 @@ def _document_columns(documents: DataFrame) -> DataFrame:
 
 
 def page_assembly(spark, sf_dir):
-    return _document_columns(assemble_documents(read_pages(inputs.word_tokens(spark, sf_dir))))
+    # Pages and then documents are grouped from one partitioning by document.
+    tokens = inputs.word_tokens(spark, sf_dir).repartition("doc_id")
+    return _document_columns(assemble_documents(read_pages(tokens)))
 
 
 def documents_with_fallback(spark, sf_dir):
@@ -416,6 +448,56 @@ def guarded_map(spark, sf_dir):
     return done.select("doc_id", "success", "error", "letters")
 
 
+def _load_engine():
+    return {"confidence": 0.75}
+
+
+def _first_engine(row, task):
+    with task.step("first"):
+        if row["rank"] is None:
+            raise ValueError("unreadable page")
+        if row["rank"] % 5 == 0:
+            return []
+        return _engine_tokens(row["text"].split(), task)
+
+
+def _second_engine(row, task):
+    with task.step("second"):
+        return _engine_tokens(row["text"].lower().split(), task)
+
+
+def _engine_tokens(words, task):
+    confidence = task.model["confidence"]
+    return [
+        {"text": w, "confidence": confidence, "bbox": [{"x": 9 * i, "y": 0}] * 4}
+        for i, w in enumerate(words)
+    ]
+
+
+def engine_pages(spark, sf_dir):
+    """Parts as pages with ids beyond 2**53 and missing ranks, read by two engines."""
+    key = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(
+        (key.cast("bigint") + F.lit(1 << 53)).alias("doc_id"),
+        F.lit(0).alias("page"),
+        F.when(key % 3 != 0, key).cast("bigint").alias("rank"),
+        F.col("p_type").alias("text"),
+    )
+    read = first_with_tokens(_first_engine, _second_engine)
+    results = map_documents(parts, read, OCR_RESULT, _load_engine, keep=("doc_id", "page"))
+    good, _ = success_split(results)
+    return _page_columns(read_pages(polygon_tokens(token_rows(good)))).drop("page")
+
+
+def document_names(spark, sf_dir):
+    key = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select(
+        key, F.when(key % 3 != 0, F.col("url")).alias("source_path")
+    )
+    named = number_documents(pages, "page_id")
+    return named.select("page_id", "source_path", document_id().alias("doc_id"))
+
+
 def artifact_sink(spark, sf_dir):
     path = scratch_path(spark, "artifacts")
     sinks.write_artifacts(extract_documents(inputs.bills(spark, sf_dir)), None, path, buckets=4)
@@ -505,7 +587,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         classify_keywords, classify_documents, extract_dates, extract_amounts,
         amount_candidates_plain, extract_vendor_line, vendor_dictionary, summarize_documents,
         extract_bills, extract_corpus, extract_with_vendor_table,
-        evaluate_fields, evaluate_summary, evaluate_details, evaluate_skipped,
+        evaluate_fields, evaluate_summary, evaluate_details, evaluate_skipped, labels_from_csv,
         reading_order, engine_fallback_tokens, page_assembly, documents_with_fallback, page_cap,
         token_filter_boxes,
         xml_image_boxes, xml_image_shapes, xml_track_boxes, task_json_records, box_text_records,
@@ -514,6 +596,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         batch_summary_by_user, overhead_stats, overhead_per_request,
         keyframes_of_media, keyframes_of_turns, keyframes_of_events,
         scan_discovery, media_routing, upload_guards, zip_expand, guarded_map,
+        engine_pages, document_names,
         artifact_sink, report_sink,
         stream_extract, stream_metrics, stream_breaches, stream_batches,
     )

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from catalogue.oracles import ORACLES
+from catalogue.queries import QUERIES
 from check_queries import rows_of
 
 SMALL = "/root/testdata/sf0.001"
@@ -27,10 +29,10 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, database, name):
     frame = __spark_entry__.queries()[name](spark, SMALL)
     result = database.execute(__spark_entry__.oracle_sql()[name])
