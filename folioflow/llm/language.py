@@ -18,6 +18,8 @@ UNDETERMINED = "und"
 SAMPLE_TEXTS = 64
 SAMPLE_BYTES = 1 << 14
 DICTIONARY_BYTES = 1 << 15
+# Parts that a language's hashes are ranked in before the language is.
+PARTS = 64
 # Bytes compressed at a time, so that a long text does not become its own dictionary.
 BLOCK = 2000
 LEVEL = 12
@@ -46,7 +48,8 @@ def learn_dictionaries(
     Of the distinct texts of at most ``sample_bytes`` bytes in each language, those with the
     smallest hashes are taken whole, ``sample_texts`` at most, until ``dictionary_bytes`` are
     full. Copies of a text count once. Only ids and hashes are ranked; the sample, that many
-    rows per language, is broadcast to the texts, which are not shuffled. Rows without a language, a text or an id teach nothing.
+    rows per language, is broadcast to the texts, which are not shuffled. Rows without a
+    language, a text or an id teach nothing.
     """
     rows = docs.select(
         F.col(id_column).alias("id"),
@@ -59,9 +62,13 @@ def learn_dictionaries(
     distinct = (
         rows.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.min("id").alias("first"))
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "first"))
-    chosen = distinct.withColumn("_rank", rank).filter(F.col("_rank") <= sample_texts)
-    chosen = chosen.select("lang", "hash", "first").withColumnRenamed("lang", "_lang")
+    # First within each part of the hashes, then among those, so that no task ranks all of a
+    # language.
+    chosen = distinct.withColumn("_part", F.pmod("hash", F.lit(PARTS)))
+    for by in (("lang", "_part"), ("lang",)):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("hash", "first"))
+        chosen = chosen.withColumn("_rank", rank).filter(F.col("_rank") <= sample_texts)
+    chosen = chosen.select(F.col("lang").alias("_lang"), "hash", "first")
     found = (
         rows.join(
             F.broadcast(chosen),
