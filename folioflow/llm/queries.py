@@ -16,7 +16,7 @@ from .language import detect_language, learn_dictionaries
 from .licences import scan_licences
 from .packing import pack, token_pieces
 from .piece_codec import decode_ids, encode_texts
-from .rules import log_ratios, quality_rules, trusted_documents
+from .rules import pulled_ratios, quality_rules, trusted_documents
 from .simhash import fingerprint_text, near_duplicates
 from .token_counts import count_tokens
 from .vectors import near_vectors
@@ -126,7 +126,7 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 def op8_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     trusted = trusted_documents(table(spark, folder, "labels"))
-    return quality_rules(docs, log_ratios(docs, trusted)).select(
+    return quality_rules(docs, pulled_ratios(docs, trusted)).select(
         "doc_id",
         "n_words",
         "word_chars",

@@ -19,6 +19,8 @@ MAX_REPEAT_PERCENT = 30
 # Hash buckets of words and word pairs, and added count of each.
 BUCKETS = 8192
 ADDED = 1.0
+# N-grams with the shares of all texts that are added to the trusted ones.
+PULL = float(1 << 17)
 # Mean log ratio per n-gram below which a text is rejected.
 THRESHOLD = -0.06
 # Trusted ids up to which they are broadcast; beyond, the texts are shuffled to them.
@@ -86,15 +88,14 @@ def trusted_documents(labels: DataFrame) -> DataFrame:
     )
 
 
-def log_ratios(
+def ngram_counts(
     docs: DataFrame,
     trusted: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
     buckets: int = BUCKETS,
-    added: float = ADDED,
-) -> np.ndarray:
-    """Per bucket the log of its share in trusted texts over its share in all texts.
+) -> tuple[np.ndarray, np.ndarray]:
+    """Per bucket the n-grams of all texts and those of trusted ones.
 
     Counts run over every row. Each task adds up its own buckets, so the shuffle carries at
     most ``buckets`` rows a task and the driver sees ``buckets`` rows.
@@ -130,11 +131,48 @@ def log_ratios(
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for b, r, t in counted:
         raw[b], target[b] = r, t
+    return raw, target
+
+
+def log_ratios(
+    docs: DataFrame,
+    trusted: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    buckets: int = BUCKETS,
+    added: float = ADDED,
+) -> np.ndarray:
+    """Per bucket the log of its share in trusted texts over its share in all texts.
+
+    ``added`` goes to every bucket of both. With few trusted texts the target is near uniform
+    and the ratios of ordinary texts are low; ``pulled_ratios`` has no such bias.
+    """
+    raw, target = ngram_counts(docs, trusted, id_column, text_column, buckets)
     return np.log((target + added) / (target.sum() + added * buckets)) - np.log(
         (raw + added) / (raw.sum() + added * buckets)
     )
 
 
+def pulled_ratios(
+    docs: DataFrame,
+    trusted: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    buckets: int = BUCKETS,
+    added: float = ADDED,
+    pull: float = PULL,
+) -> np.ndarray:
+    """As ``log_ratios``, with the trusted counts pulled to the shares of all texts.
+
+    ``pull`` n-grams that are spread like all texts are added to the trusted ones. Few trusted
+    texts thus give ratios near 0, by which documents are kept, and none give 0 throughout:
+    without trusted texts the base rules alone decide.
+    """
+    raw, target = ngram_counts(docs, trusted, id_column, text_column, buckets)
+    shares = (raw + added) / (raw.sum() + added * buckets)
+    return np.log((target / shares + pull) / (target.sum() + pull))
+
+
 def quality_rules(
     docs: DataFrame,
     ratios: np.ndarray,

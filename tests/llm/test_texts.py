@@ -85,6 +85,21 @@ def test_log_ratios_match_brute_force(spark, documents):
     assert rules.log_ratios(documents("a").limit(0), trusted, buckets=64).tolist() == [0.0] * 64
 
 
+def test_few_or_no_trusted_texts_lose_no_clean_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = rules.trusted_documents(labels)
+    ids = sorted(r[0] for r in good.collect())
+    for size in (0, 1, 10, 80):
+        trusted = good.filter(F.col("_trusted").isin(ids[:size])) if size else good.limit(0)
+        ratios = rules.pulled_ratios(docs, trusted)
+        judged = rules.quality_rules(docs.join(good, F.col("doc_id") == F.col("_trusted")), ratios)
+        passed = judged.filter("NOT base_failed").select("kept").collect()
+        assert len(passed) > 300 and sum(r.kept for r in passed) >= 0.99 * len(passed), size
+        if not size:
+            assert not ratios.any()
+
+
 def test_log_ratio_decides(documents):
     clean, junk = prose(1, 60), prose(2, 60, 30).replace("a", "|")
     ratios = np.zeros(rules.BUCKETS)
