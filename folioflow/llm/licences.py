@@ -155,6 +155,13 @@ COPYRIGHT_TERMS = (
 )
 
 
+def respelled(words: Column) -> Column:
+    """One spelling of each word, in text with a space on either side of every word."""
+    for other, chosen in SPELLINGS:
+        words = F.replace(words, F.lit(f" {other} "), F.lit(f" {chosen} "))
+    return words
+
+
 def canonical_units(text: Column) -> Column:
     """The lines of a text in canonical form, without empty and copyright lines.
 
@@ -164,9 +171,7 @@ def canonical_units(text: Column) -> Column:
     plain = F.lower(F.replace(text, F.lit("©"), F.lit(" copyright ")))
     plain = F.regexp_replace(plain, r"[^\p{L}\p{N}\n]+", " ")
     plain = F.regexp_replace(plain, r" ?\n ?", " \n ")
-    plain = F.concat(F.lit(" "), plain, F.lit(" "))
-    for other, chosen in SPELLINGS:
-        plain = F.replace(plain, F.lit(f" {other} "), F.lit(f" {chosen} "))
+    plain = respelled(F.concat(F.lit(" "), plain, F.lit(" ")))
     units = F.transform(F.split(plain, "\n"), lambda u: F.trim(F.replace(u, F.lit("  "), F.lit(" "))))
     return F.filter(
         units,
@@ -174,6 +179,11 @@ def canonical_units(text: Column) -> Column:
     )
 
 
+def canonical_whole(units: Column) -> Column:
+    """The units as one line, where spellings of two words also match across line breaks."""
+    return F.trim(respelled(F.concat(F.lit(" "), F.array_join(units, " "), F.lit(" "))))
+
+
 def digest(words: Column) -> Column:
     return F.sha2(words.cast("binary"), 256)
 
@@ -188,7 +198,7 @@ def known_digests(
         for text in texts
     ]
     table = spark.range(1).select(F.explode(F.array(*rows)).alias("_row")).select("_row.*")
-    whole = F.array_join(canonical_units(F.col("text")), " ")
+    whole = canonical_whole(canonical_units(F.col("text")))
     return table.groupBy(digest(whole).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -217,7 +227,7 @@ def scan_licences(
         F.col(id_column).alias("id"), canonical_units(F.col(text_column)).alias("_units")
     )
     rows = rows.withColumn("_lines", F.coalesce("_units", F.array().cast("array<string>")))
-    whole = F.when(F.size("_lines") > 0, digest(F.array_join("_lines", " ")))
+    whole = F.when(F.size("_lines") > 0, digest(canonical_whole(F.col("_lines"))))
     rows = rows.select("id", whole.alias("digest"), "_lines")
     marked = F.concat(
         F.array(F.struct(F.lit(True).alias("whole"), F.col("digest").alias("of"))),

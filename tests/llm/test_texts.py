@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -236,6 +237,20 @@ def test_whole_licences_are_found_in_any_dress(documents):
     assert licences.scan_licences(docs.limit(0)).count() == 0
 
 
+def test_whole_licences_are_found_at_every_width(documents):
+    british = MIT.replace("sublicense", "sub licence")
+    texts = [british, *(x[0] for n, x in licences.LICENCES.items() if n[0] in "I0ZB")]
+    wanted = ["MIT", *(n for n in licences.LICENCES if n[0] in "I0ZB")]
+    wrapped = [
+        "\n".join(textwrap.fill(line, width) for line in text.split("\n"))
+        for text in texts
+        for width in range(40, 121)
+    ]
+    rows = licences.scan_licences(documents(*wrapped)).collect()
+    missed = [(wanted[r.id // 81], 40 + r.id % 81) for r in rows if r.license_id != wanted[r.id // 81]]
+    assert len(rows) == len(wrapped) and missed == []
+
+
 def test_given_digests_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "My Terms!"), (None, "My Terms!"), (1, "x")], "doc_id INT, text STRING")
     known = docs.limit(1).select(
