@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licence_digests import TEXT_DIGESTS
+
 # Spellings that count as the same, from licence matching guidelines.
 SPELLINGS = (
     ("licences", "licenses"),
@@ -199,7 +201,13 @@ def known_digests(
     ]
     table = spark.range(1).select(F.explode(F.array(*rows)).alias("_row")).select("_row.*")
     whole = canonical_whole(canonical_units(F.col("text")))
-    return table.groupBy(digest(whole).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    found = table.select(digest(whole).alias("digest"), "license_id")
+    if licences is LICENCES:
+        pairs = [(d, name) for name, digests in TEXT_DIGESTS.items() for d in digests]
+        listed = [F.struct(F.lit(d).alias("digest"), F.lit(n).alias("license_id")) for d, n in pairs]
+        more = spark.range(1).select(F.explode(F.array(*listed)).alias("_row")).select("_row.*")
+        found = found.union(more)
+    return found.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licences(

@@ -251,6 +251,14 @@ def test_whole_licences_are_found_at_every_width(documents):
     assert len(rows) == len(wrapped) and missed == []
 
 
+def test_long_public_texts_are_found_whole(documents):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only"}
+    names |= {"LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [open(f"/usr/share/common-licenses/{n}").read() for n in names]
+    rows = licences.scan_licences(documents(*texts, texts[0] + " extra")).collect()
+    assert [r.license_id for r in sorted(rows, key=lambda r: r.id)] == [*names.values(), None]
+
+
 def test_given_digests_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "My Terms!"), (None, "My Terms!"), (1, "x")], "doc_id INT, text STRING")
     known = docs.limit(1).select(
