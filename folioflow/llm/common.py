@@ -6,7 +6,9 @@ import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,15 +58,64 @@ class Memo(dict):
         return value
 
 
+class Recent(dict):
+    """Values by key, of which at least the ``limit`` looked up last are remembered.
+
+    Two generations: when the younger is full it becomes the older, and what was the older is
+    dropped. Keys found there move back to the younger, so that those in use are never lost
+    with those that are not. At most twice ``limit`` entries are held, or one call's keys more.
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+        self.older: dict = {}
+
+    def unknown(self, keys: set) -> set:
+        """The keys to compute and add; all others can be looked up until the next call."""
+        absent = keys.difference(self)
+        if len(self) + len(absent) > self.limit:
+            self.older = dict(self)
+            self.clear()
+            absent = keys
+        found = absent.intersection(self.older)
+        self.update(zip(found, map(self.older.__getitem__, found)))
+        return absent.difference(found)
+
+
+def slices(
+    batches: Iterable[pa.RecordBatch], text_at: int = 1, rows: int = 1000, size: int = 1 << 24
+) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a slice holds ``rows`` rows at most, and text of ``size`` bytes.
+
+    A text longer than that is a slice of its own.
+    """
+    for batch in batches:
+        texts = batch.column(text_at)
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        begun = 0
+        while begun < batch.num_rows:
+            sums = np.cumsum(lengths[begun : begun + rows])
+            count = max(1, int(np.searchsorted(sums, size, side="right")))
+            yield batch.slice(begun, count)
+            begun += count
+
+
 def per_batch(
     function: Callable[[pa.RecordBatch], pa.RecordBatch],
 ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``function`` over every batch, in slices of bounded text so that memory stays bounded."""
+    """``function`` over every batch, in slices so that memory stays bounded.
+
+    Where the second column holds texts, slices are bounded by their bytes too.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                yield function(batch.slice(start, 1000))
+            if batch.num_columns > 1 and pa.types.is_string(batch.column(1).type):
+                yield from map(function, slices([batch]))
+            else:
+                for start in range(0, batch.num_rows, 1000):
+                    yield function(batch.slice(start, 1000))
 
     return run
 

@@ -5,25 +5,30 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from .common import extended, quoted, texts_as_bytes, worker_cache
+from .common import Recent, extended, quoted, slices, texts_as_bytes, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
-# Tokenised words and runs of letters that a worker remembers, about 140 bytes each.
-REMEMBERED = 1 << 19
-REMEMBERED_RUNS = 1 << 18
-# Latin letters, then ASCII punctuation, as whole words.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+# Words and runs of letters that a worker remembers for sure, about 140 bytes each; up to twice
+# as many are held.
+REMEMBERED = 1 << 17
+REMEMBERED_RUNS = 1 << 17
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# First bytes of combining marks, before which a change of case is no safe step.
+COMBINING = (b"\xcc", b"\xcd")
+# Text that is taken apart at once.
+SLICE_ROWS, SLICE_BYTES = 1000, 1 << 22
 # Groups that large lengths are rounded in, and the share of a sequence up to which a length
 # counts as small.
 GROUPS = 48
@@ -38,8 +43,9 @@ class WordTokenizer:
 
     For tokenizers that drop white space, cut words at it, lower letters and keep a run of
     letters or of punctuation together: the ids of a text are then those of its words in
-    turn, and those of a plain word are the ids of its letters and of what follows them. Runs
-    and words not seen before go to the library many at a time.
+    turn, and those of a plain word are the ids of its letters and of what follows them. Only
+    the distinct words of some texts are looked up, and runs and words not remembered go to
+    the library many at a time.
     """
 
     def __init__(self, definition: bytes):
@@ -47,29 +53,51 @@ class WordTokenizer:
         added = library.get_added_tokens_decoder()
         self.mark_id, mark = min((i, str(t.content)) for i, t in added.items() if t.special)
         self.mark = mark.encode()
+        # What a change of letters could turn into a special token, or keep from composing.
+        self.unsafe = (self.mark[:2], *COMBINING)
         suffix = library.model.end_of_word_suffix
         self.ends = np.zeros(library.get_vocab_size(), dtype=bool)
         self.ends[[i for t, i in library.get_vocab(False).items() if t.endswith(suffix)]] = True
-        for probe, parts in (("a  bc.d\n", ("a", "bc.d")), ("Bc.,", ("bc", ".,"))):
+        # The same without what only texts need: runs are lower-case and apart already.
+        self.plain = Tokenizer.from_str(definition.decode())
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [
+                pre_tokenizers.WhitespaceSplit(),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ]
+        )
+        for probe, parts in (
+            ("a  bc.d\n", ("a", "bc.d")),
+            ("Bc.,", ("bc", ".,")),
+            ("ABé", ("abé",)),
+        ):
             if self.ids(probe.encode()) != b"".join(self.ids(p.encode()) for p in parts):
                 raise ValueError("the tokenizer does not cut texts as expected")
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        probe = "word être größer ., <>#"
+        if self.ids(probe.encode()) != self.ids_of_runs(probe):
+            raise ValueError("the tokenizer does not take runs as expected")
+        self.words: Recent[bytes, bytes] = Recent(REMEMBERED)
+        self.runs: Recent[bytes, bytes] = Recent(REMEMBERED_RUNS)
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         found = self.library.encode(text.decode(errors="replace"), add_special_tokens=False).ids
         return np.array(found, dtype="<u4").tobytes()
 
+    def ids_of_runs(self, runs: str) -> bytes:
+        (found,) = self.plain.encode_batch_fast([runs], add_special_tokens=False)
+        return np.array(found.ids, dtype="<u4").tobytes()
+
     @staticmethod
     def cut(ids: bytes, starts: np.ndarray, stops: np.ndarray) -> Iterator[bytes]:
         return map(ids.__getitem__, map(slice, (4 * starts).tolist(), (4 * stops).tolist()))
 
-    def learn_runs(self, runs: list[str]) -> None:
+    def learn_runs(self, runs: list[bytes]) -> None:
         """Each run is one word to the library, so its last id is one that ends a word."""
         for begun in range(0, len(runs), 512):
             some = runs[begun : begun + 512]
-            ids = self.ids(" ".join(some).encode())
+            ids = self.ids_of_runs(b" ".join(some).decode())
             stops = np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1
             if len(stops) != len(some):
                 raise ValueError("the tokenizer does not end words as expected")
@@ -82,33 +110,48 @@ class WordTokenizer:
             ids = self.ids(self.mark.join(some))
             marks = np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark_id)
             starts, stops = np.append(0, marks + 1), np.append(marks, len(ids) // 4)
-            self.known.update(zip(some, self.cut(ids, starts, stops)))
+            self.words.update(zip(some, self.cut(ids, starts, stops)))
 
     def learn(self, words: Iterable[bytes]) -> None:
         plain, others = [], []
         for word in words:
-            if self.mark in word:
-                self.known[word] = self.ids(word)
-            elif found := PLAIN.fullmatch(word.decode(errors="replace")):
-                plain.append((word, found[1].lower(), found[2]))
+            run = word.rstrip(PUNCTUATION)
+            if run.isalpha():
+                plain.append((word, run.lower(), word[len(run) :]))
+            elif not word:
+                self.words[word] = b""
+            elif self.mark in word:
+                self.words[word] = self.ids(word)
+            elif LATIN.fullmatch(text := run.decode(errors="replace")):
+                plain.append((word, text.lower().encode(), word[len(run) :]))
             else:
                 others.append(word)
-        wanted = {p for _, *parts in plain for p in parts}
-        if len(self.runs) + len(wanted) > REMEMBERED_RUNS:
-            self.runs = {"": b""}
+        wanted = {p for _, *parts in plain for p in parts if p}
+        self.learn_runs(list(self.runs.unknown(wanted)))
         runs = self.runs
-        self.learn_runs(list(wanted.difference(runs)))
-        self.known.update((word, runs[a] + runs[b]) for word, a, b in plain)
+        self.words.update(
+            (word, runs[run] + runs[tail] if tail else runs[run]) for word, run, tail in plain
+        )
         self.learn_words(others)
 
-    def encode(self, texts: Sequence[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        fresh = set(chain.from_iterable(words))
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-        fresh.difference_update(self.known)
-        self.learn(fresh)
-        return [b"".join(map(self.known.__getitem__, some)) for some in words]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings without nulls) in a row, and where each text starts."""
+        if not any(pc.any(pc.match_substring(texts, u)).as_py() for u in self.unsafe):
+            texts = pc.ascii_lower(texts)
+        cut = pc.ascii_split_whitespace(texts)
+        words = cut.flatten().dictionary_encode()
+        distinct = texts_as_bytes(words.dictionary)
+        self.learn(self.words.unknown(set(distinct)))
+        ids = [*map(self.words.__getitem__, distinct), b""]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        places = words.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[places]
+        stops = np.append(0, np.cumsum(lengths))
+        shift = (np.cumsum(sizes) - sizes)[places] - stops[:-1]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        whole = flat[np.repeat(shift, lengths) + np.arange(stops[-1])]
+        counts = cut.value_lengths().to_numpy(zero_copy_only=False)
+        return whole, stops[np.append(0, np.cumsum(counts))]
 
 
 def token_pieces(
@@ -132,28 +175,28 @@ def token_pieces(
         tokenizer = worker_cache(
             f"words_{zlib.crc32(definition)}", lambda: WordTokenizer(definition)
         )
-        for whole in batches:
-            for begun in range(0, whole.num_rows, 500):
-                batch = whole.slice(begun, 500)
-                texts = [t or b"" for t in texts_as_bytes(batch.column(1))]
-                rows, numbers, pieces = [], [], []
-                for i, ids in enumerate(tokenizer.encode(texts)):
-                    ids += ending
-                    for k, at in enumerate(range(0, len(ids), step)):
-                        rows.append(i)
-                        numbers.append(k)
-                        pieces.append(ids[at : at + step])
-                places = np.array(numbers, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(rows, pa.int64())),
-                        pa.array(places),
-                        pa.array(places.astype(np.int64) * capacity),
-                        pa.array([len(p) // 4 for p in pieces], pa.int64()),
-                        pa.array(pieces, pa.binary()),
-                    ],
-                    names=["id", "piece", "start", "length", "ids"],
-                )
+        for batch in slices(batches, 1, SLICE_ROWS, SLICE_BYTES):
+            texts = pc.fill_null(batch.column(1), "")
+            rows, numbers, pieces = [], [], []
+            flat, starts = tokenizer.encode(texts)
+            whole = flat.tobytes()
+            for i, (a, b) in enumerate(zip((4 * starts).tolist(), (4 * starts[1:]).tolist())):
+                ids = whole[a:b] + ending
+                for k, at in enumerate(range(0, len(ids), step)):
+                    rows.append(i)
+                    numbers.append(k)
+                    pieces.append(ids[at : at + step])
+            places = np.array(numbers, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(rows, pa.int64())),
+                    pa.array(places),
+                    pa.array(places.astype(np.int64) * capacity),
+                    pa.array([len(p) // 4 for p in pieces], pa.int64()),
+                    pa.array(pieces, pa.binary()),
+                ],
+                names=["id", "piece", "start", "length", "ids"],
+            )
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -3,9 +3,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
-from folioflow.llm import packing, piece_codec, pieces, token_counts
+from folioflow.llm import common, packing, piece_codec, pieces, token_counts
 from tokenizers import Tokenizer
 
 ALPHABET = "aabcehitnou  \n\t▁<s>é😀日本ſﬁ́ .,0123\x00​"
@@ -66,16 +67,45 @@ def test_other_models_are_refused(word_model):
         pieces.Vocabulary(b"no model")
 
 
-def test_word_ids_match_the_library(word_model):
+@pytest.mark.parametrize("remembered", [1 << 17, 40])
+def test_word_ids_match_the_library(word_model, monkeypatch, remembered):
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
+    monkeypatch.setattr(packing, "REMEMBERED_RUNS", remembered)
     chance = random.Random(6)
-    parts = ["a", "Σ", "ΑΣ", " ", "\n", "é", "é", "<|startoftext|>", "<|endoftext|>", "<|", "'s"]
-    parts += ["12", "!?", "日本", "İ", "ß", " ", "\x00", "😀", "\x1c", "\x85", "　", "don't"]
-    texts = ["".join(chance.choices(parts, k=chance.randint(0, 14))) for _ in range(2000)]
+    safe = ["a", "B", "Σ", "ΑΣ", " ", "\n", "é", "É", "×", "'s", "12", "!?", "日本", "İ", "ß", "\xa0"]
+    safe += ["\x00", "😀", "\x1c", "\x85", "\u3000", "don't", "Word.,", "\u0640"]
+    odd = ["<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "<|", "J\u030c", "e\u0301", "K\u0328"]
+    texts = []
+    for parts in (safe, safe + odd):
+        texts += ["".join(chance.choices(parts, k=chance.randint(0, 14))) for _ in range(1000)]
     tool = packing.WordTokenizer(open(word_model, "rb").read())
     library = Tokenizer.from_file(word_model)
-    for text, ids in zip(texts, tool.encode([t.encode() for t in texts])):
-        expected = library.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == expected, repr(text)
+    for size in (1, 17, 1000):
+        for begun in range(0, len(texts), size):
+            some = texts[begun : begun + size]
+            ids, starts = tool.encode(pa.array(some))
+            for text, start, stop in zip(some, starts, starts[1:]):
+                expected = library.encode(text, add_special_tokens=False).ids
+                assert ids[start:stop].tolist() == expected, repr(text)
+
+
+def test_keys_in_use_are_not_dropped_with_the_others():
+    recent = common.Recent(10)
+    for i in range(1000):
+        keys = {"hot", i, i + 1}
+        fresh = recent.unknown(keys)
+        recent.update((k, str(k)) for k in fresh)
+        assert all(recent[k] == str(k) for k in keys)
+        assert i == 0 or "hot" not in fresh
+        assert len(recent) + len(recent.older) <= 2 * (10 + 3)
+
+
+def test_slices_are_bounded_by_rows_and_bytes():
+    texts = ["x" * n for n in (1, 2, 50, 0, 3, 4, 90, 1)] + [None] * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(range(17)), pa.array(texts)], names=["i", "t"])
+    found = list(common.slices([batch, batch.slice(0, 0)], rows=5, size=20))
+    assert [s.num_rows for s in found] == [2, 1, 3, 1, 5, 5]
+    assert [i for s in found for i in s.column(0).to_pylist()] == list(range(17))
 
 
 def check_layout(rows, capacity):
