@@ -15,9 +15,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import folioflow  # noqa: E402
 from folioflow.llm.common import quoted, written  # noqa: E402
 from folioflow.llm.language import detect_language, learn_dictionaries  # noqa: E402
-from folioflow.llm.minhash import similar_texts  # noqa: E402
 from folioflow.llm.queries import packed_documents  # noqa: E402
 from folioflow.llm.rules import pulled_ratios, quality_rules, trusted_documents  # noqa: E402
+from folioflow.llm.simhash import near_duplicates  # noqa: E402
 
 # Send the package's functions with the tasks, so that workers need no copy of this folder.
 cloudpickle.register_pickle_by_value(folioflow)
@@ -47,17 +47,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that with the smallest id.
 
-    Texts are near duplicates at a Jaccard index of 0.8 or more of their five-word shingles.
-    Rows are told apart by their id and a hash of all their columns, so that of rows with one
+    Texts are near duplicates where the fingerprints of their three-word shingles differ in
+    three bits at most, or others link them that way. Rows are told apart by their id and a hash of all their columns, so that of rows with one
     id in a group, and of exact repeats, one stays. A row without an id stays only where no
-    row of its group has one. Only these keys and the texts reach the comparison.
+    row of its group has one. Only these keys and the texts reach the comparison. An empty
+    table stays empty.
     """
-
     number, other = F.col("doc.doc_id"), F.col("_kept._number")
     rows = set_apart(docs).withColumn("_hash", F.xxhash64("doc"))
     key = F.struct(number.isNull().alias("_nameless"), number.alias("_number"), "_hash")
     first = (
-        similar_texts(rows.select(key.alias("_key"), "doc.text"), id_column="_key")
+        near_duplicates(rows.select(key.alias("_key"), "doc.text"), id_column="_key")
         .filter("id = component_id")
         .select(F.col("id").alias("_kept"))
     )
