@@ -227,7 +227,8 @@ def scan_licences(
     The list made from ``LICENCES`` has a fixed size and is broadcast; a table given as
     ``known`` (``digest, license_id``, one row per digest) is joined as the planner sees fit.
     Lines meet the digests in the task that reads the text, and what is found is combined
-    there before rows are put together by id and digest.
+    there before rows are put together by id and all their lines, so that rows of one id whose
+    texts differ in line breaks only stay apart.
     """
     listed = F.broadcast(known_digests(docs.sparkSession)) if known is None else known
     listed = listed.select(F.col("digest").alias("_digest"), F.col("license_id").alias("_license"))
@@ -236,18 +237,19 @@ def scan_licences(
     )
     rows = rows.withColumn("_lines", F.coalesce("_units", F.array().cast("array<string>")))
     whole = F.when(F.size("_lines") > 0, digest(canonical_whole(F.col("_lines"))))
-    rows = rows.select("id", whole.alias("digest"), "_lines")
+    form = F.md5(F.array_join("_lines", "\n").cast("binary"))
+    rows = rows.select("id", whole.alias("digest"), form.alias("_form"), "_lines")
     marked = F.concat(
         F.array(F.struct(F.lit(True).alias("whole"), F.col("digest").alias("of"))),
         F.transform("_lines", lambda u: F.struct(F.lit(False).alias("whole"), digest(u).alias("of"))),
     )
-    units = rows.select("id", "digest", F.explode(marked).alias("_unit")).select(
-        "id", "digest", "_unit.*"
+    units = rows.select("id", "digest", "_form", F.explode(marked).alias("_unit")).select(
+        "id", "digest", "_form", "_unit.*"
     )
     joined = units.join(listed, units["of"] == listed["_digest"], "left")
     whole, found = F.col("whole"), F.col("_license").isNotNull()
     return (
-        joined.groupBy("id", "digest")
+        joined.groupBy("id", "digest", "_form")
         .agg(
             F.count_if(whole).alias("_rows"),
             F.max(F.when(whole, F.col("_license"))).alias("license_id"),
