@@ -67,7 +67,7 @@ def sign_codes(classes: DataFrame, bits: int, tables: int, seed: int = SEED) ->
     return classes.mapInArrow(per_batch(run), extended(classes.schema, "codes ARRAY<BIGINT>"))
 
 
-def _linked(rows: dict, threshold: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _linked(rows: dict, threshold: float) -> Iterator[pa.RecordBatch]:
     """Per group of rows: weight of the links of each vector, and the first it hangs with.
 
     A pair counts in the first table that brings it together only.
@@ -107,9 +107,9 @@ def _linked(rows: dict, threshold: float, kind: pa.DataType) -> Iterator[pa.Reco
     if ids_out:
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate(ids_out), kind),
+                pa.array(np.concatenate(ids_out), pa.string()),
                 pa.array(np.concatenate(links_out)),
-                pa.array(np.concatenate(roots_out), kind),
+                pa.array(np.concatenate(roots_out), pa.string()),
             ],
             names=["id", "links", "root"],
         )
@@ -149,10 +149,10 @@ def _compare(threshold: float):
             cut = int(np.searchsorted(group, group[-1]))
             if cut:
                 done = held.slice(0, cut)
-                yield from _linked(rows(done, group[:cut]), threshold, held["id"].type)
+                yield from _linked(rows(done, group[:cut]), threshold)
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield from _linked(rows(held, numbered(held)), threshold, held["id"].type)
+            yield from _linked(rows(held, numbered(held)), threshold)
 
     return run
 
@@ -171,8 +171,10 @@ def near_vectors(
     or non-finite components, and rows without a label have no links and are components of
     their own. Equal vectors of a label are one node with a weight, so copies cost nothing;
     buckets beyond ``CHUNK`` nodes are compared chunk against chunk. Repeated rows count as
-    vectors of their own. A null id links like others, but names no component. Other columns
-    are not read; an empty table gives no rows.
+    vectors of their own, and so do rows that share an id, whatever their vectors and labels:
+    nodes are told apart by a digest of both. A null id links like others, but names no
+    component; one of null ids alone has the name null. Other columns are not read; an empty
+    table gives no rows.
     """
     # The digest of the printed components stands for the vector.
     whole = F.concat_ws(",", F.transform("vector", lambda x: x.cast("string")))
@@ -193,18 +195,19 @@ def near_vectors(
         rows.filter("key IS NOT NULL")
         .groupBy("label", "key")
         .agg(
-            F.min("id").alias("id"),
+            F.min("id").alias("first_id"),
             F.count(F.lit(1)).alias("weight"),
             F.any_value("vector").alias("vector"),
         )
-        .filter("id IS NOT NULL")
-        .withColumn("size", F.size("vector")),
+        .withColumn("size", F.size("vector"))
+        .withColumn("id", F.md5(F.concat_ws(" ", "key", F.col("label").cast("string")))),
         "vector-classes",
     )
     largest = classes.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 1
     bits = min(MOST_BITS, max(FEWEST_BITS, math.ceil(math.log2(largest / BUCKET_ROWS))))
     tables = table_count(bits, threshold, recall)
-    coded = written(sign_codes(classes, bits, tables), "vector-codes")
+    nodes = classes.drop("first_id", "key")
+    coded = written(sign_codes(nodes, bits, tables), "vector-codes")
 
     bucket = ["label", "size", "table", "code"]
     places = coded.select("id", "label", "size", F.posexplode("codes").alias("table", "code"))
@@ -232,23 +235,27 @@ def near_vectors(
         )
     )
     group = [*bucket, "first", "second"]
-    placed = spread.join(coded.drop("key"), "id").repartition(*group).sortWithinPartitions(*group)
-    kind = rows.schema["id"].dataType.simpleString()
+    placed = spread.join(coded, "id").repartition(*group).sortWithinPartitions(*group)
     found = written(
-        placed.mapInArrow(_compare(threshold), f"id {kind}, links BIGINT, root {kind}"),
+        placed.mapInArrow(_compare(threshold), "id STRING, links BIGINT, root STRING"),
         "vector-links",
     )
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = components(found, "id", "root").withColumnRenamed("node", "id")
+    reached = components(found, "id", "root").withColumnRenamed("node", "id")
+    firsts = classes.select("id", "first_id")
+    lowest = reached.join(firsts, "id").groupBy("root").agg(F.min("first_id").alias("low"))
+    named = reached.join(lowest, "root").select("id", "low", F.lit(True).alias("reached"))
     summary = written(
-        classes.select("label", "key", "id", "weight")
+        classes.select("label", "key", "id", "weight", "first_id")
         .join(linked, "id", "left")
         .join(named, "id", "left")
         .select(
             "label",
             "key",
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("root", "id").alias("component_id"),
+            F.when(F.col("reached"), F.col("low"))
+            .otherwise(F.col("first_id"))
+            .alias("component_id"),
         ),
         "vector-summary",
     )
@@ -258,7 +265,9 @@ def near_vectors(
         .select(
             "id",
             F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
-            F.coalesce("component_id", "id").alias("component_id"),
+            F.when(F.col("key").isNull(), F.col("id"))
+            .otherwise(F.col("component_id"))
+            .alias("component_id"),
         )
         .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
     )

@@ -67,6 +67,21 @@ def test_vectors_repeated_rows_and_empty_table(spark):
     assert vectors.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id_stay_apart(spark):
+    rows = [
+        (1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 1), (2, [1.0, 0.01, 0.0], 0),
+        (3, [0.0, 1.0, 0.01], 1), (1, [0.0, 0.0, 1.0], 0), (None, [0.0, 0.01, 1.0], 0),
+        (None, [5.0, 5.0, 5.0], 2), (None, [5.0, 5.1, 5.0], 2), (7, [0.0, 0.02, 1.0], 0),
+    ]
+    frame = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>, label INT")
+    found = vectors.near_vectors(frame).collect()
+    got = sorted((r.id or 0, r.n_links, r.component_id or 0, r.kept) for r in found)
+    assert got == [
+        (0, 1, 0, True), (0, 1, 0, True), (0, 2, 1, False), (1, 1, 1, True), (1, 1, 1, True),
+        (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (7, 2, 1, False),
+    ]
+
+
 def test_tables_reach_the_recall():
     for bits in (6, 10, 16):
         tables = vectors.table_count(bits, 0.93, 0.999)
