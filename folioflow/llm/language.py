@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from .common import extended, per_batch, quoted, worker_cache
 
 UNDETERMINED = "und"
-# Per language: texts looked at, the longest of them in bytes, and bytes of dictionary.
+# Per language: texts looked at, characters taken of each, and bytes of dictionary.
 SAMPLE_TEXTS = 64
-SAMPLE_BYTES = 1 << 14
+SAMPLE_CHARS = 1 << 12
 DICTIONARY_BYTES = 1 << 15
+# Languages that a text is compared with at most; more labels than that are an error.
+MOST_LANGUAGES = 256
 # Parts that a language's hashes are ranked in before the language is.
 PARTS = 64
 # Bytes compressed at a time, so that a long text does not become its own dictionary.
@@ -40,25 +42,28 @@ def learn_dictionaries(
     text_column: str = "text",
     language_column: str = "lang",
     sample_texts: int = SAMPLE_TEXTS,
-    sample_bytes: int = SAMPLE_BYTES,
+    sample_chars: int = SAMPLE_CHARS,
     dictionary_bytes: int = DICTIONARY_BYTES,
+    most_languages: int = MOST_LANGUAGES,
 ) -> dict[str, bytes]:
     """A raw-content dictionary per language, from a bounded sample of labelled rows.
 
-    Of the distinct texts of at most ``sample_bytes`` bytes in each language, those with the
-    smallest hashes are taken whole, ``sample_texts`` at most, until ``dictionary_bytes`` are
-    full. Copies of a text count once. Only ids and hashes are ranked; the sample, that many
-    rows per language, is broadcast to the texts, which are not shuffled. Rows without a
-    language, a text or an id teach nothing.
+    Of the distinct texts of each language, ``sample_texts`` with the smallest hashes are taken,
+    until ``dictionary_bytes`` are full: whole, or ``sample_chars`` characters from a place
+    that the hash names where a text is longer. Texts of any length thus teach a language, and
+    every labelled one has a dictionary if a sampled text has a letter. Copies of a text count
+    once. Only ids and hashes are ranked; the sample, that many rows per language, is broadcast
+    to the texts, which are not shuffled. Rows without a language, a text or an id teach
+    nothing, and an empty table gives no dictionary. More than ``most_languages`` labels are a
+    ValueError, since every text is compressed once for each.
     """
     rows = docs.select(
         F.col(id_column).alias("id"),
         F.col(text_column).alias("text"),
         F.col(language_column).cast("string").alias("lang"),
-    ).filter(
-        "id IS NOT NULL AND lang IS NOT NULL"
-        f" AND octet_length(text) BETWEEN 1 AND {sample_bytes}"
-    )
+    ).filter("id IS NOT NULL AND lang IS NOT NULL AND text <> ''")
+    if rows.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     distinct = (
         rows.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.min("id").alias("first"))
     )
@@ -69,6 +74,9 @@ def learn_dictionaries(
         rank = F.row_number().over(Window.partitionBy(*by).orderBy("hash", "first"))
         chosen = chosen.withColumn("_rank", rank).filter(F.col("_rank") <= sample_texts)
     chosen = chosen.select(F.col("lang").alias("_lang"), "hash", "first")
+    spare = F.greatest(F.length("text") - F.lit(sample_chars), F.lit(0))
+    begun = F.pmod(F.col("hash"), (spare + 1).cast("bigint")).cast("int") + 1
+    part = F.substr("text", begun, F.lit(sample_chars))
     found = (
         rows.join(
             F.broadcast(chosen),
@@ -76,7 +84,7 @@ def learn_dictionaries(
             & (F.xxhash64("text") == F.col("hash"))
             & (F.col("lang") == F.col("_lang")),
         )
-        .select("lang", "hash", "text")
+        .select("lang", "hash", part.alias("text"))
         .distinct()
         .orderBy("lang", "hash", "text")
         .collect()
