@@ -43,7 +43,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         "graph-labels",
     )
     while current.limit(1).count():
-        hooks = _roots(written(current.groupBy("a").agg(F.min("b").alias("b")), "graph-hooks"))
+        hooks = resolved(written(current.groupBy("a").agg(F.min("b").alias("b")), "graph-hooks"))
         to = hooks.select(F.col("a").alias("_from"), F.col("b").alias("_to"))
         labels = written(
             labels.join(to, labels["root"] == to["_from"], "left").select(
@@ -72,7 +72,7 @@ def _oriented(edges: DataFrame) -> DataFrame:
     )
 
 
-def _roots(hooks: DataFrame) -> DataFrame:
+def resolved(hooks: DataFrame) -> DataFrame:
     """Follow ``a -> b`` to its end, doubling the length of the jumps in every round."""
     while True:
         onward = hooks.select(F.col("a").alias("_from"), F.col("b").alias("_to"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from folioflow.session import scratch_path
 
+from .audit import document_labels, failure_bits, interaction_audit
+from .chat import conversation_digests, format_conversations, stored_segments, text_part
 from .common import bucket_of, written
 from .discriminant import document_statistics, fit, score
 from .language import detect_language, learn_dictionaries
@@ -19,6 +21,7 @@ from .piece_codec import decode_ids, encode_texts
 from .rules import pulled_ratios, quality_rules, trusted_documents
 from .simhash import fingerprint_text, near_duplicates
 from .token_counts import count_tokens
+from .variants import spelling_variants, vocabulary
 from .vectors import near_vectors
 from .warc import read_archives, revisit_roles, write_archives
 
@@ -154,6 +157,38 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    # A conversation that says what a template may say.
+    said = spark.range(1).select(F.explode(F.array(F.lit("user"), F.lit("assistant"))).alias("role"))
+    own = said.select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.when(F.col("role") == "user", 0).otherwise(1).cast("bigint").alias("turn"),
+        "role",
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = rows.unionByName(own).withColumn("parts", text_part(F.col("text")))
+    digests = conversation_digests(stored_segments(format_conversations(turns)))
+    return digests.select(
+        F.col("id").alias("conv_id"),
+        "n_turns",
+        "turns_sha256",
+        "loss_chars",
+        "loss_sha256",
+        "formatted_chars",
+    )
+
+
+def op12_audit(spark: SparkSession, folder: str) -> DataFrame:
+    failures = failure_bits(table(spark, folder, "documents"))
+    return interaction_audit(failures, document_labels(table(spark, folder, "labels")))
+
+
+def op13_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = written(vocabulary(table(spark, folder, "documents")), "variants-words")
+    return spelling_variants(words)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -167,5 +202,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_rules,
         op9_tokens,
         op10_pieces,
+        op11_chat,
+        op12_audit,
+        op13_variants,
     )
 }

@@ -156,6 +156,24 @@ def test_languages_are_told_apart(spark):
     assert language.detect_language(frame.limit(0), dictionaries).count() == 0
 
 
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(i, t, lang) for i, t, lang in language_texts(4, 150) if lang != "yy"]
+    chance, parts = random.Random(4), LANGUAGES["yy"].split()
+    for i in range(20):
+        words = ["".join(chance.choices(parts, k=2)) for _ in range(8000)]
+        rows.append((1000 + i, " ".join(words), "yy"))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    learned = language.learn_dictionaries(docs)
+    assert sorted(learned) == ["xx", "yy", "zz"]
+    assert all(len(v) <= language.DICTIONARY_BYTES for v in learned.values())
+    found = language.detect_language(docs, learned).collect()
+    assert sum(r.lang_pred == r.lang and not r.rejected for r in found) >= 0.98 * len(rows)
+    assert all(r.lang_pred == "yy" for r in found if r.lang == "yy")
+    with pytest.raises(ValueError):
+        language.learn_dictionaries(docs, most_languages=1)
+    assert language.learn_dictionaries(docs.limit(0)) == {}
+
+
 def test_dictionary_sample_is_bounded(spark):
     frame = spark.createDataFrame(language_texts(3, 300), "doc_id BIGINT, text STRING, lang STRING")
     dictionaries = language.learn_dictionaries(frame, sample_texts=2, dictionary_bytes=600)
@@ -269,6 +287,15 @@ def test_given_digests_and_null_ids(spark):
     assert len(rows) == 3
 
 
+def test_rows_of_one_id_stay_apart(documents):
+    line = "Released under the MIT License."
+    docs = documents(line, first=5).union(documents("Released under\nthe MIT License.", first=5))
+    docs = docs.union(documents(line, first=5))
+    rows = licences.scan_licences(docs).collect()
+    assert len({r.digest for r in rows}) == 1
+    assert sorted((r.n_notices, r.notices) for r in rows) == [(0, []), (1, ["MIT"]), (1, ["MIT"])]
+
+
 def test_licence_terms_are_no_copyright_lines(spark):
     frame = spark.createDataFrame(
         [("copyright notice and this permission notice\nCopyright Jane\nthe copyright owner",)],
