@@ -281,6 +281,13 @@ def request_columns() -> list[Column]:
     ]
 
 
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by the third of the month they arrive in; every 40th comes a third later."""
+    third = F.when(F.dayofmonth("ts") <= 10, 0).when(F.dayofmonth("ts") <= 20, 1).otherwise(2)
+    late = (F.col("event_id") % 40 == 0).cast("int")
+    return requests(spark, sf_dir).withColumn("part", F.least(third + late, F.lit(2)))
+
+
 def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as document results; error events failed."""
     seconds = F.col("ts").cast("timestamp").cast("double")

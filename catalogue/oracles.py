@@ -325,6 +325,57 @@ stats AS (SELECT list(elapsed_ms ORDER BY elapsed_ms) AS ms, count(*) AS n,
 SELECT n AS total_requests, {_ranked(50)}, {_ranked(95)}, {_ranked(99)},
   round(mean, 2) AS avg_ms, round(peak, 2) AS max_ms,
   round(over / n * 100, 2) AS sla_violation_pct, 2000.0::DOUBLE AS sla_threshold_ms FROM stats"""
+
+
+def _windows(source: str, keys: str) -> str:
+    """Metrics of ``source`` (``elapsed_ms`` and the keys) by the keys."""
+    return f"""
+stats AS (SELECT {keys}, list(elapsed_ms ORDER BY elapsed_ms) AS ms, count(*) AS n,
+  avg(elapsed_ms) AS mean, max(elapsed_ms) AS peak,
+  count(*) FILTER (elapsed_ms > 2000) AS over FROM {source} GROUP BY ALL)
+SELECT {keys}, n AS total_requests, {_ranked(50)}, {_ranked(95)}, {_ranked(99)},
+  round(mean, 2) AS avg_ms, round(peak, 2) AS max_ms,
+  round(over / n * 100, 2) AS sla_violation_pct, 2000.0::DOUBLE AS sla_threshold_ms FROM stats"""
+
+
+def _written(start: str) -> str:
+    return f"strftime({start}, '%Y-%m-%d %H:%M') AS window_start"
+
+
+# Requests by the run that sees them; a window is closed an hour after its end, and requests
+# for windows closed before their run are left out.
+_CLOSED = f"""
+WITH {_REQUESTS},
+arrived AS (SELECT *, least(2, CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END
+    + (event_id % 40 = 0)::INT) AS part,
+  date_trunc('day', ts) + INTERVAL 6 HOUR * (hour(ts) // 6) AS w FROM requests),
+marks AS (SELECT part, max(max(ts)) OVER (ORDER BY part) - INTERVAL 1 HOUR AS mark
+  FROM arrived GROUP BY part),
+closed AS (SELECT path, w, elapsed_ms FROM arrived LEFT JOIN marks ON marks.part = arrived.part - 1
+  WHERE (mark IS NULL OR w + INTERVAL 6 HOUR > mark)
+    AND w + INTERVAL 6 HOUR <= (SELECT max(mark) FROM marks)),"""
+_BY_WINDOW = (
+    _CLOSED
+    + f"named AS (SELECT path, {_written('w')}, elapsed_ms FROM closed),"
+    + _windows("named", "window_start, path")
+)
+_BY_DAY = (
+    _CLOSED
+    + f"named AS (SELECT path, {_written("date_trunc('day', w)")}, elapsed_ms FROM closed),"
+    + _windows("named", "window_start, path")
+)
+_OVERLAPPING = f"""
+WITH {_REQUESTS},
+halves AS (SELECT *, date_trunc('day', ts) + INTERVAL 12 HOUR * (hour(ts) // 12) AS w
+  FROM requests),
+named AS (SELECT path, {_written("w - INTERVAL 12 HOUR * k")}, elapsed_ms
+  FROM halves, range(2) t(k)),
+{_windows("named", "window_start, path")}"""
+_NEWEST_METRICS = f"""
+WITH {_REQUESTS},
+recent AS (SELECT path, elapsed_ms FROM requests
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) <= 1000),
+{_windows("recent", "path")}"""
 _BREACHES = f"""
 WITH {_REQUESTS}
 SELECT event_id, 'WARNING' AS level, 'SLA BREACH — ' || method || ' ' || path || ' took ' ||
@@ -531,6 +582,13 @@ ORACLES: dict[str, str] = {
     "report_sink": _TIMING,
     "stream_extract": _stored_fields(_BILLS),
     "stream_metrics": _LATENCY,
+    "stream_windows": _BY_WINDOW,
+    "stream_windows_by_day": _BY_DAY,
+    "latency_by_window": _OVERLAPPING,
+    "stream_newest_per_path": f"""WITH {_REQUESTS}
+        SELECT path, event_id, round(elapsed_ms, 4) AS elapsed_ms FROM requests
+        QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) <= 100""",
+    "stream_metrics_per_path": _NEWEST_METRICS,
     "stream_breaches": _BREACHES,
     "stream_batches": """SELECT 'doc_' || doc_id || '.zip' AS archive,
           CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 2 END::BIGINT AS total_documents,

@@ -55,6 +55,13 @@ from folioflow.sources.files import check_archives, discover, read_labels, route
 from folioflow.streaming.batches import report_stream
 from folioflow.streaming.extract import breach_alerts, extract_stream, request_log
 from folioflow.streaming.latency import current_metrics, keep_history
+from folioflow.streaming.rings import keep_rings, newest_rings, ring_history, ring_metrics
+from folioflow.streaming.windows import (
+    keep_windows,
+    latency_windows,
+    merge_windows,
+    window_metrics,
+)
 
 from . import inputs
 from .inputs import spread_table, table
@@ -543,6 +550,74 @@ def stream_metrics(spark, sf_dir):
     return current_metrics(spark, f"{path}/history", requests.schema, order)
 
 
+def _arriving(spark, sf_dir, path, start):
+    """Run a stream over the requests three times, a third of the time and what is late added."""
+    arriving = inputs.arrivals(spark, sf_dir)
+    for part in range(3):
+        arriving.filter(F.col("part") == part).drop("part").write.mode("append").parquet(
+            f"{path}/in"
+        )
+        stream = spark.readStream.schema(arriving.drop("part").schema).parquet(f"{path}/in")
+        start(stream).awaitTermination()
+
+
+def _closed_windows(spark, sf_dir) -> DataFrame:
+    path = scratch_path(spark, "stream-windows")
+
+    def start(stream):
+        windows = latency_windows(stream, "6 hours", "1 hour")
+        return keep_windows(windows, f"{path}/out", f"{path}/checkpoint")
+
+    _arriving(spark, sf_dir, path, start)
+    return spark.read.parquet(f"{path}/out")
+
+
+def _window_columns(windows: DataFrame) -> DataFrame:
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm")
+    return window_metrics(windows).withColumn("window_start", start).drop("window_end")
+
+
+def stream_windows(spark, sf_dir):
+    """Latency by path and 6 hours of event time; requests over an hour late are left out."""
+    return _window_columns(_closed_windows(spark, sf_dir))
+
+
+def stream_windows_by_day(spark, sf_dir):
+    """The states of the 6-hour windows merged to days."""
+    return _window_columns(merge_windows(_closed_windows(spark, sf_dir), "1 day"))
+
+
+def latency_by_window(spark, sf_dir):
+    """The same windows over a table, overlapping, without late requests."""
+    requests = inputs.requests(spark, sf_dir)
+    return _window_columns(latency_windows(requests, "1 day", slide="12 hours"))
+
+
+def _ring_stream(spark, sf_dir, size):
+    path = scratch_path(spark, "stream-rings")
+    order = ("ts", "event_id")
+    rings = {}
+
+    def start(stream):
+        rings["of"] = newest_rings(stream, order, size=size)
+        return keep_rings(rings["of"], f"{path}/rings", f"{path}/checkpoint")
+
+    _arriving(spark, sf_dir, path, start)
+    return f"{path}/rings", rings["of"], order
+
+
+def stream_newest_per_path(spark, sf_dir):
+    """The 100 newest requests of each path after a stream that ran three times."""
+    root, rings, order = _ring_stream(spark, sf_dir, 100)
+    kept = ring_history(spark, root, rings, order, size=100)
+    return kept.select("path", "event_id", F.round("elapsed_ms", 4).alias("elapsed_ms"))
+
+
+def stream_metrics_per_path(spark, sf_dir):
+    root, rings, order = _ring_stream(spark, sf_dir, 1000)
+    return ring_metrics(spark, root, rings, order)
+
+
 def stream_breaches(spark, sf_dir):
     path = scratch_path(spark, "stream-breaches")
     requests = _stream(spark, sf_dir, "events").select(*inputs.request_columns())
@@ -599,5 +674,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         engine_pages, document_names,
         artifact_sink, report_sink,
         stream_extract, stream_metrics, stream_breaches, stream_batches,
+        stream_windows, stream_windows_by_day, latency_by_window,
+        stream_newest_per_path, stream_metrics_per_path,
     )
 }

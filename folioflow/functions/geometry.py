@@ -53,7 +53,10 @@ def bounding_box(points: Column) -> Column:
 
 
 def points_from_text(raw: Column | str) -> Column:
-    """``'x,y;x,y'`` as points; pieces without a comma are dropped."""
+    """``'x,y;x,y'`` as points; pieces without a comma are dropped.
+
+    A coordinate that is no number is null, see ``half_read``.
+    """
     pieces = F.filter(F.split(as_column(raw), ";"), lambda piece: piece.contains(","))
     return F.transform(
         F.transform(pieces, lambda piece: F.split(piece, ",")),
@@ -61,6 +64,11 @@ def points_from_text(raw: Column | str) -> Column:
     )
 
 
+def half_read(points: Column) -> Column:
+    """Whether a point lacks a coordinate."""
+    return F.exists(points, lambda p: p["x"].isNull() | p["y"].isNull())
+
+
 def percent_to_pixel(percent: Column, size: Column) -> Column:
     return percent / F.lit(100.0) * size
 

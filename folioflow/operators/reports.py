@@ -23,7 +23,8 @@ NO_FILES = "No processable files found in directory"
 NO_MEMBERS = "No valid images found in ZIP archive"
 
 
-def _share(part: Column, whole: Column, digits: int) -> Column:
+def share_pct(part: Column, whole: Column, digits: int) -> Column:
+    """``part`` of ``whole`` in percent, 0 of nothing."""
     return F.when(
         whole > 0, F.round(part.cast("double") / whole * F.lit(100.0), digits)
     ).otherwise(0.0)
@@ -66,7 +67,7 @@ def batch_report(
         .alias("throughput_docs_per_sec"),
         F.round("_avg", 2).alias("avg_latency_ms"),
         F.round("_max", 2).alias("max_latency_ms"),
-        _share(F.col("_fast"), total, 1).alias("sub_2s_transactions_pct"),
+        share_pct(F.col("_fast"), total, 1).alias("sub_2s_transactions_pct"),
         F.when(total == 0, empty_message).alias("error"),
     )
 
@@ -89,7 +90,17 @@ def latency_metrics(
     ``order`` names the time column, then tie-breakers. No request at all gives a row of zeros.
     """
     recent = newest(requests.select(*order, elapsed_ms), order, history)
-    stats = recent.agg(
+    return latency_metrics_by(recent, (), elapsed_ms, threshold_ms)
+
+
+def latency_metrics_by(
+    requests: DataFrame,
+    by: Sequence[str],
+    elapsed_ms: str = "elapsed_ms",
+    threshold_ms: float = SLA_THRESHOLD_MS,
+) -> DataFrame:
+    """The metrics over all the given requests of each group, which must be a history's at most."""
+    stats = requests.groupBy(*by).agg(
         F.sort_array(F.collect_list(elapsed_ms)).alias("_ms"),
         F.count(F.lit(1)).alias("total_requests"),
         F.coalesce(F.avg(elapsed_ms), F.lit(0.0)).alias("_avg"),
@@ -97,11 +108,12 @@ def latency_metrics(
         F.count_if(breaches_sla(elapsed_ms, threshold_ms)).alias("_breaches"),
     )
     return stats.select(
+        *by,
         "total_requests",
         *[F.round(ranked_percentile(F.col("_ms"), p), 2).alias(f"p{p}_ms") for p in (50, 95, 99)],
         F.round("_avg", 2).alias("avg_ms"),
         F.round("_max", 2).alias("max_ms"),
-        _share(F.col("_breaches"), F.col("total_requests"), 2).alias("sla_violation_pct"),
+        share_pct(F.col("_breaches"), F.col("total_requests"), 2).alias("sla_violation_pct"),
         F.lit(threshold_ms).alias("sla_threshold_ms"),
     )
 

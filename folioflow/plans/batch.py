@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioflow.operators.documents import Task, document_id, map_documents, spread_documents
 from folioflow.operators.reports import NO_MEMBERS, batch_report
 from folioflow.operators.sampling import MAX_FRAMES_IN_BATCH, sample_media
-from folioflow.sources.archives import expand_archives
+from folioflow.sources.archives import expand_archive_files, expand_archives
 from folioflow.sources.files import check_archives, discover
 
 KEPT = ("doc_id", "source_path")
@@ -45,14 +45,22 @@ def directory_items(
     return items.withColumn("doc_id", document_id())
 
 
+def _members(archives: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Members by their archives' contents, or by ranges of the files where there are none."""
+    if "content" in archives.columns:
+        return expand_archives(archives, tasks=tasks)
+    return expand_archive_files(archives, tasks=tasks)
+
+
 def archive_items(archives: DataFrame, tasks: int | None = None) -> DataFrame:
     """``doc_id, archive, source_path, content`` of the readable members of accepted archives.
 
-    ``archives``: ``path, length, content``. Broken archives and members are left out here;
-    ``archive_problems`` has them.
+    ``archives``: ``path, length``, and ``content`` where it has been read; without it, members
+    are read by ranges and archives may have any size. Broken archives and members are left
+    out here; ``archive_problems`` has them.
     """
     accepted, _ = check_archives(archives)
-    members = expand_archives(accepted, tasks=tasks).filter(
+    members = _members(accepted, tasks).filter(
         F.col("error").isNull() & F.col("content").isNotNull()
     )
     return members.select(
@@ -69,7 +77,7 @@ def archive_problems(archives: DataFrame) -> DataFrame:
     ``member`` is null where the whole archive could not be used.
     """
     accepted, rejected = check_archives(archives)
-    unread = expand_archives(accepted).filter(F.col("error").isNotNull())
+    unread = _members(accepted).filter(F.col("error").isNotNull())
     return rejected.select(
         F.col("path").alias("archive"),
         F.lit(None).cast("string").alias("member"),

@@ -51,6 +51,37 @@ def _last_of_each_name(pairs: Column) -> Column:
     return bind(names, lambda keys: F.map_from_arrays(keys, F.transform(keys, last_value)))
 
 
+def number(text: Column, default: float = 0.0) -> Column:
+    """The number a text says, the default where there is none."""
+    return F.coalesce(text.try_cast("double"), F.lit(default))
+
+
+def unreadable(texts: Mapping[str, Column]) -> Column:
+    """Names of the texts that are there but say no number."""
+    return F.array_compact(
+        F.array(
+            *[
+                F.when(text.isNotNull() & text.try_cast("double").isNull(), F.lit(name))
+                for name, text in texts.items()
+            ]
+        )
+    )
+
+
+def readable(rows: DataFrame) -> DataFrame:
+    """Records of rows whose numbers could all be read."""
+    return rows.filter(F.size("unreadable") == 0).drop("unreadable")
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """``image_path, label, source_tool, unreadable, order_key`` of the other rows.
+
+    ``unreadable`` names what could not be read. Such rows give no record, rather than one
+    with a made-up box.
+    """
+    return rows.filter(F.size("unreadable") > 0).drop("bbox", "attributes")
+
+
 def record(
     image_path: Column, label: Column, bbox: Column, tool: str, attrs: Column, order_key: Column
 ) -> list[Column]:

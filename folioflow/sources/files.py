@@ -79,14 +79,21 @@ def route_media(uploads: DataFrame, path: str = "path", content_type: str = "con
 
 
 def check_archives(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted archive uploads, and rejected ones with a ``reason``."""
+    """Accepted archive uploads, and rejected ones with a ``reason``.
+
+    Archives given by their path may have any size; only one whose ``content`` is a column must
+    fit a binary value.
+    """
+    too_large = (
+        F.col("length") > MAX_CONTENT_BYTES if "content" in uploads.columns else F.lit(False)
+    )
     reason = (
         F.when(
             ~F.coalesce(F.lower("path").endswith(".zip"), F.lit(False)),
             "not_zip",
         )
         .when(F.col("length") == 0, "empty")
-        .when(F.col("length") > MAX_CONTENT_BYTES, "too_large")
+        .when(too_large, "too_large")
     )
     checked = uploads.withColumn("reason", reason)
     return (

@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.functions.geometry import bounding_box, box, percent_to_pixel, point
+from folioflow.functions.geometry import bounding_box, box, half_read, percent_to_pixel, point
 from folioflow.functions.strings import bind
 from folioflow.operators.columns import settle
 
-from .annotations import UNKNOWN, attributes, order_key, record
+from .annotations import (
+    UNKNOWN,
+    attributes,
+    number,
+    order_key,
+    readable,
+    record,
+    rejected,
+    unreadable,
+)
+from .json_array import BLOCK_BYTES, array_elements
 
 TOOL = "label_studio"
+# Numbers are read as texts, which tell an absent one from an unreadable one.
 RESULT = (
-    "STRUCT<type: STRING, original_width: DOUBLE, original_height: DOUBLE, "
+    "STRUCT<type: STRING, original_width: STRING, original_height: STRING, "
     "value: STRUCT<rectanglelabels: ARRAY<STRING>, polygonlabels: ARRAY<STRING>, "
-    "points: ARRAY<ARRAY<DOUBLE>>, taxonomy: ARRAY<ARRAY<STRING>>, "
-    "x: DOUBLE, y: DOUBLE, width: DOUBLE, height: DOUBLE, rotation: STRING>>"
+    "points: ARRAY<ARRAY<STRING>>, taxonomy: ARRAY<ARRAY<STRING>>, "
+    "x: STRING, y: STRING, width: STRING, height: STRING, rotation: STRING>>"
 )
 TASK = (
     "id BIGINT, data STRUCT<image: STRING, ocr: STRING, file_upload: STRING>, "
@@ -24,8 +35,14 @@ TASK = (
 )
 
 
-def task_records(tasks: DataFrame) -> DataFrame:
-    """Records of parsed tasks (``TASK`` plus ``file``); other result types are ignored."""
+def task_rows(tasks: DataFrame) -> DataFrame:
+    """Records of parsed tasks (``TASK`` plus ``file``) with ``unreadable``.
+
+    Other result types are ignored. An absent or null number is its default. One that is there
+    but cannot be read, and ``points`` with a coordinate that is missing or no number, are
+    named in ``unreadable``; ``readable`` and ``rejected`` part the rows. Numbers in quotes are
+    read as numbers.
+    """
     data = F.col("data")
     path = F.coalesce(
         F.nullif(data["image"], F.lit("")), F.nullif(data["ocr"], F.lit("")),
@@ -36,28 +53,43 @@ def task_records(tasks: DataFrame) -> DataFrame:
     ).select("file", "id", "path", "a_no", F.posexplode("a.result").alias("place", "r"))
 
     r, value = F.col("r"), F.col("r.value")
-    width = F.coalesce(r["original_width"], F.lit(1.0))
-    height = F.coalesce(r["original_height"], F.lit(1.0))
+    width, height = number(r["original_width"], 1.0), number(r["original_height"], 1.0)
+    sizes = {n: r[n] for n in ("original_width", "original_height")}
+    edges = {n: value[n] for n in ("x", "y", "width", "height")}
+    all_read = F.array().cast("array<string>")
 
     def first_label(labels):
         return F.coalesce(F.get(labels, F.lit(0)), F.lit(UNKNOWN))
 
     def size(name, whole):
-        return percent_to_pixel(F.coalesce(value[name], F.lit(0.0)), whole)
+        return percent_to_pixel(number(value[name]), whole)
 
     x, y = size("x", width), size("y", height)
     rectangle = box(x, y, x + size("width", width), y + size("height", height))
     outline = F.transform(
         F.coalesce(value["points"], F.array()),
-        lambda p: point(percent_to_pixel(p[0], width), percent_to_pixel(p[1], height)),
+        lambda p: point(
+            percent_to_pixel(F.get(p, F.lit(0)).try_cast("double"), width),
+            percent_to_pixel(F.get(p, F.lit(1)).try_cast("double"), height),
+        ),
     )
     no_box = F.lit(None).cast(
         "STRUCT<x_min: DOUBLE, y_min: DOUBLE, x_max: DOUBLE, y_max: DOUBLE>"
     )
     none = attributes({})
 
-    def entry(label, bbox, attrs):
-        return F.struct(label.alias("label"), bbox.alias("bbox"), attrs.alias("attrs"))
+    def entry(label, bbox, attrs, unread=all_read):
+        return F.struct(
+            label.alias("label"), bbox.alias("bbox"), attrs.alias("attrs"),
+            unread.alias("unreadable"),
+        )
+
+    def polygon(points):
+        unread = F.when(half_read(points), F.array(F.lit("points"))).otherwise(all_read)
+        return entry(
+            first_label(value["polygonlabels"]), bounding_box(points),
+            attributes({"type": F.lit("polygon")}), F.concat(unread, unreadable(sizes)),
+        )
 
     def image_label(tax_path):
         label = F.coalesce(F.try_element_at(tax_path, F.lit(-1)), F.lit(UNKNOWN))
@@ -71,20 +103,14 @@ def task_records(tasks: DataFrame) -> DataFrame:
                 entry(
                     first_label(value["rectanglelabels"]), rectangle,
                     attributes({"rotation": F.coalesce(value["rotation"], F.lit("0"))}),
+                    unreadable({**edges, **sizes}),
                 )
             ),
         )
         .when(
             kind == "polygonlabels",
-            F.filter(
-                F.array(
-                    entry(
-                        first_label(value["polygonlabels"]), bind(outline, bounding_box),
-                        attributes({"type": F.lit("polygon")}),
-                    )
-                ),
-                lambda e: e["bbox"].isNotNull(),
-            ),
+            # Under two points there is no box, whether they can be read or not.
+            F.filter(F.array(bind(outline, polygon)), lambda e: e["bbox"].isNotNull()),
         )
         .when(
             kind == "taxonomy",
@@ -103,15 +129,41 @@ def task_records(tasks: DataFrame) -> DataFrame:
             order_key(
                 F.col("file"), F.col("id"), F.col("a_no"), F.col("place"), F.col("e_no")
             ),
-        )
+        ),
+        F.col("e.unreadable").alias("unreadable"),
     )
 
 
-def load_task_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Records of JSON exports: an array of tasks or one task; other shapes give no rows.
+def task_records(tasks: DataFrame) -> DataFrame:
+    """Readable records of parsed tasks (``TASK`` plus ``file``)."""
+    return readable(task_rows(tasks))
+
+
+def read_tasks(
+    spark: SparkSession, path: str, multi_line: bool = True, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Tasks of JSON exports as ``TASK`` plus ``file``: an array of tasks or one task a file.
 
-    An array file is parsed by one task. Exports with one task per line can be split:
-    pass ``multi_line=False``.
+    Files of any size are read by blocks of ``block_bytes``, in many tasks. Files of another
+    shape give no rows; an element that is no task has nulls only. With ``multi_line=False``
+    the files hold a task per line.
     """
-    tasks = spark.read.schema(TASK).json(path, multiLine=multi_line)
-    return task_records(tasks.withColumn("file", F.col("_metadata.file_path")))
+    if not multi_line:
+        return spark.read.schema(TASK).json(path).withColumn("file", F.col("_metadata.file_path"))
+    elements = array_elements(spark, path, block_bytes)
+    parsed = settle(elements.select("file", "element"), p=F.from_json("element", TASK))
+    return parsed.select("file", "p.*")
+
+
+def load_task_json(
+    spark: SparkSession, path: str, multi_line: bool = True, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Records of JSON exports; those with unreadable numbers are in ``load_task_rejects``."""
+    return task_records(read_tasks(spark, path, multi_line, block_bytes))
+
+
+def load_task_rejects(
+    spark: SparkSession, path: str, multi_line: bool = True, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """What in JSON exports could not be read, see ``rejected``."""
+    return rejected(task_rows(read_tasks(spark, path, multi_line, block_bytes)))

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.functions.geometry import bounding_box, box, points_from_text
+from folioflow.functions.geometry import bounding_box, box, half_read, points_from_text
+from folioflow.functions.strings import bind
 from folioflow.operators.columns import settle
 
-from .annotations import UNKNOWN, attributes, merge_annotations, order_key, record
+from .annotations import (
+    UNKNOWN,
+    attributes,
+    merge_annotations,
+    number,
+    order_key,
+    readable,
+    record,
+    rejected,
+    unreadable,
+)
 
 TOOL = "cvat"
-_CORNERS = "_xtl: DOUBLE, _ytl: DOUBLE, _xbr: DOUBLE, _ybr: DOUBLE"
+CORNERS = ("_xtl", "_ytl", "_xbr", "_ybr")
+# Numbers are read as texts, which tell an absent one from an unreadable one.
+_CORNERS = ", ".join(f"{c}: STRING" for c in CORNERS)
 _SHAPE = "ARRAY<STRUCT<_label: STRING, _points: STRING>>"
 IMAGE_ELEMENT = (
-    "_id BIGINT, _name STRING, _width DOUBLE, _height DOUBLE, "
+    "_id BIGINT, _name STRING, _width STRING, _height STRING, "
     f"box ARRAY<STRUCT<_label: STRING, _occluded: STRING, {_CORNERS}, "
     "attribute: ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>>>, "
     f"polygon {_SHAPE}, polyline {_SHAPE}"
@@ -25,73 +38,119 @@ TRACK_ELEMENT = (
 )
 
 
-def _corner(shape, name):
-    return F.coalesce(shape[name], F.lit(0.0))
+def _corner_box(shape: Column) -> Column:
+    return box(*[number(shape[n]) for n in CORNERS])
 
 
-def _corner_box(shape):
-    return box(*[_corner(shape, n) for n in ("_xtl", "_ytl", "_xbr", "_ybr")])
+def _named(shape: Column) -> dict[str, Column]:
+    return {n[1:]: shape[n] for n in CORNERS}
 
 
-def image_boxes(images: DataFrame) -> DataFrame:
-    """Records of the boxes in parsed image elements (``IMAGE_ELEMENT`` plus ``file``)."""
-    rows = images.select(
-        "file", "_id", "_name", "_width", "_height", F.posexplode("box").alias("place", "b")
-    )
-    b = F.col("b")
-    children = F.transform(
-        F.coalesce(b["attribute"], F.array()),
-        lambda a: F.struct(
-            F.coalesce(a["_name"], F.lit("")).alias("name"), a["_VALUE"].alias("value")
-        ),
+def _entry(
+    section: int, place: Column, label: Column, bbox: Column, attrs: Column, unread: Column
+) -> Column:
+    return F.struct(
+        F.lit(section).alias("section"),
+        place.alias("place"),
+        F.coalesce(label, F.lit(UNKNOWN)).alias("label"),
+        bbox.alias("bbox"),
+        attrs.alias("attrs"),
+        unread.alias("unreadable"),
     )
-    attrs = attributes(
-        {
+
+
+def _image_size() -> dict[str, Column]:
+    return {"width": F.col("_width"), "height": F.col("_height")}
+
+
+def _box_entries() -> Column:
+    def entry(b: Column, place: Column) -> Column:
+        children = F.transform(
+            F.coalesce(b["attribute"], F.array()),
+            lambda a: F.struct(
+                F.coalesce(a["_name"], F.lit("")).alias("name"), a["_VALUE"].alias("value")
+            ),
+        )
+        fixed = {
             "occluded": F.coalesce(b["_occluded"] == "1", F.lit(False)),
-            "image_width": F.coalesce("_width", F.lit(0.0)),
-            "image_height": F.coalesce("_height", F.lit(0.0)),
-        },
-        F.col("children"),
-    )
-    return rows.withColumn("children", children).select(
-        *record(
-            F.coalesce("_name", F.lit(UNKNOWN)), F.coalesce(b["_label"], F.lit(UNKNOWN)),
-            _corner_box(b), TOOL, attrs,
-            order_key(F.col("file"), F.col("_id"), F.lit(0), F.col("place")),
+            "image_width": number(F.col("_width")),
+            "image_height": number(F.col("_height")),
+        }
+        unread = unreadable({**_named(b), **_image_size()})
+        return _entry(
+            0, place, b["_label"], _corner_box(b), bind(children, lambda c: attributes(fixed, c)),
+            unread,
         )
-    )
 
+    return F.transform(F.coalesce(F.col("box"), F.array()), entry)
 
-def image_shapes(images: DataFrame) -> DataFrame:
-    """Records of polygons, then polylines, as bounding boxes; under two points dropped."""
 
-    def tagged(tag: str):
-        shapes = F.coalesce(F.col(tag), F.array())
+def _shape_entries() -> Column:
+    """Polygons, then polylines, as bounding boxes; readable ones under two points are dropped."""
+
+    def tagged(tag: str) -> Column:
         return F.transform(
-            shapes,
+            F.coalesce(F.col(tag), F.array()),
             lambda s: F.struct(
                 F.lit(tag).alias("tag"), s["_label"].alias("label"),
                 points_from_text(s["_points"]).alias("points"),
             ),
         )
 
-    named = images.select("file", "_id", "_name", "polygon", "polyline")
-    shapes = settle(named, shapes=F.concat(tagged("polygon"), tagged("polyline")))
-    rows = settle(
-        shapes.select("file", "_id", "_name", F.posexplode("shapes").alias("place", "s")),
-        rect=bounding_box(F.col("s.points")),
+    def entry(s: Column, place: Column) -> Column:
+        unread = F.concat(
+            F.when(half_read(s["points"]), F.array(F.lit("points"))).otherwise(
+                F.array().cast("array<string>")
+            ),
+            unreadable(_image_size()),
+        )
+        return _entry(
+            1, place, s["label"], bounding_box(s["points"]), attributes({"type": s["tag"]}), unread
+        )
+
+    entries = bind(
+        F.concat(tagged("polygon"), tagged("polyline")), lambda shapes: F.transform(shapes, entry)
+    )
+    return F.filter(entries, lambda e: e["bbox"].isNotNull() | (F.size(e["unreadable"]) > 0))
+
+
+def _image_rows(images: DataFrame, entries: Column) -> DataFrame:
+    listed = settle(
+        images.select("file", "_id", "_name", "_width", "_height", "box", "polygon", "polyline"),
+        entries=entries,
     )
-    return rows.filter(F.col("rect").isNotNull()).select(
+    return listed.select("file", "_id", "_name", F.explode("entries").alias("e")).select(
         *record(
-            F.coalesce("_name", F.lit(UNKNOWN)), F.coalesce("s.label", F.lit(UNKNOWN)),
-            F.col("rect"), TOOL, attributes({"type": F.col("s.tag")}),
-            order_key(F.col("file"), F.col("_id"), F.lit(1), F.col("place")),
-        )
+            F.coalesce("_name", F.lit(UNKNOWN)), F.col("e.label"), F.col("e.bbox"), TOOL,
+            F.col("e.attrs"),
+            order_key(F.col("file"), F.col("_id"), F.col("e.section"), F.col("e.place")),
+        ),
+        F.col("e.unreadable").alias("unreadable"),
     )
 
 
-def track_boxes(tracks: DataFrame) -> DataFrame:
-    """Records of all boxes of video tracks (``TRACK_ELEMENT`` plus ``file``)."""
+def image_rows(images: DataFrame) -> DataFrame:
+    """Records of the boxes, polygons and polylines of parsed images, with ``unreadable``.
+
+    ``images``: ``IMAGE_ELEMENT`` plus ``file``. An absent number is 0. One that is there but
+    cannot be read, of a box or of its image, is named in ``unreadable``, as is ``points`` where
+    a coordinate of a shape is no number; ``readable`` and ``rejected`` part the rows.
+    """
+    return _image_rows(images, F.concat(_box_entries(), _shape_entries()))
+
+
+def image_boxes(images: DataFrame) -> DataFrame:
+    """Records of the readable boxes in parsed image elements (``IMAGE_ELEMENT`` plus ``file``)."""
+    return readable(_image_rows(images, _box_entries()))
+
+
+def image_shapes(images: DataFrame) -> DataFrame:
+    """Records of readable polygons, then polylines, as bounding boxes; under two points dropped."""
+    return readable(_image_rows(images, _shape_entries()))
+
+
+def track_rows(tracks: DataFrame) -> DataFrame:
+    """Records of all boxes of video tracks (``TRACK_ELEMENT`` plus ``file``), with ``unreadable``."""
     rows = tracks.select(
         "file", "_id", "_label", "_source", F.posexplode("box").alias("place", "b")
     ).withColumn("frame", F.coalesce("b._frame", F.lit("0")))
@@ -101,19 +160,36 @@ def track_boxes(tracks: DataFrame) -> DataFrame:
             F.concat(F.lit("frame_"), "frame"), F.coalesce("_label", F.lit(UNKNOWN)),
             _corner_box(F.col("b")), TOOL, attrs,
             order_key(F.col("file"), F.col("_id"), F.lit(2), F.col("place")),
-        )
+        ),
+        unreadable(_named(F.col("b"))).alias("unreadable"),
     )
 
 
+def track_boxes(tracks: DataFrame) -> DataFrame:
+    """Records of the readable boxes of video tracks (``TRACK_ELEMENT`` plus ``file``)."""
+    return readable(track_rows(tracks))
+
+
 def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
     return rows.withColumn("file", F.col("_metadata.file_path"))
 
 
-def load_xml_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """Records of one export file, a folder of them or a glob. Large files are read in splits."""
+def xml_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of one export file, a folder of them or a glob, with ``unreadable``.
+
+    Large files are read in splits, once for images and once for tracks.
+    """
     images = _elements(spark, path, "image", IMAGE_ELEMENT)
     tracks = _elements(spark, path, "track", TRACK_ELEMENT)
-    return merge_annotations(
-        spark, image_boxes(images), image_shapes(images), track_boxes(tracks)
-    )
+    return merge_annotations(spark, image_rows(images), track_rows(tracks))
+
+
+def load_xml_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """Records of export files; those with unreadable numbers are in ``load_xml_rejects``."""
+    return readable(xml_rows(spark, path))
+
+
+def load_xml_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """What in export files could not be read, see ``rejected``."""
+    return rejected(xml_rows(spark, path))
