@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from folioflow.operators.columns import settle
 from folioflow.sources.files import spread_scan
+from folioflow.sources.ranges import store_files
 
 WORDS_PER_PAGE = 200
+# Items of an export file, whatever the table's size.
+ITEMS_PER_FILE = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -231,6 +234,117 @@ def json_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(task.alias("json"))
 
 
+def _damaged(element: Column, key: Column, *changes: tuple[int, str, str]) -> Column:
+    """``element`` with a text replaced by another wherever a number divides the key."""
+    for modulus, text, other in changes:
+        replaced = F.replace(element, F.lit(text), F.lit(other))
+        element = F.when(key % modulus == 0, replaced).otherwise(element)
+    return element
+
+
+def write_xml_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The image and track elements as files, some with numbers that cannot be read."""
+    image_id = F.regexp_extract("xml", 'id="([0-9]+)"', 1).cast("bigint")
+    images = _damaged(
+        F.col("xml"), image_id, (31, 'ybr="460"', 'ybr="4x60"'), (37, "5,5;7,9", "5,5;x,9"),
+        (41, 'height="480"', 'height="tall"'),
+    )
+    tracks = _damaged(F.col("xml"), image_id, (29, 'xbr="3"', 'xbr="three"'))
+    number = F.floor(image_id / ITEMS_PER_FILE)
+    elements = xml_images(spark, sf_dir).select(
+        images.alias("xml"), F.format_string("images_%d.xml", number).alias("name")
+    ).unionByName(
+        xml_tracks(spark, sf_dir).select(
+            tracks.alias("xml"), F.format_string("tracks_%d.xml", number).alias("name")
+        )
+    )
+    files = elements.groupBy("name").agg(F.array_join(F.collect_list("xml"), "\n").alias("all"))
+    whole = F.concat(F.lit('<?xml version="1.0"?>\n<annotations>\n'), "all", F.lit("\n</annotations>"))
+    store_files(files.select("name", F.encode(whole, "UTF-8").alias("content")), path)
+
+
+def write_task_arrays(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The tasks as files of one JSON array each, some with numbers that cannot be read."""
+    key = F.get_json_object("json", "$.id").cast("bigint")
+    damaged = _damaged(
+        F.col("json"), key, (31, '"width":50', '"width":"bad"'), (37, "[[1,2],[", '[["x",2],['),
+        (41, '"original_height":480', '"original_height":"tall"'),
+    )
+    tasks = json_tasks(spark, sf_dir).select(damaged.alias("json"), key.alias("key"))
+    files = tasks.groupBy(F.floor(F.col("key") / ITEMS_PER_FILE).alias("n")).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("json"), " ,\n"), F.lit("\n]\n")).alias("all")
+    )
+    store_files(
+        files.select(
+            F.format_string("tasks_%d.json", "n").alias("name"), F.encode("all", "UTF-8").alias("content")
+        ),
+        path,
+    )
+
+
+def write_label_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Box-text files by supplier, a third of them with names that begin with a mark."""
+    key = F.col("l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.concat(
+            F.when(key % 3 == 0, "_").when(key % 3 == 1, ".").otherwise(""),
+            F.lit("img"), key.cast("string"), F.lit(".txt"),
+        ).alias("name"),
+        F.concat_ws(
+            " ", F.col("l_linenumber").cast("string"), (F.col("l_quantity") / 100).cast("string"),
+            F.lit("0.5"), F.lit("0.25"),
+            F.when(F.col("l_orderkey") % 23 == 0, "wide").otherwise("0.125"),
+        ).alias("line"),
+    )
+    files = lines.groupBy("name").agg(F.array_join(F.collect_list("line"), "\r\n").alias("all"))
+    store_files(files.select("name", F.encode("all", "UTF-8").alias("content")), path)
+
+
+def write_page_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The pages as files of several kinds in several folders, the html as their content."""
+    endings = [".jpg", ".PNG", ".mp4", ".pdf", "", ".tar.webp", ".zip"]
+    key = F.col("page_id")
+    ending = F.element_at(F.array(*[F.lit(e) for e in endings]), (key % 7 + 1).cast("int"))
+    name = F.concat(
+        F.lit("d"), (key % 10).cast("string"), F.lit("/"), F.when(key % 4 == 0, "_").otherwise("p"),
+        key.cast("string"), ending,
+    )
+    store_files(
+        table(spark, sf_dir, "pages").select(
+            name.alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content")
+        ),
+        path,
+    )
+
+
+DOCUMENTS_PER_ARCHIVE = 100
+
+
+def write_archives(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """ZIP files of up to 100 documents each, and some that are damaged."""
+
+    def pack(whole: pa.Table) -> pa.Table:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as archive:
+            for key, text in zip(whole["doc_id"].to_pylist(), whole["text"].to_pylist()):
+                method = zipfile.ZIP_DEFLATED if key % 2 else zipfile.ZIP_STORED
+                archive.writestr(f"p{key % 3}/{key}.png", text, method)
+                archive.writestr(f"{key}.txt", text)
+        number = whole["n"][0].as_py()
+        content = buffer.getvalue()
+        return pa.table(
+            {
+                "name": [f"batch_{number}.zip"],
+                "content": [content[: len(content) // 2] if number % 5 == 4 else content],
+            }
+        )
+
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.floor(F.col("doc_id") / DOCUMENTS_PER_ARCHIVE).alias("n")
+    )
+    store_files(rows.groupBy("n").applyInArrow(pack, "name STRING, content BINARY"), path)
+
+
 def box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box-text line per line item; the order is the image, every 23rd line lacks a field."""
     key = F.col("l_orderkey")
@@ -281,11 +395,16 @@ def request_columns() -> list[Column]:
     ]
 
 
+def whole_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with whole milliseconds, whose sums are exact."""
+    return requests(spark, sf_dir).withColumn("elapsed_ms", F.floor("elapsed_ms").cast("double"))
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests by the third of the month they arrive in; every 40th comes a third later."""
+    """Such requests by the third of the month they arrive in; every 40th comes a third later."""
     third = F.when(F.dayofmonth("ts") <= 10, 0).when(F.dayofmonth("ts") <= 20, 1).otherwise(2)
     late = (F.col("event_id") % 40 == 0).cast("int")
-    return requests(spark, sf_dir).withColumn("part", F.least(third + late, F.lit(2)))
+    return whole_requests(spark, sf_dir).withColumn("part", F.least(third + late, F.lit(2)))
 
 
 def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,6 +300,51 @@ FROM orders WHERE o_orderkey % 5 = 0
 UNION ALL
 SELECT {_JSON_PATH}, unnest([o_orderstatus, 'c', 'unknown']), 'label_studio', {_NO_BOX}, NULL, NULL
 FROM orders WHERE o_orderkey % 5 > 1"""
+_XML_FILES = f"""
+SELECT {_IMG}, 'invoice' AS label, 'cvat' AS source_tool, {_box('10', '20.5', _W, '460')},
+  NULL AS type, NULL AS source FROM orders WHERE o_orderkey % 31 <> 0 AND o_orderkey % 41 <> 0
+UNION ALL
+SELECT {_IMG}, 'field', 'cvat', {_box('0', '1', '2', '3')}, NULL, NULL
+FROM orders WHERE o_orderkey % 41 <> 0
+UNION ALL
+SELECT {_IMG}, 'stamp', 'cvat',
+  {_box(f'least(100, {_W})', f'least(100, {_W})', f'greatest(150, {_W})', f'greatest(100, {_W})')},
+  'polygon', NULL FROM orders WHERE o_orderkey % 41 <> 0
+UNION ALL
+SELECT {_IMG}, 'unknown', 'cvat', {_box('5', '5', '7', '9')}, 'polyline', NULL
+FROM orders WHERE o_orderkey % 37 <> 0 AND o_orderkey % 41 <> 0
+UNION ALL
+SELECT 'frame_' || p_size, lower(p_type), 'cvat', {_box('1', '2', '3', '4')}, NULL, 'manual'
+FROM part WHERE p_partkey % 29 <> 0
+UNION ALL
+SELECT 'frame_0', lower(p_type), 'cvat', {_box('p_size', '0', '9', '9')}, NULL, 'manual' FROM part"""
+_XML_REJECTS = f"""
+WITH bad AS (SELECT *, o_orderkey % 31 = 0 AS box, o_orderkey % 37 = 0 AS points,
+  o_orderkey % 41 = 0 AS tall FROM orders)
+SELECT {_IMG}, 'invoice' AS label, 'cvat' AS source_tool,
+  concat_ws(',', CASE WHEN box THEN 'ybr' END, CASE WHEN tall THEN 'height' END) AS unreadable
+FROM bad WHERE box OR tall
+UNION ALL
+SELECT {_IMG}, unnest(['field', 'stamp', 'dot']), 'cvat', 'height' FROM bad WHERE tall
+UNION ALL
+SELECT {_IMG}, 'unknown', 'cvat',
+  concat_ws(',', CASE WHEN points THEN 'points' END, CASE WHEN tall THEN 'height' END)
+FROM bad WHERE points OR tall
+UNION ALL
+SELECT 'frame_' || p_size, lower(p_type), 'cvat', 'xbr' FROM part WHERE p_partkey % 29 = 0"""
+_JSON_FILES = f"""
+SELECT * FROM ({_JSON_RECORDS.replace("'0' AS rotation, NULL AS type FROM orders",
+    "'0' AS rotation, NULL AS type FROM orders WHERE o_orderkey % 31 <> 0 AND o_orderkey % 41 <> 0")
+    .replace("NULL, 'polygon' FROM orders", "NULL, 'polygon' FROM orders WHERE o_orderkey % 37 <> 0")})"""
+_JSON_REJECTS = f"""
+SELECT {_JSON_PATH} AS image_path,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'unknown' ELSE 'invoice' END AS label,
+  'label_studio' AS source_tool,
+  concat_ws(',', CASE WHEN o_orderkey % 31 = 0 THEN 'width' END,
+    CASE WHEN o_orderkey % 41 = 0 THEN 'original_height' END) AS unreadable
+FROM orders WHERE o_orderkey % 31 = 0 OR o_orderkey % 41 = 0
+UNION ALL
+SELECT {_JSON_PATH}, 'stamp', 'label_studio', 'points' FROM orders WHERE o_orderkey % 37 = 0"""
 _CLASS = """CASE l_linenumber WHEN 1 THEN 'receipt' WHEN 2 THEN 'field_vendor'
   WHEN 3 THEN 'field_date' WHEN 4 THEN 'field_amount' ELSE 'class_' || l_linenumber END"""
 _GOOD_LINES = "(SELECT * FROM lineitem WHERE l_orderkey % 23 <> 0)"
@@ -342,10 +387,11 @@ def _written(start: str) -> str:
     return f"strftime({start}, '%Y-%m-%d %H:%M') AS window_start"
 
 
+_WHOLE = _REQUESTS.replace("value * 20 AS", "floor(value * 20) AS")
 # Requests by the run that sees them; a window is closed an hour after its end, and requests
 # for windows closed before their run are left out.
 _CLOSED = f"""
-WITH {_REQUESTS},
+WITH {_WHOLE},
 arrived AS (SELECT *, least(2, CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END
     + (event_id % 40 = 0)::INT) AS part,
   date_trunc('day', ts) + INTERVAL 6 HOUR * (hour(ts) // 6) AS w FROM requests),
@@ -365,14 +411,14 @@ _BY_DAY = (
     + _windows("named", "window_start, path")
 )
 _OVERLAPPING = f"""
-WITH {_REQUESTS},
+WITH {_WHOLE},
 halves AS (SELECT *, date_trunc('day', ts) + INTERVAL 12 HOUR * (hour(ts) // 12) AS w
   FROM requests),
 named AS (SELECT path, {_written("w - INTERVAL 12 HOUR * k")}, elapsed_ms
   FROM halves, range(2) t(k)),
 {_windows("named", "window_start, path")}"""
 _NEWEST_METRICS = f"""
-WITH {_REQUESTS},
+WITH {_WHOLE},
 recent AS (SELECT path, elapsed_ms FROM requests
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) <= 1000),
 {_windows("recent", "path")}"""
@@ -504,6 +550,45 @@ ORACLES: dict[str, str] = {
           coalesce(n_name, 'class_' || l_linenumber) AS label, count(*) AS boxes
         FROM lineitem LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0)
           ON l_linenumber = n_nationkey GROUP BY ALL""",
+    "xml_files": _XML_FILES,
+    "xml_rejects": _XML_REJECTS,
+    "task_json_files": _JSON_FILES,
+    "task_json_rejects": _JSON_REJECTS,
+    "box_text_files": f"""
+        WITH lines AS (SELECT *, ['_img', '.img', 'img'][l_suppkey % 3 + 1] || l_suppkey AS stem
+          FROM lineitem)
+        SELECT stem AS image_path, {_CLASS} AS label, count(*) AS boxes,
+          round(max(l_quantity / 100 + 0.125), 6) AS x_max
+        FROM lines WHERE l_orderkey % 23 <> 0 GROUP BY ALL
+        UNION ALL
+        SELECT stem, 'rejected', count(*), NULL FROM lines WHERE l_orderkey % 23 = 0 GROUP BY ALL""",
+    "directory_files": """
+        WITH files AS (SELECT page_id AS k, page_id % 7 AS e, md5(coalesce(html, '')) AS content_md5,
+          'd' || page_id % 10 || '/' || CASE WHEN page_id % 4 = 0 THEN '_' ELSE 'p' END || page_id ||
+            ['.jpg', '.PNG', '.mp4', '.pdf', '', '.tar.webp', '.zip'][page_id % 7 + 1] AS name
+          FROM pages),
+        videos AS (SELECT *, CASE WHEN k % 2 = 0 AND k % 3 <> 0 THEN k % 5 * 3 END AS total
+          FROM files WHERE e = 2)
+        SELECT name AS source_path, -1::BIGINT AS frame_idx, content_md5, NULL AS error
+        FROM files WHERE e IN (0, 1, 5)
+        UNION ALL
+        SELECT name || '::frame_' || i, i * greatest(1, total // 5), NULL, NULL
+        FROM videos, range(5) t(i) WHERE i * greatest(1, total // 5) < total
+        UNION ALL
+        SELECT name, -1, NULL, CASE WHEN total IS NULL THEN 'no_frame_count' ELSE 'no_frames' END
+        FROM videos WHERE coalesce(total, 0) = 0""",
+    "zip_files": """
+        WITH members AS (SELECT doc_id // 100 AS n, text,
+          'p' || doc_id % 3 || '/' || doc_id || '.png' AS member FROM documents)
+        SELECT 'batch_' || n || '.zip' AS archive,
+          (row_number() OVER (PARTITION BY n ORDER BY member) - 1)::INT AS member_index, member,
+          md5(text) AS content_md5, false AS broken FROM members WHERE n % 5 <> 4
+        UNION ALL
+        SELECT DISTINCT 'batch_' || n || '.zip', NULL, NULL, NULL, true FROM members WHERE n % 5 = 4""",
+    "step_timings": """
+        SELECT 'first' AS step, count(*) AS runs, true AS measured FROM part
+        UNION ALL
+        SELECT 'second', count(*), true FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 = 0""",
     "merged_annotations": f"""
         SELECT source_tool, label, count(*) AS records, count(x_min) AS boxes FROM (
           SELECT source_tool, label, x_min FROM ({_XML_BOXES})
@@ -585,8 +670,8 @@ ORACLES: dict[str, str] = {
     "stream_windows": _BY_WINDOW,
     "stream_windows_by_day": _BY_DAY,
     "latency_by_window": _OVERLAPPING,
-    "stream_newest_per_path": f"""WITH {_REQUESTS}
-        SELECT path, event_id, round(elapsed_ms, 4) AS elapsed_ms FROM requests
+    "stream_newest_per_path": f"""WITH {_WHOLE}
+        SELECT path, event_id, elapsed_ms FROM requests
         QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) <= 100""",
     "stream_metrics_per_path": _NEWEST_METRICS,
     "stream_breaches": _BREACHES,

@@ -40,6 +40,7 @@ from folioflow.operators.tokens import (
     usable_tokens,
 )
 from folioflow.operators.vendors import vendor_mentions
+from folioflow.plans.batch import directory_items, directory_problems
 from folioflow.plans.extract import (
     documents_from_tokens,
     extract_documents,
@@ -50,8 +51,16 @@ from folioflow.plans.extract import (
 from folioflow.session import scratch_path
 from folioflow.sources import box_text, sinks, task_json, xml_boxes
 from folioflow.sources.annotations import merge_annotations, name_classes
-from folioflow.sources.archives import expand_archives
-from folioflow.sources.files import check_archives, discover, read_labels, route_media
+from folioflow.sources.archives import expand_archive_files, expand_archives
+from folioflow.sources.files import (
+    check_archives,
+    discover,
+    media_kind,
+    read_labels,
+    route_media,
+)
+from folioflow.sources.listing import list_tree, with_content
+from folioflow.sources.ranges import listed_files
 from folioflow.streaming.batches import report_stream
 from folioflow.streaming.extract import breach_alerts, extract_stream, request_log
 from folioflow.streaming.latency import current_metrics, keep_history
@@ -341,6 +350,53 @@ def merged_annotations(spark, sf_dir):
     )
 
 
+def _rejects(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "image_path", "label", "source_tool", F.array_join("unreadable", ",").alias("unreadable")
+    )
+
+
+def xml_files(spark, sf_dir):
+    path = scratch_path(spark, "xml")
+    inputs.write_xml_files(spark, sf_dir, path)
+    return _record_columns(xml_boxes.load_xml_boxes(spark, path), "type", "source")
+
+
+def xml_rejects(spark, sf_dir):
+    path = scratch_path(spark, "xml")
+    inputs.write_xml_files(spark, sf_dir, path)
+    return _rejects(xml_boxes.load_xml_rejects(spark, path))
+
+
+def task_json_files(spark, sf_dir):
+    """Arrays of tasks read by small blocks, so that many tasks share a file."""
+    path = scratch_path(spark, "tasks")
+    inputs.write_task_arrays(spark, sf_dir, path)
+    records = task_json.load_task_json(spark, path, block_bytes=1 << 18)
+    return _record_columns(records, "rotation", "type")
+
+
+def task_json_rejects(spark, sf_dir):
+    path = scratch_path(spark, "tasks")
+    inputs.write_task_arrays(spark, sf_dir, path)
+    return _rejects(task_json.load_task_rejects(spark, path, block_bytes=1 << 18))
+
+
+def box_text_files(spark, sf_dir):
+    """Label files with hidden names too, and lines that cannot be read."""
+    path = scratch_path(spark, "labels")
+    inputs.write_label_files(spark, sf_dir, path)
+    lines = box_text.read_lines(spark, path)
+    boxes = box_text.box_records(lines).groupBy("image_path", "label").agg(
+        F.count(F.lit(1)).alias("boxes"), F.round(F.max("bbox.x_max"), 6).alias("x_max")
+    )
+    unread = box_text.rejected_lines(lines).groupBy(F.col("stem").alias("image_path")).agg(
+        F.lit("rejected").alias("label"), F.count(F.lit(1)).alias("boxes"),
+        F.lit(None).cast("double").alias("x_max"),
+    )
+    return boxes.unionByName(unread)
+
+
 # Reports and sampling -----------------------------------------------------------------
 
 
@@ -423,6 +479,44 @@ def scan_discovery(spark, sf_dir):
     return discover(_paths(spark, sf_dir)).select("page_id", "kind", "directory", "name")
 
 
+def directory_files(spark, sf_dir):
+    """Files written and read again: images with content, frames of videos, and problems."""
+    path = scratch_path(spark, "pages")
+    inputs.write_page_files(spark, sf_dir, path)
+    files = list_tree(spark, path)
+    key = F.regexp_extract("path", r"([0-9]+)\.mp4$", 1).try_cast("bigint")
+    counts = files.filter((key % 2 == 0) & (key % 3 != 0)).select(
+        "path", (key % 5 * 3).cast("int").alias("total_frames")
+    )
+    # Contents are read for the files that are images only.
+    pictures = with_content(files.filter(media_kind("path") == "image"))
+    movies = files.filter(media_kind("path") == "video").withColumn(
+        "content", F.lit(None).cast("binary")
+    )
+    items = directory_items(pictures.unionByName(movies), counts).select(
+        "source_path", F.coalesce("frame_idx", F.lit(-1)).alias("frame_idx"),
+        F.md5("content").alias("content_md5"), F.lit(None).cast("string").alias("error"),
+    )
+    problems = directory_problems(files, counts).select(
+        F.col("path").alias("source_path"), F.lit(-1).cast("bigint").alias("frame_idx"),
+        F.lit(None).cast("string").alias("content_md5"), "error",
+    )
+    folder = path.rsplit("/", 1)[1]
+    name = F.element_at(F.split("source_path", f"/{folder}/"), -1)
+    return items.unionByName(problems).withColumn("source_path", name)
+
+
+def zip_files(spark, sf_dir):
+    """Members of ZIP files read one by one through ranges of the files."""
+    path = scratch_path(spark, "zips")
+    inputs.write_archives(spark, sf_dir, path)
+    members = expand_archive_files(listed_files(spark, path, "*.zip"))
+    return members.select(
+        F.regexp_extract("archive", "([^/]*)$", 1).alias("archive"), "member_index", "member",
+        F.md5("content").alias("content_md5"), F.col("error").isNotNull().alias("broken"),
+    )
+
+
 def media_routing(spark, sf_dir):
     return route_media(_paths(spark, sf_dir)).select("page_id", "kind")
 
@@ -496,6 +590,20 @@ def engine_pages(spark, sf_dir):
     return _page_columns(read_pages(polygon_tokens(token_rows(good)))).drop("page")
 
 
+def step_timings(spark, sf_dir):
+    """How often each step of the two engines ran, and whether all took time."""
+    key = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(
+        key.alias("doc_id"), F.lit(0).alias("page"),
+        F.when(key % 3 != 0, key).cast("bigint").alias("rank"), F.col("p_type").alias("text"),
+    )
+    read = first_with_tokens(_first_engine, _second_engine)
+    results = map_documents(parts, read, OCR_RESULT, _load_engine, keep=("doc_id",))
+    return results.select(F.explode("timings").alias("step", "ms")).groupBy("step").agg(
+        F.count(F.lit(1)).alias("runs"), (F.min("ms") >= 0).alias("measured")
+    )
+
+
 def document_names(spark, sf_dir):
     key = F.col("page_id")
     pages = table(spark, sf_dir, "pages").select(
@@ -589,7 +697,7 @@ def stream_windows_by_day(spark, sf_dir):
 
 def latency_by_window(spark, sf_dir):
     """The same windows over a table, overlapping, without late requests."""
-    requests = inputs.requests(spark, sf_dir)
+    requests = inputs.whole_requests(spark, sf_dir)
     return _window_columns(latency_windows(requests, "1 day", slide="12 hours"))
 
 
@@ -610,7 +718,7 @@ def stream_newest_per_path(spark, sf_dir):
     """The 100 newest requests of each path after a stream that ran three times."""
     root, rings, order = _ring_stream(spark, sf_dir, 100)
     kept = ring_history(spark, root, rings, order, size=100)
-    return kept.select("path", "event_id", F.round("elapsed_ms", 4).alias("elapsed_ms"))
+    return kept.select("path", "event_id", "elapsed_ms")
 
 
 def stream_metrics_per_path(spark, sf_dir):
@@ -667,11 +775,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_filter_boxes,
         xml_image_boxes, xml_image_shapes, xml_track_boxes, task_json_records, box_text_records,
         box_text_with_sizes, class_lookup, merged_annotations,
+        xml_files, xml_rejects, task_json_files, task_json_rejects, box_text_files,
         latency_report, newest_per_path, sla_breaches, request_lines, batch_summary,
         batch_summary_by_user, overhead_stats, overhead_per_request,
         keyframes_of_media, keyframes_of_turns, keyframes_of_events,
         scan_discovery, media_routing, upload_guards, zip_expand, guarded_map,
-        engine_pages, document_names,
+        directory_files, zip_files, engine_pages, step_timings, document_names,
         artifact_sink, report_sink,
         stream_extract, stream_metrics, stream_breaches, stream_batches,
         stream_windows, stream_windows_by_day, latency_by_window,

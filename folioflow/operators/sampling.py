@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.strings import as_column
-from folioflow.session import checkpointed
+from folioflow.session import scratch_path
 
-from .joins import lookup_join
+from .joins import lookup_join, small_side
 
 # History size, frames per medium, frames per medium in directory batches.
 HISTORY_SIZE = 1000
@@ -18,6 +23,8 @@ MAX_FRAMES = 10
 MAX_FRAMES_IN_BATCH = 5
 # Parts that a group's rows are ranked in before the whole group is.
 SALTS = 32
+# Wanted rows up to which their places are broadcast, about 60 bytes each.
+BROADCAST_ROWS = 100_000
 
 
 def newest(
@@ -103,39 +110,66 @@ def sample_positions(
     )
 
 
-def rank_in_groups(
-    df: DataFrame, by: str, order: Sequence[str], position: str = "position"
-) -> DataFrame:
-    """Add the 0-based ``position`` of each row in its group, however large the group.
+def _numbered(by_at: int, carried: int):
+    """Adds the partition and each row's number within its run of one group, rows in order."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition = TaskContext.get().partitionId()
+        last, count = None, 0
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            column = batch.column(by_at)
+            # A row opens a run where it differs from the one before, nulls being equal.
+            here, before = column.slice(1), column.slice(0, size - 1)
+            differs = pc.or_(
+                pc.fill_null(pc.not_equal(here, before), False),
+                pc.xor(pc.is_null(here), pc.is_null(before)),
+            ).to_numpy(zero_copy_only=False)
+            same_run = last is not None and column[0].as_py() == last[0]
+            opens = np.append(not same_run, differs).astype(bool)
+            places = np.arange(size)
+            starts = np.maximum.accumulate(np.where(opens, places, -1))
+            numbers = np.where(starts >= 0, places - starts, places + count)
+            last, count = (column[size - 1].as_py(),), int(numbers[-1]) + 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:carried],
+                    pa.array(np.full(size, partition, dtype=np.int32)),
+                    pa.array(numbers.astype(np.int64)),
+                ],
+                names=[*batch.schema.names[:carried], "_part", "_number"],
+            )
+
+    return run
+
+
+def numbered_in_order(df: DataFrame, by: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_part, _number``, and ``by, _part, _start, _total`` of their runs.
 
     Rows are range-partitioned by group and order together, so a hot group spreads over many
-    tasks. Row ids handed out along that order are stored once; partition sizes turn them
-    into dense positions. ``order`` must be unique within a group for a repeatable result.
+    tasks, and each counts its rows in every range partition from 0; the result is stored
+    once. ``_start`` is the position of a run's first row in its group: what the group has in
+    the partitions before. The runs are far fewer than rows: one per group and partition.
     """
-    row_bits = 33  # monotonically_increasing_id keeps the row number in the lower 33 bits
-    ordered = checkpointed(
-        df.orderBy(by, *order).withColumn("_id", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("_id", row_bits)
-    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    # One row per partition of the sort: bounded by the shuffle partition count.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(
-        sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    ordered = df.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    schema = T.StructType(
+        [*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_number", T.LongType())]
     )
-
-    def dense(rows: DataFrame) -> DataFrame:
-        within = F.col("_id") - F.shiftleft(F.col("_part"), row_bits)
-        return rows.join(offsets, "_part").withColumn("_dense", F.col("_offset") + within)
-
-    starts = dense(
-        ordered.groupBy(by).agg(F.min("_id").alias("_id")).withColumn("_part", part)
-    ).select(by, F.col("_dense").alias("_start"))
-    placed = dense(ordered.withColumn("_part", part))
-    return (
-        lookup_join(placed, starts, [by], "inner")
-        .withColumn(position, F.col("_dense") - F.col("_start"))
-        .drop("_id", "_part", "_offset", "_dense", "_start")
+    numbered = ordered.mapInArrow(_numbered(df.columns.index(by), len(df.columns)), schema)
+    path = scratch_path(df.sparkSession, "numbered")
+    numbered.write.parquet(path)
+    stored = df.sparkSession.read.schema(schema).parquet(path)
+    runs = stored.groupBy(by, "_part").agg((F.max("_number") + 1).alias("_rows"))
+    whole = Window.partitionBy(by)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return stored, runs.select(
+        by,
+        "_part",
+        "_rows",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+        F.sum("_rows").over(whole).alias("_total"),
     )
 
 
@@ -145,7 +179,42 @@ def sample_ordered(
     order: Sequence[str],
     max_frames: int = MAX_FRAMES,
     frame_interval: int | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Uniform sample of every ordered group: ``rank_in_groups`` then ``sample_positions``."""
-    ranked = rank_in_groups(df, by, order)
-    return sample_positions(ranked, by, "position", max_frames, frame_interval)
+    """Uniform sample of every ordered group, with ``position`` and ``sample_no``.
+
+    Selection by rank: the wanted positions of a group follow from its size alone, and the
+    sizes of its runs in the range partitions say in which partition and at which number each
+    lies. Only those places meet the stored rows, broadcast where they are few, so after the
+    sort no row is shuffled. ``order`` should be unique within a group for a repeatable
+    result; nulls come first, and rows with a null group are a group.
+    """
+    stored, runs = numbered_in_order(df, by, order)
+    step = sampling_interval(F.col("_total"), max_frames, frame_interval)
+    # Of positions 0, i, 2i ... those that lie in the run.
+    first = F.ceil(F.col("_start") / F.col("_step")).cast("bigint")
+    last = F.least(
+        F.lit(max_frames - 1).cast("bigint"),
+        F.floor((F.col("_start") + F.col("_rows") - 1) / F.col("_step")).cast("bigint"),
+    )
+    chosen = F.when(first <= last, F.sequence(first, last))
+    wanted = (
+        runs.withColumn("_step", step)
+        .select(F.col(by).alias("_by"), "_part", "_start", "_step", F.explode(chosen).alias("_no"))
+        .select(
+            "_by",
+            F.col("_part").alias("_in"),
+            (F.col("_no") * F.col("_step")).alias("position"),
+            (F.col("_no") * F.col("_step") - F.col("_start")).alias("_at"),
+            F.col("_no").cast("int").alias("sample_no"),
+        )
+    )
+    path = scratch_path(df.sparkSession, "wanted")
+    wanted.write.parquet(path)
+    wanted = small_side(df.sparkSession.read.schema(wanted.schema).parquet(path), broadcast_rows)
+    place = (
+        F.col(by).eqNullSafe(F.col("_by"))
+        & (F.col("_part") == F.col("_in"))
+        & (F.col("_number") == F.col("_at"))
+    )
+    return stored.join(wanted, place).select(*df.columns, "position", "sample_no")

@@ -25,8 +25,8 @@ def directory_items(
 
     ``files``: rows of ``read_files``. An image is one item with its content. A video gives an
     item per sampled frame, with the path and frame index only: its bytes are not repeated.
-    ``frame_counts``: ``path, total_frames``; videos without a count are left out, as are
-    unreadable ones.
+    ``frame_counts``: ``path, total_frames``; videos without a count or without frames have no
+    items, and a row in ``directory_problems``.
     """
     found = discover(files)
     images = found.filter("kind = 'image'").select(
@@ -45,6 +45,19 @@ def directory_items(
     return items.withColumn("doc_id", document_id())
 
 
+def directory_problems(files: DataFrame, frame_counts: DataFrame | None = None) -> DataFrame:
+    """``path, error`` of videos that give no item: ``no_frame_count`` or ``no_frames``."""
+    videos = discover(files).filter("kind = 'video'").select("path")
+    if frame_counts is None:
+        return videos.withColumn("error", F.lit("no_frame_count"))
+    counts = frame_counts.groupBy(F.col("path").alias("_path")).agg(
+        F.max("total_frames").alias("_total")
+    )
+    joined = videos.join(counts, F.col("path") == F.col("_path"), "left")
+    error = F.when(F.col("_total").isNull(), "no_frame_count").when(F.col("_total") <= 0, "no_frames")
+    return joined.select("path", error.alias("error")).filter("error IS NOT NULL")
+
+
 def _members(archives: DataFrame, tasks: int | None = None) -> DataFrame:
     """Members by their archives' contents, or by ranges of the files where there are none."""
     if "content" in archives.columns:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.geometry import box_from_centre
 from folioflow.functions.strings import SPACE, strip
 
+from .listing import list_tree, text_lines
 from .annotations import attach_image_size, attributes, name_classes, order_key, record
 
 TOOL = "roboflow"
@@ -72,11 +73,13 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, directory: str) -> DataFrame:
-    """``stem, value`` of the .txt files in a directory, sub-directories not included."""
-    lines = spark.read.option("pathGlobFilter", "*.txt").text(directory)
-    # File names arrive URL-encoded; a plus sign stands for itself there.
-    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    return lines.select(F.regexp_replace(name, r"\.txt$", "").alias("stem"), "value")
+    """``stem, value`` of the .txt files in a directory, sub-directories not included.
+
+    Names that begin with ``_`` or ``.`` count like others.
+    """
+    files = list_tree(spark, directory, recursive=False).filter("path LIKE '%.txt'")
+    name = F.regexp_extract("path", r"([^/]*)\.txt$", 1)
+    return text_lines(files).select(name.alias("stem"), "value")
 
 
 def load_box_text(

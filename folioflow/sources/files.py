@@ -18,18 +18,31 @@ IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".webp")
 VIDEO_EXTENSIONS = (".mp4", ".avi", ".mov", ".mkv", ".m4v")
 PDF_CONTENT_TYPE = "application/pdf"
 IMAGE_CONTENT_TYPES = ("image/jpeg", "image/png", "image/jpg")
+FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 # Largest value of a binary column.
 MAX_CONTENT_BYTES = 2_147_483_647 - 64
 
 
 def read_files(spark: SparkSession, directory: str, glob: str | None = None) -> DataFrame:
-    """All files below a directory as ``path, modificationTime, length, content``."""
+    """All files below a directory as ``path, modificationTime, length, content``.
+
+    Spark hides empty files and names that begin with ``_`` or ``.``; ``listing.list_tree`` has
+    them too.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(directory)
 
 
+def stream_files(spark: SparkSession, directory: str, glob: str | None = None) -> DataFrame:
+    """The same columns as a stream of the files that arrive below a directory."""
+    reader = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(directory)
+
+
 def spread_scan(scan: DataFrame) -> DataFrame:
     """Even out a scan that yields fewer partitions than there are task slots.
 

@@ -11,9 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_URI = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/]*)(.*)", re.DOTALL)
+
+
 def located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a path or URI as Spark gives it, and the path within."""
-    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    """The file system of a path or URI as Spark gives it, names unquoted, and the path within."""
+    local = re.match(r"file:/+", path)
+    if local or path.startswith("/"):
+        return pyarrow.fs.LocalFileSystem(), path if not local else "/" + path[local.end() :]
+    parts = _URI.fullmatch(path)
+    if not parts:
+        raise ValueError(f"neither a path from the root nor a URI: {path}")
+    system, root = pyarrow.fs.FileSystem.from_uri(f"{parts[1]}://{parts[2]}")
+    return system, root.rstrip("/") + parts[3]
 
 
 def opened(path: str) -> pa.NativeFile:

@@ -178,7 +178,7 @@ def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFram
 def xml_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of one export file, a folder of them or a glob, with ``unreadable``.
 
-    Large files are read in splits, once for images and once for tracks.
+    A file is read by one task, element by element, once for images and once for tracks.
     """
     images = _elements(spark, path, "image", IMAGE_ELEMENT)
     tracks = _elements(spark, path, "track", TRACK_ELEMENT)

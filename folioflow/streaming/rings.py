@@ -46,14 +46,14 @@ def newest_rings(
         by, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int").alias("ring"), *columns
     )
     if idle is not None:
-        rows = rows.withWatermark(time, late_by)
+        rows = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late_by)
     fields = [rows.schema[by], rows.schema["ring"], T.StructField("place", T.IntegerType())]
     output = T.StructType([*fields, *(rows.schema[c] for c in columns)])
     keep_for = None if idle is None else pd.Timedelta(idle)
 
     def emptied(key: tuple) -> pd.DataFrame:
         row = {by: [key[0]], "ring": [key[1]], "place": [-1]}
-        return pd.DataFrame({**row, **{c: [None] for c in columns}})
+        return pd.DataFrame({**row, **{c: [None] for c in columns}}, dtype="object")
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

@@ -39,11 +39,12 @@ def latency_windows(
     beyond its end; requests that come later than that are left out, and Spark counts them
     (``numRowsDroppedByWatermark`` in the progress). ``slide`` gives overlapping windows.
     Requests without a time belong to no window; one without a duration counts as a request
-    only. Null groups are groups of their own.
+    only. Null groups are groups of their own. A time without a zone is one of the session's.
     """
     window = F.window(time, width, slide or width)
     state = (
-        requests.withWatermark(time, late_by)
+        requests.withColumn(time, F.col(time).cast("timestamp"))
+        .withWatermark(time, late_by)
         .groupBy(window.alias("_window"), *by)
         .agg(
             F.count(F.lit(1)).alias("total_requests"),

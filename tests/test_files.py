@@ -48,10 +48,14 @@ def test_upload_checks(spark):
     frame = spark.createDataFrame(
         [("a.ZIP", 5), ("b.rar", 5), ("c.zip", 0), (None, 1), ("d.zip", 1 << 31)],
         "path STRING, length BIGINT")
+    bad = {"b.rar": "not_zip", "c.zip": "empty", None: "not_zip"}
     accepted, rejected = check_archives(frame)
+    assert [r.path for r in accepted.collect()] == ["a.ZIP", "d.zip"]
+    assert {r.path: r.reason for r in rejected.collect()} == bad
+    # As a value of a column an archive must fit one.
+    accepted, rejected = check_archives(frame.withColumn("content", F.lit(b"")))
     assert [r.path for r in accepted.collect()] == ["a.ZIP"]
-    assert {r.path: r.reason for r in rejected.collect()} == {
-        "b.rar": "not_zip", "c.zip": "empty", None: "not_zip", "d.zip": "too_large"}
+    assert {r.path: r.reason for r in rejected.collect()} == {**bad, "d.zip": "too_large"}
 
 
 def archive(members):

@@ -7,7 +7,11 @@ from folioflow.plans.extract import extract_documents, predict_first_pages
 
 SMALL = "/root/testdata/sf0.001"
 # Queries that run jobs while they are built; their results are checked in test_entry.
-EAGER = ("stream_", "artifact_", "report_", "keyframes_of_events")
+EAGER = (
+    "stream_", "artifact_", "report_", "keyframes_of_events", "labels_from_csv", "xml_files",
+    "xml_rejects", "task_json_files", "task_json_rejects", "box_text_files", "directory_files",
+    "zip_files",
+)
 
 
 def plan_of(frame):
@@ -33,7 +37,7 @@ def test_extraction_is_map_only(spark):
 def test_only_maps_and_archives_use_python(plans):
     markers = ("Python", "MapInArrow", "MapInPandas")
     assert {n for n, plan in plans.items() if any(m in plan for m in markers)} == {
-        "zip_expand", "guarded_map"}
+        "zip_expand", "guarded_map", "engine_pages", "step_timings"}
 
 
 def test_no_cross_joins(plans):

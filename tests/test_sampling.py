@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators.sampling import (
-    rank_in_groups, sample_media, sample_ordered, sample_positions,
+    numbered_in_order, sample_media, sample_ordered, sample_positions,
 )
 
 
@@ -24,22 +25,38 @@ def test_media_frames(spark):
     assert media(spark, 25, max_frames=5)[1][1] == "v::frame_1"
 
 
-def test_rank_in_a_dominant_group(spark):
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+@pytest.mark.parametrize("frame_interval", [None, 7])
+def test_sample_with_a_dominant_group(spark, broadcast_rows, frame_interval):
     rng = random.Random(5)
-    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(20)}", i) for i in range(5000)]
-    frame = spark.createDataFrame(rows, "k STRING, t BIGINT").repartition(7)
-    expected, seen = {}, {}
-    for key, t in sorted(rows):
-        expected[key, t] = seen.get(key, 0)
-        seen[key] = seen.get(key, 0) + 1
-    ranked = rank_in_groups(frame, "k", ["t"])
-    assert {(r.k, r.t): r.position for r in ranked.collect()} == expected
-    assert rank_in_groups(frame.limit(0), "k", ["t"]).count() == 0
-
-    sampled = sample_ordered(frame, "k", ["t"], 10).collect()
-    hot = sorted(r.position for r in sampled if r.k == "hot")
-    step = seen["hot"] // 10
-    assert hot == [i * step for i in range(10)]
+    keys = ["hot" if rng.random() < 0.5 else rng.choice([None, *"abcdefgh"]) for _ in range(5000)]
+    rows = [(key, i, i) for i, key in enumerate(keys)]
+    frame = spark.createDataFrame(rows, "k STRING, t BIGINT, _no BIGINT").repartition(7)
+    groups = {}
+    for key, t, _ in rows:
+        groups.setdefault(key, []).append(t)
+    expected = set()
+    for key, times in groups.items():
+        step = frame_interval or max(1, len(times) // 10)
+        expected |= {(key, times[p], p, p // step) for p in range(0, len(times), step)[:10]}
+    sampled = sample_ordered(frame, "k", ["t"], 10, frame_interval, broadcast_rows).collect()
+    assert {(r.k, r.t, r.position, r.sample_no) for r in sampled} == expected
+    assert len(sampled) == len(expected)
+    assert sample_ordered(frame.limit(0), "k", ["t"]).count() == 0
+
+
+def test_runs_of_a_group_add_up(spark):
+    frame = spark.range(5000).select((F.col("id") % 2).alias("g"), "id").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored, runs = numbered_in_order(frame, "g", ["id"])
+        found = stored.join(runs, ["g", "_part"]).selectExpr("g", "id", "_start + _number AS p", "_total")
+        rows = found.collect()
+        assert len(rows) == 5000 and runs.groupBy("g").count().filter("count > 1").count() == 2
+        assert all(r.p == r.id // 2 and r._total == 2500 for r in rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
 
 def test_sort_spreads_the_dominant_group(spark):

@@ -85,7 +85,7 @@ def test_documents_without_page_list(spark):
 
 def test_page_cap(spark):
     rows = [token("d", page, 0, f"w{page}", 0, 0) for page in range(7)]
-    (document,) = documents_from_tokens(tokens(spark, rows)).collect()
+    (document,) = documents_from_tokens(tokens(spark, rows), max_pages=5).collect()
     assert document.text == "w0\nw1\nw2\nw3\nw4" and document.pages == 5
     assert cap_pages(tokens(spark, rows), 1).count() == 1
 
