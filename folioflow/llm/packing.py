@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -19,16 +18,17 @@ from .common import Recent, extended, quoted, slices, texts_as_bytes, worker_cac
 
 CAPACITY = 4096
 END_ID = 1
-# Words and runs of letters that a worker remembers for sure, about 140 bytes each; up to twice
-# as many are held.
-REMEMBERED = 1 << 17
-REMEMBERED_RUNS = 1 << 17
-PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# Runs of letters and other words that a worker remembers for sure, about 140 bytes each; up to
+# twice as many are held.
+REMEMBERED_RUNS = 1 << 18
+REMEMBERED = 1 << 16
+PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+# Lower-case letters of which a plain word is made.
+LETTERS = "".join(chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)))
 # First bytes of combining marks, before which a change of case is no safe step.
 COMBINING = (b"\xcc", b"\xcd")
 # Text that is taken apart at once.
-SLICE_ROWS, SLICE_BYTES = 1000, 1 << 22
+SLICE_ROWS, SLICE_BYTES = 2000, 1 << 23
 # Groups that large lengths are rounded in, and the share of a sequence up to which a length
 # counts as small.
 GROUPS = 48
@@ -43,9 +43,9 @@ class WordTokenizer:
 
     For tokenizers that drop white space, cut words at it, lower letters and keep a run of
     letters or of punctuation together: the ids of a text are then those of its words in
-    turn, and those of a plain word are the ids of its letters and of what follows them. Only
-    the distinct words of some texts are looked up, and runs and words not remembered go to
-    the library many at a time.
+    turn, and those of a plain word are the ids of its letters and of what follows them. Words
+    are taken apart by column; only the distinct runs of some texts are looked up, and those
+    not remembered go to the library many at a time.
     """
 
     def __init__(self, definition: bytes):
@@ -112,27 +112,22 @@ class WordTokenizer:
             starts, stops = np.append(0, marks + 1), np.append(marks, len(ids) // 4)
             self.words.update(zip(some, self.cut(ids, starts, stops)))
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        plain, others = [], []
-        for word in words:
-            run = word.rstrip(PUNCTUATION)
-            if run.isalpha():
-                plain.append((word, run.lower(), word[len(run) :]))
-            elif not word:
-                self.words[word] = b""
-            elif self.mark in word:
-                self.words[word] = self.ids(word)
-            elif LATIN.fullmatch(text := run.decode(errors="replace")):
-                plain.append((word, text.lower().encode(), word[len(run) :]))
-            else:
-                others.append(word)
-        wanted = {p for _, *parts in plain for p in parts if p}
-        self.learn_runs(list(self.runs.unknown(wanted)))
-        runs = self.runs
-        self.words.update(
-            (word, runs[run] + runs[tail] if tail else runs[run]) for word, run, tail in plain
-        )
-        self.learn_words(others)
+    def ids_of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of any kind, special tokens within them included."""
+        fresh = self.words.unknown(set(words))
+        marked = [w for w in fresh if self.mark in w]
+        self.words.update((w, self.ids(w)) for w in marked)
+        self.learn_words(list(fresh.difference(marked)))
+        return [self.words[w] for w in words]
+
+    def ids_of_plain(self, runs: pa.StringArray) -> tuple[list[bytes], np.ndarray]:
+        """Ids of the distinct runs, and which of them each run is; an empty run has none."""
+        coded = runs.dictionary_encode()
+        distinct = texts_as_bytes(coded.dictionary)
+        self.runs[b""] = b""
+        self.learn_runs(list(self.runs.unknown(set(distinct))))
+        known = [self.runs[r] for r in distinct]
+        return known, coded.indices.to_numpy(zero_copy_only=False)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (strings without nulls) in a row, and where each text starts."""
@@ -140,20 +135,42 @@ class WordTokenizer:
             texts = pc.ascii_lower(texts)
         cut = pc.ascii_split_whitespace(texts)
         words = cut.flatten().dictionary_encode()
-        distinct = texts_as_bytes(words.dictionary)
-        self.learn(self.words.unknown(set(distinct)))
-        ids = [*map(self.words.__getitem__, distinct), b""]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        places = words.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[places]
-        stops = np.append(0, np.cumsum(lengths))
-        shift = (np.cumsum(sizes) - sizes)[places] - stops[:-1]
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        whole = flat[np.repeat(shift, lengths) + np.arange(stops[-1])]
+        distinct = words.dictionary
+        # A plain word is letters and then punctuation, so these two make up all of it.
+        runs = pc.utf8_rtrim(distinct, characters=PUNCTUATION)
+        tails = pc.utf8_ltrim(distinct, characters=LETTERS)
+        sizes = [pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (distinct, runs, tails)]
+        plain = (sizes[1] > 0) & (sizes[1] + sizes[2] == sizes[0])
+        kept = pa.array(plain)
+        run_ids, run_at = self.ids_of_plain(runs.filter(kept))
+        tail_ids, tail_at = self.ids_of_plain(tails.filter(kept))
+        others = texts_as_bytes(distinct.filter(pa.array(~plain)))
+        # Two pieces make each distinct word; the last piece is empty.
+        pieces = [*run_ids, *tail_ids, *self.ids_of_words(others), b""]
+        pair = np.full((len(distinct), 2), len(pieces) - 1)
+        pair[plain, 0], pair[plain, 1] = run_at, tail_at + len(run_ids)
+        pair[~plain, 0] = np.arange(len(others)) + len(run_ids) + len(tail_ids)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        flat, ends = gathered(np.frombuffer(b"".join(pieces), "<u4"), sizes, pair.reshape(-1))
+        whole, stops = gathered(
+            flat, np.diff(ends[::2]), words.indices.to_numpy(zero_copy_only=False)
+        )
         counts = cut.value_lengths().to_numpy(zero_copy_only=False)
         return whole, stops[np.append(0, np.cumsum(counts))]
 
 
+def gathered(
+    flat: np.ndarray, sizes: np.ndarray, chosen: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen ones of neighbouring stretches of ``flat`` in a row, and their bounds."""
+    lengths = sizes[chosen]
+    bounds = np.append(0, np.cumsum(lengths))
+    shift = (np.cumsum(sizes) - sizes)[chosen] - bounds[:-1]
+    places = np.repeat(shift.astype(np.int32), lengths)
+    places += np.arange(len(places), dtype=np.int32)
+    return flat[places], bounds
+
+
 def token_pieces(
     docs: DataFrame,
     tokenizer_path: str,
