@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, quoted, texts_as_bytes, written
+from .common import broadcast_if_few, per_batch, quoted, texts_as_bytes, written
 
 MIN_WORDS = 200
 MIN_DISTINCT_PERCENT = 50
@@ -82,9 +82,7 @@ def earlier_copies(
             F.ceil(F.col("_n") / F.lit(salt_rows)).cast("int").alias("_salts"),
         )
     )
-    repeated = written(repeated, "audit-repeated")
-    if repeated.limit(broadcast_hashes + 1).count() <= broadcast_hashes:
-        repeated = F.broadcast(repeated)
+    repeated = broadcast_if_few(written(repeated, "audit-repeated"), broadcast_hashes)
     carried = [c for c in docs.columns if c not in (id_column, text_column)]
     text = F.coalesce(F.col(quoted(text_column)), F.lit(""))
     rows = docs.select(

@@ -26,6 +26,11 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if it has at most ``rows``."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def worker_cache(name: str, make: Callable[[], object]) -> object:
     """An object kept in a Python worker over many tasks, made on first use.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, texts_as_bytes, written
+from .common import broadcast_if_few, per_batch, texts_as_bytes, written
 from .graph import components, forest
 
 BITS = 64
@@ -22,6 +22,8 @@ RADIUS = 3
 CHUNK = 1024
 # Expected fingerprints in a bucket beyond which a finer cut of the bits is taken.
 BUCKET_ROWS = 256
+# Large buckets up to which they are broadcast, about 40 bytes each; more are joined by shuffle.
+BROADCAST_BUCKETS = 1 << 18
 # Rows a task gathers before it compares them.
 LANES = 1 << 16
 
@@ -282,6 +284,8 @@ def close_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         .filter(F.col("_size") > CHUNK)
         .select("table", "bucket", F.ceil(F.col("_size") / F.lit(CHUNK)).alias("_chunks"))
     )
+    # Cut where the rows are read, so that no shuffle gathers a large bucket.
+    large = broadcast_if_few(written(large, "simhash-large"), BROADCAST_BUCKETS)
     chunks = F.coalesce(F.col("_chunks"), F.lit(1))
     own = F.pmod(F.xxhash64("fingerprint"), chunks)
     # A third side, 2, marks groups in which all are compared with all.

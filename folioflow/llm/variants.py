@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, slices, texts_as_bytes, worker_cache, written
+from .common import Memo, broadcast_if_few, slices, texts_as_bytes, worker_cache, written
 from .graph import resolved
 
 FEWEST_LETTERS = 5
@@ -333,8 +333,7 @@ def near_summary(
         .drop("_rows"),
         "variants-large",
     )
-    if large.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS:
-        large = F.broadcast(large)
+    large = broadcast_if_few(large, BROADCAST_BUCKETS)
     chunks = F.coalesce(F.col("_chunks"), F.lit(1))
     spread = (
         places.join(large, ["size", "key"], "left")

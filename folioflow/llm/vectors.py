@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, per_batch, worker_cache, written
+from .common import broadcast_if_few, extended, per_batch, worker_cache, written
 from .graph import components, forest
 
 THRESHOLD = 0.93
@@ -21,6 +21,8 @@ BUCKET_ROWS = 128
 FEWEST_BITS, MOST_BITS = 6, 16
 # Rows of one bucket compared at once; larger buckets are cut in chunks.
 CHUNK = 1024
+# Large buckets up to which they are broadcast, about 60 bytes each; more are joined by shuffle.
+BROADCAST_BUCKETS = 1 << 18
 SEED = 7
 
 
@@ -43,7 +45,10 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sign_codes(classes: DataFrame, bits: int, tables: int, seed: int = SEED) -> DataFrame:
-    """``classes`` with ``codes``: per table the signs of projections on random directions."""
+    """``classes`` with the signs of projections on random directions, a code per table.
+
+    ``places`` has the codes as numbers, ``codes`` the same as little-endian 16-bit numbers.
+    """
     carried = classes.columns
     at = carried.index("vector")
 
@@ -61,20 +66,27 @@ def sign_codes(classes: DataFrame, bits: int, tables: int, seed: int = SEED) ->
             signs = (values @ directions > 0).reshape(len(rows), tables, bits)
             codes[rows] = signs @ (1 << np.arange(bits))
         offsets = np.arange(0, codes.size + 1, tables, dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.reshape(-1)))
-        return pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*carried, "codes"])
+        lists = pa.ListArray.from_arrays(
+            pa.array(offsets), pa.array(codes.reshape(-1).astype(np.int32))
+        )
+        short = pa.array([row.tobytes() for row in codes.astype("<u2")], pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns, lists, short], names=[*carried, "places", "codes"]
+        )
 
-    return classes.mapInArrow(per_batch(run), extended(classes.schema, "codes ARRAY<BIGINT>"))
+    return classes.mapInArrow(
+        per_batch(run), extended(classes.schema, "places ARRAY<INT>, codes BINARY")
+    )
 
 
-def _linked(rows: dict, threshold: float) -> Iterator[pa.RecordBatch]:
+def _linked(rows: dict, threshold: float, tables: int) -> Iterator[pa.RecordBatch]:
     """Per group of rows: weight of the links of each vector, and the first it hangs with.
 
     A pair counts in the first table that brings it together only.
     """
     flat, lengths = _vectors(rows["vector"])
     starts = np.cumsum(lengths) - lengths
-    codes = rows["codes"].flatten().to_numpy().reshape(len(lengths), -1)
+    codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), "<u2").reshape(-1, tables)
     group, side, table = rows["group"], rows["side"], rows["table"]
     weight, ids = rows["weight"], rows["id"]
     edges = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
@@ -107,15 +119,15 @@ def _linked(rows: dict, threshold: float) -> Iterator[pa.RecordBatch]:
     if ids_out:
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate(ids_out), pa.string()),
+                pa.array(np.concatenate(ids_out), pa.binary()),
                 pa.array(np.concatenate(links_out)),
-                pa.array(np.concatenate(roots_out), pa.string()),
+                pa.array(np.concatenate(roots_out), pa.binary()),
             ],
             names=["id", "links", "root"],
         )
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, tables: int):
     keys = ("label", "size", "table", "code", "first", "second")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +161,10 @@ def _compare(threshold: float):
             cut = int(np.searchsorted(group, group[-1]))
             if cut:
                 done = held.slice(0, cut)
-                yield from _linked(rows(done, group[:cut]), threshold)
+                yield from _linked(rows(done, group[:cut]), threshold, tables)
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield from _linked(rows(held, numbered(held)), threshold)
+            yield from _linked(rows(held, numbered(held)), threshold, tables)
 
     return run
 
@@ -200,44 +212,47 @@ def near_vectors(
             F.any_value("vector").alias("vector"),
         )
         .withColumn("size", F.size("vector"))
-        .withColumn("id", F.md5(F.concat_ws(" ", "key", F.col("label").cast("string")))),
+        .withColumn("id", F.unhex(F.md5(F.concat_ws(" ", "key", F.col("label").cast("string"))))),
         "vector-classes",
     )
     largest = classes.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 1
     bits = min(MOST_BITS, max(FEWEST_BITS, math.ceil(math.log2(largest / BUCKET_ROWS))))
     tables = table_count(bits, threshold, recall)
     nodes = classes.drop("first_id", "key")
+    # The codes of all tables travel along, in as few bytes as they take.
     coded = written(sign_codes(nodes, bits, tables), "vector-codes")
 
     bucket = ["label", "size", "table", "code"]
-    places = coded.select("id", "label", "size", F.posexplode("codes").alias("table", "code"))
-    shared = (
-        places.groupBy(*bucket)
+    rows_of = coded.select("*", F.posexplode("places").alias("table", "code")).drop("places")
+    large = (
+        rows_of.groupBy(*bucket)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter("_rows > 1")
+        .filter(F.col("_rows") > CHUNK)
         .withColumn("_chunks", F.ceil(F.col("_rows") / F.lit(CHUNK)))
         .drop("_rows")
     )
-    own = F.pmod(F.xxhash64("id"), F.col("_chunks"))
+    # Cut where the rows are read, so that no shuffle gathers a large bucket.
+    large = broadcast_if_few(written(large, "vector-large"), BROADCAST_BUCKETS)
+    chunks = F.coalesce(F.col("_chunks"), F.lit(1))
     spread = (
-        places.join(shared, bucket)
-        .withColumn("_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-        .select(
-            "id",
-            "table",
-            "code",
-            F.least("_own", "_other").alias("first"),
-            F.greatest("_own", "_other").alias("second"),
-            F.when(F.col("_own") == F.col("_other"), 2)
-            .otherwise((F.col("_own") > F.col("_other")).cast("int"))
-            .alias("side"),
+        rows_of.join(large, bucket, "left")
+        .withColumn("_own", F.pmod(F.xxhash64("id"), chunks))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
+        .withColumns(
+            {
+                "first": F.least("_own", "_other"),
+                "second": F.greatest("_own", "_other"),
+                "side": F.when(F.col("_own") == F.col("_other"), 2).otherwise(
+                    (F.col("_own") > F.col("_other")).cast("int")
+                ),
+            }
         )
+        .drop("_own", "_other", "_chunks")
     )
     group = [*bucket, "first", "second"]
-    placed = spread.join(coded, "id").repartition(*group).sortWithinPartitions(*group)
+    placed = spread.repartition(*group).sortWithinPartitions(*group)
     found = written(
-        placed.mapInArrow(_compare(threshold), "id STRING, links BIGINT, root STRING"),
+        placed.mapInArrow(_compare(threshold, tables), "id BINARY, links BIGINT, root BINARY"),
         "vector-links",
     )
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
