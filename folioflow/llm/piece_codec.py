@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -11,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, per_batch, texts_as_bytes, worker_cache
+from .common import Memo, per_batch, slices, texts_as_bytes, worker_cache
 from .pieces import SPACE, Vocabulary, as_pieces, model_bytes, segments
 
 # Encoded segments, stretches of them, and tested pairs that a worker remembers.
 REMEMBERED = 3 << 18
 REMEMBERED_STRETCHES = 1 << 19
 REMEMBERED_PAIRS = 1 << 18
+# Rows and bytes of text that are encoded before their ids go on.
+SLICE_ROWS, SLICE_BYTES = 500, 1 << 21
 
 
 class Encoder:
@@ -93,47 +96,76 @@ class Encoder:
     def encode(self, text: bytes | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.segments.__getitem__, segments(text))), "<i4")
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of ids as the library decodes them, in UTF-8.
+
+        Ids of whole pieces are put together here; where bytes, control pieces or unknown ids
+        take part, which the library mends or leaves out, it decodes the list itself.
+        """
+        texts, whole = self.vocabulary.texts, self.vocabulary.whole
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(texts) and whole[ids].all()):
+            return self.vocabulary.library.decode(ids.tolist()).encode()
+        joined = b"".join(map(texts.__getitem__, ids.tolist()))
+        return joined[1:] if joined.startswith(b" ") else joined
+
 
 def _encoder(model: bytes) -> Encoder:
     return worker_cache(f"encoder_{zlib.crc32(model)}", lambda: Encoder(model))
 
 
+def _id_lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
+    flat = np.concatenate([np.empty(0, "<i4"), *ids])
+    lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(flat))
+    return lists.cast(pa.list_(pa.int32()))
+
+
 def encode_texts(
-    docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    model_path: str,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    decoded: bool = False,
 ) -> DataFrame:
     """``id, ids`` (an array of integers) of every whole text, one row per input row.
 
-    Null and empty texts give an empty array. Each worker remembers a bounded number of
-    segments. Map-only; other columns are not read.
+    Null and empty texts give an empty array. With ``decoded`` a column ``text`` has what the
+    ids decode to, made in the same pass. Each worker remembers a bounded number of segments,
+    and takes slices of bounded text. Map-only; other columns are not read. Null ids and
+    repeated rows are kept; an empty table gives no rows.
     """
     model = model_bytes(model_path)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
-        ids = [encoder.encode(t) for t in texts_as_bytes(batch.column(1))]
-        offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-        flat = np.concatenate([np.empty(0, "<i4"), *ids])
-        lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(flat))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), lists.cast(pa.list_(pa.int32()))], names=["id", "ids"]
-        )
+        for batch in slices(batches, 1, SLICE_ROWS, SLICE_BYTES):
+            ids = [encoder.encode(t) for t in texts_as_bytes(batch.column(1))]
+            columns = {"id": batch.column(0), "ids": _id_lists(ids)}
+            if decoded:
+                columns["text"] = pa.array(map(encoder.decode, ids), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(per_batch(run), f"id {kind}, ids ARRAY<INT>")
+    schema = f"id {kind}, ids ARRAY<INT>" + (", text STRING" if decoded else "")
+    return rows.mapInArrow(run, schema)
 
 
 def decode_ids(
     encoded: DataFrame, model_path: str, id_column: str = "id", ids_column: str = "ids"
 ) -> DataFrame:
-    """``id, ids, text`` as the library decodes whole lists of ids; null lists give null."""
+    """``id, ids, text`` as the library decodes whole lists of ids; null lists give null.
+
+    An empty list gives an empty text, an id that is none of the model's fails. Map-only.
+    """
     model = model_bytes(model_path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        decode = _encoder(model).vocabulary.library.decode
-        texts = [None if ids is None else decode(ids) for ids in batch.column(1).to_pylist()]
+        decode = _encoder(model).decode
+        lists = batch.column(1).to_pylist()
+        texts = [None if ids is None else decode(np.array(ids, "<i4")) for ids in lists]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string())],
+            [batch.column(0), batch.column(1), pa.array(texts, pa.binary()).cast(pa.string())],
             names=["id", "ids", "text"],
         )
 

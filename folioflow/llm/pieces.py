@@ -6,6 +6,7 @@ import heapq
 import re
 from pathlib import Path
 
+import numpy as np
 import sentencepiece
 
 SPACE = "▁"
@@ -32,6 +33,12 @@ class Vocabulary:
                 self.ids[piece] = i
                 scores[piece] = library.get_score(i)
         self.check(scores)
+        # What whole pieces decode to; the others are the library's to decode.
+        self.whole = np.zeros(size, dtype=bool)
+        self.whole[list(self.ids.values())] = True
+        self.texts = [b""] * size
+        for piece, i in self.ids.items():
+            self.texts[i] = piece.replace(SPACE, " ").encode()
         # Equal scores share a rank; the pair further left then merges first.
         order = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
         self.ranks = {p: order[s] for p, s in scores.items() if len(p) > 1}

@@ -17,7 +17,7 @@ from .discriminant import document_statistics, fit, score
 from .language import detect_language, learn_dictionaries
 from .licences import scan_licences
 from .packing import pack, token_pieces
-from .piece_codec import decode_ids, encode_texts
+from .piece_codec import encode_texts
 from .rules import pulled_ratios, quality_rules, trusted_documents
 from .simhash import fingerprint_text, near_duplicates
 from .token_counts import count_tokens
@@ -148,8 +148,7 @@ def op9_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path(PIECES)
-    encoded = encode_texts(table(spark, folder, "documents"), model)
-    return decode_ids(encoded, model).select(
+    return encode_texts(table(spark, folder, "documents"), model, decoded=True).select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
