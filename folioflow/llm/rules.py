@@ -134,25 +134,6 @@ def ngram_counts(
     return raw, target
 
 
-def log_ratios(
-    docs: DataFrame,
-    trusted: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    buckets: int = BUCKETS,
-    added: float = ADDED,
-) -> np.ndarray:
-    """Per bucket the log of its share in trusted texts over its share in all texts.
-
-    ``added`` goes to every bucket of both. With few trusted texts the target is near uniform
-    and the ratios of ordinary texts are low; ``pulled_ratios`` has no such bias.
-    """
-    raw, target = ngram_counts(docs, trusted, id_column, text_column, buckets)
-    return np.log((target + added) / (target.sum() + added * buckets)) - np.log(
-        (raw + added) / (raw.sum() + added * buckets)
-    )
-
-
 def pulled_ratios(
     docs: DataFrame,
     trusted: DataFrame,
@@ -162,9 +143,10 @@ def pulled_ratios(
     added: float = ADDED,
     pull: float = PULL,
 ) -> np.ndarray:
-    """As ``log_ratios``, with the trusted counts pulled to the shares of all texts.
+    """Per bucket the log of its share in trusted texts over its share in all texts.
 
-    ``pull`` n-grams that are spread like all texts are added to the trusted ones. Few trusted
+    ``added`` goes to every bucket of all texts, and the trusted counts are pulled to their
+    shares: ``pull`` n-grams that are spread like all texts are added to the trusted ones. Few trusted
     texts thus give ratios near 0, by which documents are kept, and none give 0 throughout:
     without trusted texts the base rules alone decide.
     """

@@ -61,7 +61,7 @@ def test_rule_counts_match_brute_force(documents):
         assert (r.base_failed, r.kept) == (failed, not failed)
 
 
-def test_log_ratios_match_brute_force(spark, documents):
+def test_pulled_ratios_match_brute_force(spark, documents):
     texts = [None, "", *[prose(s, 40) for s in range(20)]]
     labels = spark.createDataFrame(
         [(i, int(i % 3 > 0)) for i in range(2, 14)] + [(4, 0), (None, 1), (5, None), (99, 1), (7, 1)],
@@ -70,7 +70,7 @@ def test_log_ratios_match_brute_force(spark, documents):
     trusted = rules.trusted_documents(labels)
     good = {2, 5, 7, 8, 10, 11, 13}
     assert {r[0] for r in trusted.collect()} == good | {99}
-    got = rules.log_ratios(documents(*texts), trusted, buckets=64)
+    got = rules.pulled_ratios(documents(*texts), trusted, buckets=64, pull=50.0)
     raw, target = collections.Counter(), collections.Counter()
     for i, text in enumerate(texts):
         hashes = [rules.word_hash(w.encode()) for w in words_of(text)]
@@ -80,10 +80,11 @@ def test_log_ratios_match_brute_force(spark, documents):
         if i in good:
             target.update(grams)
     for b in range(64):
-        expected = math.log((target[b] + 1) / (sum(target.values()) + 64))
-        expected -= math.log((raw[b] + 1) / (sum(raw.values()) + 64))
-        assert got[b] == pytest.approx(expected)
-    assert rules.log_ratios(documents("a").limit(0), trusted, buckets=64).tolist() == [0.0] * 64
+        share = (raw[b] + 1) / (sum(raw.values()) + 64)
+        pulled = (target[b] + 50 * share) / (sum(target.values()) + 50)
+        assert got[b] == pytest.approx(math.log(pulled / share))
+    none = rules.pulled_ratios(documents("a").limit(0), trusted, buckets=64)
+    assert none.tolist() == [0.0] * 64
 
 
 def test_few_or_no_trusted_texts_lose_no_clean_document(spark):
@@ -193,6 +194,41 @@ def quality_rows(seed, count):
     return rows
 
 
+def brute_statistics(text):
+    """The fourteen statistics of a text, counted character by character."""
+    data = (text or "").encode()
+    words = [w.encode() for w in words_of(text)]
+    lengths, lines = [len(w) for w in words], [x for x in data.split(b"\n") if x]
+    upper = sum(65 <= c <= 90 for c in data)
+    letters = upper + sum(97 <= c <= 122 or c >= 128 for c in data) + 1
+    size = len(data) + 1
+
+    def share(members):
+        return math.sqrt(sum(c in members for c in data) / size)
+
+    mean = sum(lengths) / len(lengths) if words else 0
+    spread = math.sqrt(sum((n - mean) ** 2 for n in lengths) / len(lengths)) if words else 0
+    doubled = sum(a == b for a, b in zip(words, words[1:]))
+    entropy = -sum(n / size * math.log(n / size) for n in collections.Counter(data).values())
+    return [
+        math.log1p(len(words)), math.log1p(mean), math.log1p(spread), math.sqrt(upper / letters),
+        share(b"#*$%&|<>@^~\\_={}[]/+`"), share(b".?"), share(b",;:"), share(b"0123456789"),
+        share(b"!"), math.log((len(set(words)) + 1) / (len(words) + 1)) / math.log(len(words) + 2),
+        math.sqrt(doubled / (len(words) + 1)),
+        math.sqrt(1 - len(set(lines)) / len(lines)) if lines else 0,
+        math.log1p(len(data) / len(lines)) if lines else 0, entropy,
+    ]
+
+
+def test_statistics_match_brute_force(documents):
+    texts = [None, "", " ", "\n\n", "a a a", "é!", "x " * 5000, "A1,b.c?\nA1,b.c?\n#", "w" * 300_000]
+    texts += [prose(s, 80).upper() + "!?;\n" + prose(s, 20) for s in range(10)]
+    rows = discriminant.document_statistics(documents(*texts)).collect()
+    assert len(rows) == len(texts) and len(discriminant.STATISTICS) == 14
+    for r in rows:
+        assert r.statistics == pytest.approx(brute_statistics(texts[r.id]), abs=1e-9)
+
+
 def test_discriminant_separates_held_out_texts(spark):
     rows = quality_rows(1, 600) + [(600, None, 0), (601, "", 0), (602, " ", None), (None, "x", 1)]
     frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, quality INT")

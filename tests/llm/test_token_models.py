@@ -49,6 +49,19 @@ def test_codec_matches_the_library(documents, piece_model, library):
         assert r.ids == ids, repr(texts[r.id])
         assert r.text == library.decode(ids)
     assert piece_codec.encode_texts(documents("a").limit(0), piece_model).count() == 0
+    both = piece_codec.encode_texts(documents(*texts), piece_model, decoded=True).collect()
+    assert sorted(map(str, both)) == sorted(map(str, rows))
+
+
+def test_lists_of_any_ids_decode_like_the_library(spark, piece_model, library):
+    chance = random.Random(7)
+    lists = [[], None, [0], [1, 2], [29871], [29871, 29871, 263], [13]]
+    lists += [chance.choices(range(0, 400), k=chance.randint(1, 9)) for _ in range(300)]
+    lists += [chance.choices(range(259, 32000), k=chance.randint(1, 9)) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(lists)), "id INT, ids ARRAY<INT>")
+    for r in piece_codec.decode_ids(frame, piece_model).collect():
+        expected = None if lists[r.id] is None else library.decode(lists[r.id])
+        assert r.text == expected, r.ids
 
 
 def test_backtracking_equals_merging_for_random_words(piece_model):
