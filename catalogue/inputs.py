@@ -178,6 +178,24 @@ def two_engines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return primary, secondary
 
 
+def conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents of a page per turn, a token per word in reading order."""
+    words = F.transform(
+        F.split("text", " "),
+        lambda word, at: F.struct(
+            word.alias("text"), F.lit(0.9).alias("confidence"),
+            F.array_repeat(F.struct(F.lit(0).alias("x"), at.cast("int").alias("y")), 4).alias("bbox"),
+        ),
+    )
+    page = F.struct(
+        F.col("turn").cast("int").alias("page"), F.lit("easyocr").alias("engine"), words.alias("tokens")
+    )
+    # A conversation is a document, which is one row by definition.
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(page)).alias("pages")
+    )
+
+
 def xml_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An XML image element per order with two boxes, a polygon, a polyline and a stub."""
     key, w = F.col("o_orderkey"), (F.col("o_custkey") % 300).cast("string")

@@ -666,10 +666,36 @@ ORACLES: dict[str, str] = {
     "artifact_sink": _stored_fields(_BILLS),
     "report_sink": _TIMING,
     "stream_extract": _stored_fields(_BILLS),
+    "stream_vendor_table": f"""WITH {_BILLS}, {_ALL_FIELDS},
+        known AS (SELECT o_orderkey AS doc_id, 'Trading House ' || o_custkey AS name FROM orders
+          WHERE o_orderkey % 11 <> 0 AND o_custkey % 2 = 0
+            AND o_custkey IN (SELECT c_custkey FROM customer))
+        SELECT doc_id, coalesce(name, vendor) AS vendor,
+          CASE WHEN name IS NULL THEN vendor_conf ELSE 0.8::DOUBLE END AS vendor_conf, date, amount
+        FROM extracted LEFT JOIN known USING (doc_id)""",
     "stream_metrics": _LATENCY,
     "stream_windows": _BY_WINDOW,
     "stream_windows_by_day": _BY_DAY,
     "latency_by_window": _OVERLAPPING,
+    "stream_artifacts": f"""
+        WITH kept AS (SELECT * FROM conversations WHERE conv_id % 3 <> 0 OR turn < 2),
+        bills AS (SELECT conv_id::VARCHAR AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS text,
+          count(*) AS pages, sum(len(string_split(text, ' ')))::BIGINT AS tokens
+          FROM kept GROUP BY conv_id), {_TYPED}
+        SELECT doc_id, doc_type, pages, tokens FROM typed JOIN bills USING (doc_id)""",
+    "evaluation_sink": f"""{_COMPARED}, by_field AS ({_BY_FIELD}),
+        ratios AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p,
+          CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM by_field),
+        scored_fields AS (SELECT field, round(p, 4) AS precision,
+          round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM ratios)
+        SELECT n AS total_documents, round((vendor_tp + date_tp + amount_tp) / (n * 3), 4)
+            AS overall_accuracy,
+          (SELECT precision FROM scored_fields WHERE field = 'vendor') AS vendor_precision,
+          (SELECT f1 FROM scored_fields WHERE field = 'amount') AS amount_f1,
+          (vendor_tp + date_tp + amount_tp) / (n * 3) >= 0.95 AS target_met,
+          round(ms, 2) AS avg_ms_per_doc, n AS rows, n AS listed, true AS counted,
+          vendor_tp AS vendor_matches, (SELECT min(file_path) FROM compared) AS first_file,
+          (SELECT max(file_path) FROM compared) AS last_file FROM counted""",
     "stream_newest_per_path": f"""WITH {_WHOLE}
         SELECT path, event_id, elapsed_ms FROM requests
         QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) <= 100""",

@@ -39,7 +39,7 @@ from folioflow.operators.tokens import (
     token_rows,
     usable_tokens,
 )
-from folioflow.operators.vendors import vendor_mentions
+from folioflow.operators.vendors import name_index, vendor_mentions
 from folioflow.plans.batch import directory_items, directory_problems
 from folioflow.plans.extract import (
     documents_from_tokens,
@@ -61,8 +61,14 @@ from folioflow.sources.files import (
 )
 from folioflow.sources.listing import list_tree, with_content
 from folioflow.sources.ranges import listed_files
+from folioflow.streaming import artifacts
 from folioflow.streaming.batches import report_stream
-from folioflow.streaming.extract import breach_alerts, extract_stream, request_log
+from folioflow.streaming.extract import (
+    breach_alerts,
+    extract_stream,
+    extract_stream_with_names,
+    request_log,
+)
 from folioflow.streaming.latency import current_metrics, keep_history
 from folioflow.streaming.rings import keep_rings, newest_rings, ring_history, ring_metrics
 from folioflow.streaming.windows import (
@@ -626,6 +632,27 @@ def report_sink(spark, sf_dir):
     return spark.read.json(path).drop("timestamp")
 
 
+def evaluation_sink(spark, sf_dir):
+    """The stored report of the evaluation, its details counted from their part files."""
+    path = scratch_path(spark, "evaluation")
+    sinks.write_evaluation(_evaluation(spark, sf_dir), path)
+    summary, details, manifest = sinks.read_evaluation(spark, path)
+    found = details.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("vendor_match").alias("vendor_matches"),
+        F.min("file_path").alias("first_file"), F.max("file_path").alias("last_file"),
+    )
+    parts = manifest.agg(F.sum("rows").alias("listed"))
+    metrics = F.col("metrics")
+    return summary.join(F.broadcast(found)).join(F.broadcast(parts)).select(
+        "total_documents", metrics["overall_accuracy"].alias("overall_accuracy"),
+        metrics["vendor"]["precision"].alias("vendor_precision"),
+        metrics["amount"]["f1"].alias("amount_f1"), "target_met",
+        F.col("preprocessing.avg_ms_per_doc").alias("avg_ms_per_doc"),
+        "rows", "listed", (F.col("details.rows") == F.col("rows")).alias("counted"),
+        "vendor_matches", "first_file", "last_file",
+    )
+
+
 # Streams ------------------------------------------------------------------------------
 
 
@@ -650,6 +677,26 @@ def stream_extract(spark, sf_dir):
     return flatten(stored, "doc_id").select("doc_id", "doc_type", "vendor", "date", "amount")
 
 
+def stream_vendor_table(spark, sf_dir):
+    """Bills as a stream, half of the customers being known vendors."""
+    path = scratch_path(spark, "stream-vendors")
+    house = F.concat(F.lit("Trading House "), F.col("c_custkey").cast("string"))
+    known = table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 2 == 0, house).alias("name")
+    )
+    names = name_index(known)
+    columns = ("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    orders = _stream(spark, sf_dir, "orders").select(*columns)
+    spread = orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    vendor_text = F.concat(F.lit("Trading House "), F.col("o_custkey").cast("string"))
+    bills = spread.select(
+        F.col("o_orderkey").alias("doc_id"), inputs.bill_text(vendor_text).alias("text")
+    )
+    extract_stream_with_names(bills, names, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    stored = spark.read.parquet(f"{path}/out")
+    return flatten(stored, "doc_id").select("doc_id", "vendor", "vendor_conf", "date", "amount")
+
+
 def stream_metrics(spark, sf_dir):
     path = scratch_path(spark, "stream-metrics")
     requests = _stream(spark, sf_dir, "events").select(*inputs.request_columns())
@@ -726,6 +773,29 @@ def stream_metrics_per_path(spark, sf_dir):
     return ring_metrics(spark, root, rings, order)
 
 
+def stream_artifacts(spark, sf_dir):
+    """Artifacts of a stream in which every third document arrives again with two pages only."""
+    path = scratch_path(spark, "stream-artifacts")
+    key = F.col("conv_id")
+    documents = inputs.conversation_documents(spark, sf_dir).select(
+        key, key.cast("string").alias("doc_id"), "pages"
+    )
+    again = documents.filter(key % 3 == 0).withColumn("pages", F.slice("pages", 1, 2))
+    for number, arriving in enumerate((documents, again, again)):
+        arriving.select("doc_id", F.lit(number).cast("bigint").alias("arrived"), "pages").write.mode(
+            "append"
+        ).parquet(f"{path}/in")
+        if number == 1:
+            continue  # the second and third arrive in one batch
+        stream = spark.readStream.schema(artifacts.DOCUMENTS).parquet(f"{path}/in")
+        artifacts.keep_artifacts(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    pages = artifacts.stored_pages(spark, f"{path}/out").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum(F.size("tokens")).alias("tokens")
+    )
+    stored = artifacts.stored_extractions(spark, f"{path}/out").select("doc_id", "doc_type")
+    return stored.join(pages, "doc_id")
+
+
 def stream_breaches(spark, sf_dir):
     path = scratch_path(spark, "stream-breaches")
     requests = _stream(spark, sf_dir, "events").select(*inputs.request_columns())
@@ -781,9 +851,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         keyframes_of_media, keyframes_of_turns, keyframes_of_events,
         scan_discovery, media_routing, upload_guards, zip_expand, guarded_map,
         directory_files, zip_files, engine_pages, step_timings, document_names,
-        artifact_sink, report_sink,
-        stream_extract, stream_metrics, stream_breaches, stream_batches,
+        artifact_sink, report_sink, evaluation_sink,
+        stream_extract, stream_vendor_table, stream_metrics, stream_breaches, stream_batches,
         stream_windows, stream_windows_by_day, latency_by_window,
-        stream_newest_per_path, stream_metrics_per_path,
+        stream_newest_per_path, stream_metrics_per_path, stream_artifacts,
     )
 }

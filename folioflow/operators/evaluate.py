@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from folioflow.functions.matching import amount_match, date_match, doc_type_match, text_match
 from folioflow.functions.strings import strip
 
-from .joins import duplicate_keys, first_per_key, lookup_join
+from .joins import duplicate_keys, first_per_key, lookup_join, small_side
 
+# Labelled files up to which their names are broadcast, if their bytes allow it.
+LABELLED_FILES = 1_000_000
 # Fixed value: the overall accuracy a run should reach.
 TARGET_ACCURACY = 0.95
 FIELDS = ("vendor", "date", "amount")
@@ -44,9 +46,16 @@ def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pages of labelled files; apply before fields are extracted from them."""
+    """The pages of labelled files; apply before fields are extracted from them.
+
+    Labels are written by hand, so their files are mostly few: then the pages stay where they
+    are read. Beyond the checked size of a broadcast the pages are shuffled by file.
+    """
     wanted = labels.select("file_path").distinct()
-    return lookup_join(pages, wanted, ["file_path"], "left_semi")
+    small = small_side(wanted, LABELLED_FILES)
+    if small is wanted:
+        return lookup_join(pages, wanted, ["file_path"], "left_semi")
+    return pages.join(small, "file_path", "left_semi")
 
 
 def compare(labels: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -4,18 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SMALL_SIDE_ROWS = 100_000
+SMALL_SIDE_BYTES = 64 * 1024 * 1024
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``max_rows`` rows, else unchanged.
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts and what is nested by their length, others 16."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        column = F.col("`" + field.name.replace("`", "``") + "`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = F.octet_length(column)
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = 4 * F.octet_length(column.cast("string"))
+        else:
+            size = F.lit(0)
+        total = total + F.lit(16) + F.coalesce(size, F.lit(0))
+    return total
 
-    The check reads at most ``max_rows + 1`` rows.
+
+def small_side(
+    df: DataFrame, max_rows: int = SMALL_SIDE_ROWS, max_bytes: int = SMALL_SIDE_BYTES
+) -> DataFrame:
+    """``df`` marked for broadcast if it has few enough rows and bytes, else unchanged.
+
+    The check reads at most ``max_rows + 1`` rows and runs a job.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    some = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")
+    )
+    rows, size = some.first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -2,19 +2,63 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.strings import as_column
 from folioflow.functions.vendor import HEAD_CHARS, name_words, normalised_name, text_head
+from folioflow.session import scratch_path
 
 from .columns import settle
 from .joins import small_side
 
+# Candidates of one run that a task joins, where the names are too many to broadcast.
+HOT_ROWS = 100_000
+
+
+@dataclass(frozen=True)
+class NameIndex:
+    """Names by their words, made once and used by any number of batches and streams.
+
+    ``runs`` has a row per distinct run of words: ``_run, vendor``. ``firsts`` has a row per
+    word that opens a name: ``_first`` and the ``_lengths`` of the names it opens. Both are
+    stored, and marked for broadcast if that is small; ``spread`` says that runs are not.
+    """
+
+    runs: DataFrame
+    firsts: DataFrame
+    spread: bool
+    head_chars: int
+
+
+def name_index(names: DataFrame, name: str = "name", head_chars: int = HEAD_CHARS) -> NameIndex:
+    """Index a table of names. Of names with equal words the first counts; this runs jobs."""
+    spark = names.sparkSession
+    found = (
+        names.select(as_column(name).alias("vendor"), normalised_name(name).alias("_run"))
+        .filter((F.col("_run") != "") & (F.char_length("_run") <= head_chars))
+        .groupBy("_run")
+        .agg(F.min("vendor").alias("vendor"))
+    )
+    words = F.split("_run", " ")
+    # A head holds at most head_chars / 2 words, so the lengths of a word's names are few.
+    opening = found.groupBy(F.get(words, F.lit(0)).alias("_first")).agg(
+        F.sort_array(F.collect_set(F.size(words))).alias("_lengths")
+    )
+    path = scratch_path(spark, "names")
+    found.write.parquet(f"{path}/runs")
+    runs = spark.read.schema(found.schema).parquet(f"{path}/runs")
+    opening.write.parquet(f"{path}/firsts")
+    firsts = spark.read.schema(opening.schema).parquet(f"{path}/firsts")
+    small = small_side(runs)
+    return NameIndex(small, small_side(firsts), small is runs, head_chars)
+
 
 def vendor_mentions(
     documents: DataFrame,
-    names: DataFrame,
+    names: DataFrame | NameIndex,
     doc_id: str = "doc_id",
     text: str = "text",
     name: str = "name",
@@ -22,47 +66,46 @@ def vendor_mentions(
 ) -> DataFrame:
     """``doc_id, vendor`` of the earliest name in each text's head, longest at equal position.
 
-    Word runs of the head are matched to the names by equality, so the work grows with the
-    texts, not with texts times names. Only run lengths that occur among the names are made.
-    A run common to many texts is salted by document when the names are too many to broadcast.
-    Documents without a mention have no row.
+    A word of the head that opens no name goes no further. For the others, runs of the lengths
+    of the names they open are matched to the names by equality, so the work grows with the
+    texts and not with texts times names. With a ``NameIndex`` no job runs until the result is
+    asked for; a table is indexed first. Where the names are too many to broadcast, the runs
+    are shuffled, those met most often alone in parts. Documents without a mention have no
+    row; a null text has none, and rows of one id are one document.
     """
-    runs = (
-        names.select(as_column(name).alias("vendor"), normalised_name(name).alias("_run"))
-        .filter((F.col("_run") != "") & (F.char_length("_run") <= head_chars))
-        .groupBy("_run")
-        .agg(F.min("vendor").alias("vendor"))
-    )
-    words = F.size(F.split("_run", " "))
-    # Names fit the head, so there are at most head_chars / 2 distinct lengths.
-    lengths = sorted(
-        row.n
-        for row in runs.select(words.alias("n")).distinct().collect()
-    )
-    if not lengths:
-        return documents.select(doc_id, F.lit(None).cast("string").alias("vendor")).limit(0)
-
-    heads = documents.select(doc_id, text_head(text, head_chars).alias("_head"))
+    index = names if isinstance(names, NameIndex) else name_index(names, name, head_chars)
+    heads = documents.select(doc_id, text_head(text, index.head_chars).alias("_head"))
     worded = settle(heads, _words=name_words("_head"))
-    placed = worded.select(doc_id, "_words", F.posexplode("_words").alias("_at", "_word"))
-    fitting = F.filter(
-        F.array(*[F.lit(n) for n in lengths]),
-        lambda n: F.col("_at") + n <= F.size("_words"),
+    opening = worded.select(doc_id, "_words", F.posexplode("_words").alias("_at", "_word")).join(
+        index.firsts, F.col("_word") == F.col("_first")
     )
+    fitting = F.filter("_lengths", lambda n: F.col("_at") + n <= F.size("_words"))
     candidates = settle(
-        placed.select(doc_id, "_words", "_at", F.explode(fitting).alias("_n")),
-        _run=F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_n")), " "),
+        opening.select(doc_id, "_words", "_at", F.explode(fitting).alias("_n")),
+        _met=F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_n")), " "),
     ).drop("_words")
-
-    small = small_side(runs)
-    if small is not runs:
-        found = candidates.join(small, "_run")
-    else:
-        salts = 16
-        salted = runs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        found = candidates.withColumn(
-            "_salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int")
-        ).join(salted, ["_run", "_salt"])
+    found = _spread_runs(candidates, index.runs, doc_id) if index.spread else candidates.join(
+        index.runs, F.col("_met") == F.col("_run")
+    )
     return found.groupBy(doc_id).agg(
         F.min_by("vendor", F.struct("_at", (-F.col("_n")).alias("_longest"))).alias("vendor")
     )
+
+
+def _spread_runs(candidates: DataFrame, runs: DataFrame, doc_id: str) -> DataFrame:
+    """Join where a run may be met by most documents: such runs are counted and salted alone."""
+    # One run for each HOT_ROWS candidates at most.
+    hot = F.broadcast(
+        candidates.groupBy(F.col("_met").alias("_hot"))
+        .agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT_ROWS)).cast("int").alias("_salts"))
+        .filter("_salts > 1")
+    )
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = candidates.join(hot, F.col("_met") == F.col("_hot"), "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(doc_id, "_at"), salts).cast("int")
+    )
+    parts = runs.join(hot, F.col("_run") == F.col("_hot"), "left").select(
+        "_run", "vendor", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_part")
+    )
+    same = (F.col("_met") == F.col("_run")) & (F.col("_salt") == F.col("_part"))
+    return salted.drop("_hot", "_salts").join(parts, same)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.operators.evaluate import FIELDS, Evaluation
+
 
 def write_artifacts(
     extractions: DataFrame,
@@ -35,3 +37,59 @@ def write_artifacts(
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store a one-row report as a single JSON file with the time of the run."""
     report.withColumn("timestamp", F.current_timestamp()).coalesce(1).write.mode(mode).json(path)
+
+
+def evaluation_report(summary: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The nested one-row report of an evaluation; ``manifest`` tells where its details are."""
+    files = manifest.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("files")
+    )
+    metrics = F.struct("overall_accuracy", "doc_type_accuracy", *FIELDS)
+    # One row each.
+    return summary.join(F.broadcast(files)).select(
+        F.current_timestamp().alias("timestamp"),
+        "total_documents",
+        "failed",
+        metrics.alias("metrics"),
+        F.struct(F.col("avg_preprocessing_ms").alias("avg_ms_per_doc")).alias("preprocessing"),
+        "target_met",
+        F.struct("rows", "files").alias("details"),
+    )
+
+
+def write_evaluation(evaluation: Evaluation, path: str, mode: str = "overwrite") -> None:
+    """Store an evaluation as one nested document, and its details in ordered part files.
+
+    ``<path>/details`` holds a JSON line per document, sorted by file within and across the
+    parts, so that no row and no task holds all of them. ``<path>/manifest`` has a row per part:
+    ``part, rows, first_file, last_file``. ``<path>/summary`` is the document, with counts of
+    details instead of the details. Details are written first and not computed again.
+    """
+    spark = evaluation.details.sparkSession
+    order = ["file_path", "gt_vendor", "gt_date", "gt_amount", "gt_doc_type"]
+    evaluation.details.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(
+        mode
+    ).json(f"{path}/details")
+    stored = spark.read.schema(evaluation.details.schema).json(f"{path}/details")
+    manifest = stored.groupBy(F.col("_metadata.file_name").alias("part")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("file_path").alias("first_file"),
+        F.max("file_path").alias("last_file"),
+    )
+    manifest.repartitionByRange("part").sortWithinPartitions("part").write.mode(mode).json(
+        f"{path}/manifest"
+    )
+    listed = spark.read.schema(manifest.schema).json(f"{path}/manifest")
+    evaluation_report(evaluation.summary, listed).coalesce(1).write.mode(mode).json(
+        f"{path}/summary"
+    )
+
+
+def read_evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored ``summary``, ``details`` (with their ``part``) and ``manifest``."""
+    details = spark.read.json(f"{path}/details")
+    return (
+        spark.read.json(f"{path}/summary"),
+        details.withColumn("part", F.col("_metadata.file_name")),
+        spark.read.json(f"{path}/manifest"),
+    )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioflow.functions.timing import SLA_THRESHOLD_MS, breaches_sla, log_level, log_line
-from folioflow.plans.extract import extract_documents
+from folioflow.operators.vendors import NameIndex
+from folioflow.plans.extract import extract_documents, with_vendor_table
 
 
 def extract_stream(
@@ -32,6 +33,31 @@ def extract_stream(
     )
 
 
+def extract_stream_with_names(
+    documents: DataFrame,
+    names: NameIndex,
+    output: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """The same with known vendors from an indexed table of names.
+
+    Each micro-batch writes a folder of its own id under ``output``, overwritten if the batch
+    runs again; the index is read, not made, by every batch.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        extracted = with_vendor_table(extract_documents(batch), batch, names)
+        extracted.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+
+    return (
+        documents.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def breach_alerts(requests: DataFrame, threshold_ms: float = SLA_THRESHOLD_MS) -> DataFrame:
     """Requests over the threshold with their log line, for a batch or a stream."""
     return requests.filter(breaches_sla("elapsed_ms", threshold_ms)).withColumns(
