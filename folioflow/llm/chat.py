@@ -115,7 +115,10 @@ class PartVisitor:
 def text_part(text: Column) -> Column:
     """A plain text as the only part of a turn."""
     fields = [F.lit("text").alias("kind"), text.alias("text")]
-    others = (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))
+    others = (
+        ("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"),
+        ("pages", "int"),
+    )
     fields += [F.lit(None).cast(kind).alias(name) for name, kind in others]
     return F.array(F.struct(*fields))
 

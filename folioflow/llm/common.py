@@ -116,7 +116,8 @@ def per_batch(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_columns > 1 and pa.types.is_string(batch.column(1).type):
+            kind = batch.column(1).type if batch.num_columns > 1 else None
+            if kind is not None and (pa.types.is_string(kind) or pa.types.is_large_string(kind)):
                 yield from map(function, slices([batch]))
             else:
                 for start in range(0, batch.num_rows, 1000):

@@ -83,7 +83,11 @@ def statistics(texts: list[bytes | None]) -> np.ndarray:
 def document_statistics(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """``id, statistics`` (array of doubles) of every whole text; null counts as empty."""
+    """``id, statistics`` (array of doubles) of every whole text; null counts as empty.
+
+    One row per row: repeated rows and null ids are kept, an empty table gives none. Other
+    columns are not read.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = statistics(texts_as_bytes(batch.column(1)))
@@ -121,7 +125,8 @@ def fit(
 ) -> Discriminant | None:
     """The discriminant from ``statistics`` of all labelled rows; None if a class has none.
 
-    Each task adds up counts, sums and products per class; the driver sees one number per
+    Labels other than 0 and 1 teach nothing. A row that is there twice, such as a document
+    with two labels, counts twice. Each task adds up counts, sums and products per class; the driver sees one number per
     class and pair of statistics.
     """
     size = len(STATISTICS)
@@ -176,7 +181,8 @@ def fit(
 def score(rows: DataFrame, model: Discriminant | None) -> DataFrame:
     """``rows`` with ``score``, the probability of label 1 from ``statistics``.
 
-    Without a model every score is 0.5.
+    Without a model every score is 0.5. One row per row, repeats included; an empty table
+    stays empty.
     """
     if model is None:
         return rows.withColumn("score", F.lit(0.5))

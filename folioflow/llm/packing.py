@@ -28,7 +28,7 @@ LETTERS = "".join(chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0
 # First bytes of combining marks, before which a change of case is no safe step.
 COMBINING = (b"\xcc", b"\xcd")
 # Text that is taken apart at once.
-SLICE_ROWS, SLICE_BYTES = 2000, 1 << 23
+SLICE_ROWS, SLICE_BYTES = 1000, 1 << 22
 # Groups that large lengths are rounded in, and the share of a sequence up to which a length
 # counts as small.
 GROUPS = 48
@@ -182,7 +182,8 @@ def token_pieces(
     """``id, piece, start, length, ids`` (binary, little-endian unsigned 32-bit).
 
     A document is the ids of its whole text, none for null, then ``end_id``; only a document
-    longer than ``capacity`` is cut. Map-only; other columns are not read.
+    longer than ``capacity`` is cut. Repeated rows and null ids give pieces of their own, an
+    empty table none. Map-only; other columns are not read.
     """
     definition = Path(tokenizer_path).read_bytes()
     ending = np.array([end_id], dtype="<u4").tobytes()

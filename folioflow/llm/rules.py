@@ -146,9 +146,9 @@ def pulled_ratios(
     """Per bucket the log of its share in trusted texts over its share in all texts.
 
     ``added`` goes to every bucket of all texts, and the trusted counts are pulled to their
-    shares: ``pull`` n-grams that are spread like all texts are added to the trusted ones. Few trusted
-    texts thus give ratios near 0, by which documents are kept, and none give 0 throughout:
-    without trusted texts the base rules alone decide.
+    shares: ``pull`` n-grams that are spread like all texts are added to the trusted ones. Few
+    trusted texts thus give ratios near 0, by which documents are kept, and none give 0
+    throughout: without trusted texts the base rules alone decide.
     """
     raw, target = ngram_counts(docs, trusted, id_column, text_column, buckets)
     shares = (raw + added) / (raw.sum() + added * buckets)

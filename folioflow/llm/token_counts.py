@@ -73,7 +73,8 @@ def count_tokens(
 
     Null and empty texts have no tokens. Texts are cut where no piece can cross, and each
     worker remembers the counts of a bounded number of such segments; a text without spaces is
-    one segment, merged in time n log n. Map-only: no shuffle, and other columns are not read.
+    one segment, merged in time n log n. Repeated rows and null ids are kept; an empty table
+    gives no rows. Map-only: no shuffle, and other columns are not read.
     """
     model = model_bytes(model_path)
 

@@ -158,8 +158,8 @@ def near_words(
     """Pairs (word, near word) of positions in a block, both ways round.
 
     ``codes`` holds the words' letters, -1 beyond their ends; lengths are m (``least``) and
-    m + 1, and words are near if one has one letter replaced among those of m, or inserted between m and
-    m + 1. Only words of one group meet; those of sides 0 and 1 only across. For all words at
+    m + 1, and words are near if one has one letter replaced among those of m, or inserted
+    between m and m + 1. Only words of one group meet; those of sides 0 and 1 only across. For all words at
     once, letter after letter: ``none`` is the set of words equal so far, ``replaced`` those
     with one letter replaced, ``longer`` those with a letter more (read one position on) and
     ``shorter`` those with a letter less (read one position back).
@@ -364,7 +364,10 @@ def near_summary(
         found.groupBy("word")
         .agg(F.sum("n_near").alias("n_near"), F.min(F.struct("less", "near")).alias("_best"))
         .select(
-            "word", "n_near", F.col("_best.near").alias("form"), (-F.col("_best.less")).alias("form_n")
+            "word",
+            "n_near",
+            F.col("_best.near").alias("form"),
+            (-F.col("_best.less")).alias("form_n"),
         )
     )
 
@@ -378,7 +381,8 @@ def spelling_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     more than once, so store it before.
     """
     near = near_summary(words)
-    joined = words.join(near.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
+    near = near.withColumnRenamed("word", "_word")
+    joined = words.join(near, F.col("word") == F.col("_word"), "left")
     often = F.col("form_n") >= ratio * F.col("n")
     formed = written(
         joined.select(

@@ -278,7 +278,8 @@ def read_archives(
     what the chain from the file's start does not reach, such as records inside payloads, is
     no record. Reading stops for good where a chain breaks: see ``broken_chains``. A payload
     is one value of one row; files may be of any size. ``payload`` is null for revisits, whose
-    ``payload_bytes`` is what the stored HTTP head declares. Empty files hold no records.
+    ``payload_bytes`` is what the stored HTTP head declares. Empty files hold no records, and
+    a folder without records gives no rows. Records that are there twice are both returned.
     """
     blocks = archive_blocks(spark, path, block_bytes)
     jumps = written(blocks.mapInArrow(_chains, "path STRING, at BIGINT, to BIGINT"), "warc-jumps")
