@@ -188,7 +188,9 @@ def conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     page = F.struct(
-        F.col("turn").cast("int").alias("page"), F.lit("easyocr").alias("engine"), words.alias("tokens")
+        F.col("turn").cast("int").alias("page"),
+        F.lit("easyocr").alias("engine"),
+        words.alias("tokens"),
     )
     # A conversation is a document, which is one row by definition.
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
@@ -277,7 +279,8 @@ def write_xml_files(spark: SparkSession, sf_dir: str, path: str) -> None:
         )
     )
     files = elements.groupBy("name").agg(F.array_join(F.collect_list("xml"), "\n").alias("all"))
-    whole = F.concat(F.lit('<?xml version="1.0"?>\n<annotations>\n'), "all", F.lit("\n</annotations>"))
+    head = F.lit('<?xml version="1.0"?>\n<annotations>\n')
+    whole = F.concat(head, "all", F.lit("\n</annotations>"))
     store_files(files.select("name", F.encode(whole, "UTF-8").alias("content")), path)
 
 
@@ -290,11 +293,12 @@ def write_task_arrays(spark: SparkSession, sf_dir: str, path: str) -> None:
     )
     tasks = json_tasks(spark, sf_dir).select(damaged.alias("json"), key.alias("key"))
     files = tasks.groupBy(F.floor(F.col("key") / ITEMS_PER_FILE).alias("n")).agg(
-        F.concat(F.lit("[\n"), F.array_join(F.collect_list("json"), " ,\n"), F.lit("\n]\n")).alias("all")
+        F.array_join(F.collect_list("json"), " ,\n").alias("all")
     )
     store_files(
         files.select(
-            F.format_string("tasks_%d.json", "n").alias("name"), F.encode("all", "UTF-8").alias("content")
+            F.format_string("tasks_%d.json", "n").alias("name"),
+            F.encode(F.concat(F.lit("[\n"), "all", F.lit("\n]\n")), "UTF-8").alias("content"),
         ),
         path,
     )

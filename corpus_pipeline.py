@@ -38,7 +38,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear, whatever their ``lang`` says."""
+    """Documents whose language is clear, whatever their ``lang`` says.
+
+    Rows without an id teach nothing but are judged; repeated rows are judged alike. Nothing
+    is clear where nothing was learned. An empty table stays empty.
+    """
     dictionaries = learn_dictionaries(docs)
     judged = detect_language(set_apart(docs), dictionaries, text_column="doc.text")
     return judged.filter("NOT rejected").select("doc.*")
@@ -48,10 +52,10 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One row of each group of near duplicates: that with the smallest id.
 
     Texts are near duplicates where the fingerprints of their three-word shingles differ in
-    three bits at most, or others link them that way. Rows are told apart by their id and a hash of all their columns, so that of rows with one
-    id in a group, and of exact repeats, one stays. A row without an id stays only where no
-    row of its group has one. Only these keys and the texts reach the comparison. An empty
-    table stays empty.
+    three bits at most, or others link them that way. Rows are told apart by their id and a
+    hash of all their columns, so that of rows with one id in a group, and of exact repeats,
+    one stays. A row without an id stays only where no row of its group has one. Only these
+    keys and the texts reach the comparison. An empty table stays empty.
     """
     number, other = F.col("doc.doc_id"), F.col("_kept._number")
     rows = set_apart(docs).withColumn("_hash", F.xxhash64("doc"))
@@ -68,7 +72,11 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
+
+    A null text is an empty one; repeated rows and null ids have pieces of their own. An empty
+    table gives no rows.
+    """
     return packed_documents(docs)
 
 

@@ -51,7 +51,8 @@ def first_line(text: Column | str, longer_than: int = LONGER_THAN) -> Column:
 def known_name(text: Column | str, names: Sequence[str], head_chars: int = HEAD_CHARS) -> Column:
     """Earliest of the literal names in the head of the text, longest at equal position.
 
-    Map-only; for very many names, ``operators.vendors`` does the same with a table. The text is reduced to its words, so one regex over the joined words decides.
+    Map-only; for very many names, ``operators.vendors`` does the same with a table. The text is
+    reduced to its words, so one regex over the joined words decides.
     """
     keyed = {" ".join(filter(None, map(_plain_word, name.lower().split()))): name
              for name in sorted(names, reverse=True)}

@@ -155,7 +155,11 @@ def numbered_in_order(df: DataFrame, by: str, order: Sequence[str]) -> tuple[Dat
     """
     ordered = df.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
     schema = T.StructType(
-        [*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_number", T.LongType())]
+        [
+            *df.schema.fields,
+            T.StructField("_part", T.IntegerType()),
+            T.StructField("_number", T.LongType()),
+        ]
     )
     numbered = ordered.mapInArrow(_numbered(df.columns.index(by), len(df.columns)), schema)
     path = scratch_path(df.sparkSession, "numbered")

@@ -33,12 +33,3 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A new, unused path under the shared folder."""
     return f"{checkpoint_root(spark)}/{purpose}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df):
-    """``df`` stored reliably and cut from its lineage."""
-    checkpoint_root_for = checkpoint_root(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_root_for)
-    return df.checkpoint(eager=True)

@@ -45,7 +45,8 @@ def list_tree(spark: SparkSession, directory: str, recursive: bool = True) -> Da
     a task, level by level, and what is found is stored in the shared folder; the driver sees
     whether there are directories left. A missing directory is Spark's path-not-found error.
     """
-    spark.read.format("binaryFile").load(directory)  # looks for the directory, lists and reads nothing
+    # Looks for the directory and reads nothing.
+    spark.read.format("binaryFile").load(directory)
     # Without a file it still has the columns.
     files = spark.createDataFrame([], _FOUND)
     level = spark.createDataFrame([(directory.rstrip("/"),)], "path STRING")
@@ -83,7 +84,8 @@ def text_lines(files: DataFrame) -> DataFrame:
 
     def packed(path: str, lines: list[str]) -> pa.RecordBatch:
         paths = pa.array([path] * len(lines), pa.string())
-        return pa.RecordBatch.from_arrays([paths, pa.array(lines, pa.string())], names=["path", "value"])
+        values = pa.array(lines, pa.string())
+        return pa.RecordBatch.from_arrays([paths, values], names=["path", "value"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
