@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.operators import evaluate as evaluation_module
 from folioflow.operators.evaluate import evaluate, labelled_pages
 from folioflow.operators.joins import small_side
 from folioflow.sources.sinks import read_evaluation, write_evaluation
@@ -83,12 +84,10 @@ def test_small_sides_are_few_rows_and_few_bytes(spark):
 
 @pytest.mark.parametrize("rows", [100, 0])
 def test_labelled_pages_by_broadcast_or_shuffle(spark, monkeypatch, rows):
-    from folioflow.operators import evaluate as module
-
-    monkeypatch.setattr(module, "LABELLED_FILES", rows)
+    monkeypatch.setattr(evaluation_module, "LABELLED_FILES", rows)
     labels = spark.createDataFrame([("a",), ("a",), ("b",)], "file_path STRING")
     pages = spark.createDataFrame([("a", 0), ("a", 1), ("c", 0), (None, 0)], "file_path STRING, page INT")
     kept = labelled_pages(pages, labels)
     assert sorted(map(tuple, kept.collect())) == [("a", 0), ("a", 1)]
-    plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert ("BroadcastHashJoin" in plan) == (rows > 0)
+    plan = kept._jdf.queryExecution().analyzed().toString()
+    assert ("ResolvedHint" in plan) == (rows > 0)
