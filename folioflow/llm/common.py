@@ -104,6 +104,8 @@ def slices(
             count = max(1, int(np.searchsorted(sums, size, side="right")))
             yield batch.slice(begun, count)
             begun += count
+        # What Arrow holds back for itself counts as the worker's memory too.
+        pa.default_memory_pool().release_unused()
 
 
 def per_batch(

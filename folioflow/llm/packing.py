@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -18,10 +18,10 @@ from .common import Recent, extended, quoted, slices, texts_as_bytes, worker_cac
 
 CAPACITY = 4096
 END_ID = 1
-# Runs of letters and other words that a worker remembers for sure, about 140 bytes each; up to
-# twice as many are held.
-REMEMBERED_RUNS = 1 << 18
-REMEMBERED = 1 << 16
+# Runs of letters that a worker remembers, about 40 bytes each, and other words, about 200 bytes
+# each of up to twice as many.
+REMEMBERED_RUNS = 3 << 17
+REMEMBERED = 1 << 15
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 # Lower-case letters of which a plain word is made.
 LETTERS = "".join(chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)))
@@ -38,6 +38,51 @@ BUCKET_ROWS = 128
 BUCKETS = 1 << 14
 
 
+class RunTable:
+    """Ids of runs remembered as columns, far smaller than a dictionary of them.
+
+    Runs used since the table was last cut down survive the next time it is, which happens
+    when it holds more than ``limit``; so those in use are never dropped with the others. It
+    holds ``limit`` runs and those of two calls at most.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        # The empty run comes first, has no ids, and always stays.
+        self.runs = pa.array([""], pa.string())
+        self.sizes = np.zeros(1, dtype=np.int64)
+        self.ids = np.empty(0, dtype="<u4")
+        self.used = np.ones(1, dtype=bool)
+
+    def cut_down(self) -> None:
+        kept = np.flatnonzero(self.used)
+        self.ids, _ = gathered(self.ids, self.sizes, kept)
+        self.runs, self.sizes = self.runs.take(pa.array(kept)), self.sizes[kept]
+        self.used = np.zeros(len(kept), dtype=bool)
+        self.used[0] = True
+
+    def places(
+        self, runs: pa.Array, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+    ) -> np.ndarray:
+        """Where each run stands in the table; ``learn`` gives ids and sizes of unknown ones."""
+        if len(self.runs) > self.limit:
+            self.cut_down()
+        found = pc.index_in(runs, value_set=self.runs)
+        absent = np.flatnonzero(pc.is_null(found).to_numpy(zero_copy_only=False))
+        places = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(absent):
+            unknown = runs.take(pa.array(absent))
+            fresh = unknown.unique()
+            ids, sizes = learn(fresh.to_pylist())
+            places[absent] = len(self.runs) + pc.index_in(unknown, value_set=fresh).to_numpy()
+            self.runs = pa.concat_arrays([self.runs, fresh.cast(pa.string())])
+            self.ids = np.concatenate([self.ids, ids])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), dtype=bool)])
+        self.used[places] = True
+        return places
+
+
 class WordTokenizer:
     """Ids of texts by the library, word by word.
 
@@ -78,7 +123,7 @@ class WordTokenizer:
         if self.ids(probe.encode()) != self.ids_of_runs(probe):
             raise ValueError("the tokenizer does not take runs as expected")
         self.words: Recent[bytes, bytes] = Recent(REMEMBERED)
-        self.runs: Recent[bytes, bytes] = Recent(REMEMBERED_RUNS)
+        self.runs = RunTable(REMEMBERED_RUNS)
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -93,15 +138,18 @@ class WordTokenizer:
     def cut(ids: bytes, starts: np.ndarray, stops: np.ndarray) -> Iterator[bytes]:
         return map(ids.__getitem__, map(slice, (4 * starts).tolist(), (4 * stops).tolist()))
 
-    def learn_runs(self, runs: list[bytes]) -> None:
+    def learned_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each run is one word to the library, so its last id is one that ends a word."""
+        found, sizes = [], []
         for begun in range(0, len(runs), 512):
             some = runs[begun : begun + 512]
-            ids = self.ids_of_runs(b" ".join(some).decode())
-            stops = np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1
+            ids = np.frombuffer(self.ids_of_runs(" ".join(some)), "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 raise ValueError("the tokenizer does not end words as expected")
-            self.runs.update(zip(some, self.cut(ids, np.append(0, stops[:-1]), stops)))
+            found.append(ids)
+            sizes.append(np.diff(stops, prepend=0))
+        return np.concatenate(found), np.concatenate(sizes)
 
     def learn_words(self, words: list[bytes]) -> None:
         """Words of any kind, with a special token between them."""
@@ -120,15 +168,6 @@ class WordTokenizer:
         self.learn_words(list(fresh.difference(marked)))
         return [self.words[w] for w in words]
 
-    def ids_of_plain(self, runs: pa.StringArray) -> tuple[list[bytes], np.ndarray]:
-        """Ids of the distinct runs, and which of them each run is; an empty run has none."""
-        coded = runs.dictionary_encode()
-        distinct = texts_as_bytes(coded.dictionary)
-        self.runs[b""] = b""
-        self.learn_runs(list(self.runs.unknown(set(distinct))))
-        known = [self.runs[r] for r in distinct]
-        return known, coded.indices.to_numpy(zero_copy_only=False)
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (strings without nulls) in a row, and where each text starts."""
         if not any(pc.any(pc.match_substring(texts, u)).as_py() for u in self.unsafe):
@@ -142,16 +181,17 @@ class WordTokenizer:
         sizes = [pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (distinct, runs, tails)]
         plain = (sizes[1] > 0) & (sizes[1] + sizes[2] == sizes[0])
         kept = pa.array(plain)
-        run_ids, run_at = self.ids_of_plain(runs.filter(kept))
-        tail_ids, tail_at = self.ids_of_plain(tails.filter(kept))
-        others = texts_as_bytes(distinct.filter(pa.array(~plain)))
-        # Two pieces make each distinct word; the last piece is empty.
-        pieces = [*run_ids, *tail_ids, *self.ids_of_words(others), b""]
-        pair = np.full((len(distinct), 2), len(pieces) - 1)
-        pair[plain, 0], pair[plain, 1] = run_at, tail_at + len(run_ids)
-        pair[~plain, 0] = np.arange(len(others)) + len(run_ids) + len(tail_ids)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        flat, ends = gathered(np.frombuffer(b"".join(pieces), "<u4"), sizes, pair.reshape(-1))
+        both = pa.concat_arrays([runs.filter(kept), tails.filter(kept)])
+        at = self.runs.places(both, self.learned_runs)
+        others = self.ids_of_words(texts_as_bytes(distinct.filter(pa.array(~plain))))
+        # Two pieces make each distinct word; that of another word is the empty run.
+        pair = np.zeros((len(distinct), 2), dtype=np.int64)
+        pair[plain] = at.reshape(2, -1).T
+        pair[~plain, 0] = np.arange(len(others)) + len(self.runs.runs)
+        more = np.fromiter(map(len, others), np.int64, len(others)) // 4
+        sizes = np.concatenate([self.runs.sizes, more])
+        ids = np.concatenate([self.runs.ids, np.frombuffer(b"".join(others), "<u4")])
+        flat, ends = gathered(ids, sizes, pair.reshape(-1))
         whole, stops = gathered(
             flat, np.diff(ends[::2]), words.indices.to_numpy(zero_copy_only=False)
         )

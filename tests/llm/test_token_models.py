@@ -113,6 +113,25 @@ def test_keys_in_use_are_not_dropped_with_the_others():
         assert len(recent) + len(recent.older) <= 2 * (10 + 3)
 
 
+def test_runs_in_use_stay_in_the_table():
+    table, learned = packing.RunTable(10), []
+
+    def learn(runs):
+        learned.extend(runs)
+        ids = [np.frombuffer(r.encode(), "u1").astype("<u4") for r in runs]
+        return np.concatenate(ids), np.array([len(i) for i in ids])
+
+    for i in range(300):
+        runs = ["hot", "", f"r{i}", "hot", f"r{i + 1}" * 2]
+        places = table.places(pa.array(runs), learn)
+        starts = np.cumsum(table.sizes) - table.sizes
+        for run, at in zip(runs, places):
+            ids = table.ids[starts[at] : starts[at] + table.sizes[at]]
+            assert bytes(ids.astype("u1")).decode() == run
+        assert len(table.runs) == len(table.sizes) == len(table.used) <= 10 + 6
+    assert learned.count("hot") == 1 and "" not in learned
+
+
 def test_slices_are_bounded_by_rows_and_bytes():
     texts = ["x" * n for n in (1, 2, 50, 0, 3, 4, 90, 1)] + [None] * 9
     batch = pa.RecordBatch.from_arrays([pa.array(range(17)), pa.array(texts)], names=["i", "t"])
