@@ -637,19 +637,20 @@ def evaluation_sink(spark, sf_dir):
     path = scratch_path(spark, "evaluation")
     sinks.write_evaluation(_evaluation(spark, sf_dir), path)
     summary, details, manifest = sinks.read_evaluation(spark, path)
-    found = details.agg(
+    counted = F.struct(
         F.count(F.lit(1)).alias("rows"), F.count_if("vendor_match").alias("vendor_matches"),
         F.min("file_path").alias("first_file"), F.max("file_path").alias("last_file"),
     )
-    parts = manifest.agg(F.sum("rows").alias("listed"))
+    found = details.agg(counted.alias("found")).scalar()
     metrics = F.col("metrics")
-    return summary.join(F.broadcast(found)).join(F.broadcast(parts)).select(
+    return summary.select("*", found.alias("found")).select(
         "total_documents", metrics["overall_accuracy"].alias("overall_accuracy"),
         metrics["vendor"]["precision"].alias("vendor_precision"),
         metrics["amount"]["f1"].alias("amount_f1"), "target_met",
         F.col("preprocessing.avg_ms_per_doc").alias("avg_ms_per_doc"),
-        "rows", "listed", (F.col("details.rows") == F.col("rows")).alias("counted"),
-        "vendor_matches", "first_file", "last_file",
+        "found.rows", manifest.agg(F.sum("rows").alias("listed")).scalar().alias("listed"),
+        (F.col("details.rows") == F.col("found.rows")).alias("counted"),
+        "found.vendor_matches", "found.first_file", "found.last_file",
     )
 
 

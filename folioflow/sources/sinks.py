@@ -41,19 +41,18 @@ def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def evaluation_report(summary: DataFrame, manifest: DataFrame) -> DataFrame:
     """The nested one-row report of an evaluation; ``manifest`` tells where its details are."""
-    files = manifest.agg(
+    counts = F.struct(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("files")
     )
     metrics = F.struct("overall_accuracy", "doc_type_accuracy", *FIELDS)
-    # One row each.
-    return summary.join(F.broadcast(files)).select(
+    return summary.select(
         F.current_timestamp().alias("timestamp"),
         "total_documents",
         "failed",
         metrics.alias("metrics"),
         F.struct(F.col("avg_preprocessing_ms").alias("avg_ms_per_doc")).alias("preprocessing"),
         "target_met",
-        F.struct("rows", "files").alias("details"),
+        manifest.agg(counts.alias("counts")).scalar().alias("details"),
     )
 
 
