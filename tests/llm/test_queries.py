@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import pytest
 import regex
 import sentencepiece
 import xxhash
-from folioflow.llm import licences, queries
+from folioflow.llm import language, licences, queries, simhash
 from folioflow.llm.licence_digests import TEXT_DIGESTS
 from tokenizers import Tokenizer
 
@@ -308,6 +309,22 @@ def test_op13_variants(spark, documents):
         assert root == (word if form is None else found[form][1])
 
 
+def test_very_long_texts(spark):
+    chance = random.Random(3)
+    known = ["".join(chance.choices("abcdeéGH", k=chance.randint(1, 8))) for _ in range(5000)]
+    texts = [" ".join(chance.choices(known, k=200_000)) + "\nReleased under the MIT License."]
+    texts += ["x" * 1_500_000, "Copyright 1\n" * 100_000, texts[0].replace("a", "é")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    for r in licences.scan_licences(docs).collect():
+        assert r.digest == whole_digest(canonical_lines(texts[r.id]))
+        assert r.notices == (["MIT"] if r.id in (0,) else [])
+    for r in simhash.near_duplicates(docs).collect():
+        assert r.fingerprint % (1 << 64) == fingerprint(texts[r.id])
+    learned = {"one": texts[0][:30_000].encode(), "two": b"xyz " * 2000}
+    found = {r.doc_id: r.lang_pred for r in language.detect_language(docs, learned).collect()}
+    assert found[0] == "one" and set(found.values()) <= {"one", "two"}
+
+
 def test_queries_over_empty_tables(spark, tmp_path):
     for name in TABLES:
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
