@@ -78,8 +78,10 @@ def read_lines(spark: SparkSession, directory: str) -> DataFrame:
     Names that begin with ``_`` or ``.`` count like others.
     """
     files = list_tree(spark, directory, recursive=False).filter("path LIKE '%.txt'")
-    name = F.regexp_extract("path", r"([^/]*)\.txt$", 1)
-    return text_lines(files).select(name.alias("stem"), "value")
+    # For every line again, so without a pattern that is tried at each character of the path.
+    name = F.substring_index("path", "/", -1)
+    stem = F.left(name, F.char_length(name) - F.lit(len(".txt")))
+    return text_lines(files).select(stem.alias("stem"), "value")
 
 
 def load_box_text(

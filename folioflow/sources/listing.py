@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from folioflow.session import scratch_path
 
-from .ranges import located, opened
+from .ranges import block_rows, located, opened
 
 _FOUND = "path STRING, folder BOOLEAN, modificationTime TIMESTAMP, length BIGINT"
 _ROWS = 10_000
 # Bytes of lines or contents that a task hands on at a time.
 _BATCH_BYTES = 4 * 1024 * 1024
+# Bytes of text files that a task reads, and tasks at most.
+_TASK_BYTES = 16 * 1024 * 1024
+_MOST_TASKS = 4096
 
 
 def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +82,13 @@ def with_content(files: DataFrame) -> DataFrame:
     )
 
 
-def text_lines(files: DataFrame) -> DataFrame:
-    """``path, value`` of the lines of text files (``path``), as Spark's text reader cuts them."""
+def text_lines(files: DataFrame, block_bytes: int = _TASK_BYTES) -> DataFrame:
+    """``path, value`` of the lines of text files, as Spark's text reader cuts them.
+
+    ``files``: ``path, length``. They come as they were listed, in few tasks, so they are dealt
+    out by their bytes; a file beyond ``block_bytes`` is read by several tasks, each line by
+    the one in whose block it begins. Blocks part at line feeds, alone or after a return.
+    """
 
     def packed(path: str, lines: list[str]) -> pa.RecordBatch:
         paths = pa.array([path] * len(lines), pa.string())
@@ -89,18 +97,47 @@ def text_lines(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                with opened(path) as file:
-                    rest = b""
-                    while data := file.read(_BATCH_BYTES):
-                        # A line break of two bytes must not be cut in two.
-                        whole, mark, rest = (rest + data).rpartition(b"\n")
-                        if mark:
-                            yield packed(path, _lines(whole))
-                    if rest:
-                        yield packed(path, _lines(rest))
-
-    return files.select("path").mapInArrow(run, "path STRING, value STRING")
+            columns = [batch.column(n).to_pylist() for n in ("path", "begin", "stop")]
+            for path, begin, stop in zip(*columns):
+                for data in _block_text(path, begin, stop):
+                    yield packed(path, _lines(data))
+
+    total = files.agg(F.sum("length")).first()[0] or 0
+    tasks = min(_MOST_TASKS, int(total) // block_bytes + 1)
+    tasks = max(tasks, files.sparkSession.sparkContext.defaultParallelism)
+    blocks = block_rows(files, block_bytes).repartition(tasks, "path", "block")
+    return blocks.select("path", "begin", "stop").mapInArrow(run, "path STRING, value STRING")
+
+
+def _block_text(path: str, begin: int, stop: int) -> Iterator[bytes]:
+    """The lines that begin in a block, some at a time, without the line feeds between."""
+    with opened(path) as file:
+        at, rest = begin, b""
+        if begin:
+            # What stands before the first line feed belongs to an earlier block.
+            at, found = begin - 1, False
+            while at < stop - 1 and not found:
+                data = file.read_at(min(_BATCH_BYTES, stop - 1 - at), at)
+                cut = data.find(b"\n")
+                found, at = cut >= 0, at + (cut + 1 if cut >= 0 else len(data))
+            if not found:
+                return
+        while at < stop:
+            data = file.read_at(min(_BATCH_BYTES, stop - at), at)
+            if not data:
+                break
+            at += len(data)
+            # A line break of two bytes must not be cut in two.
+            whole, mark, rest = (rest + data).rpartition(b"\n")
+            if mark:
+                yield whole
+        while rest and (data := file.read_at(_BATCH_BYTES, at)):
+            line, mark, _ = data.partition(b"\n")
+            at, rest = at + len(data), rest + line
+            if mark:
+                break
+        if rest:
+            yield rest
 
 
 def _lines(data: bytes) -> list[str]:

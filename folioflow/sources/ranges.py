@@ -40,21 +40,26 @@ def listed_files(spark: SparkSession, directory: str, glob: str | None = None) -
     return reader.load(directory).select("path", "modificationTime", "length")
 
 
-def blocks_of(
-    files: DataFrame, block_bytes: int, most_tasks: int = 4096
-) -> tuple[DataFrame, int]:
-    """``path, length, block, begin, stop`` of the blocks of ``path, length``, and their tasks."""
+def block_rows(files: DataFrame, block_bytes: int) -> DataFrame:
+    """``path, length, block, begin, stop`` of the blocks of ``path, length``, where they are."""
     blocks = F.ceil(F.col("length") / F.lit(block_bytes))
-    count = files.agg(F.sum(blocks)).first()[0] or 1
     places = F.sequence(F.lit(0).cast("bigint"), blocks.cast("bigint") - 1)
-    rows = (
+    return (
         files.filter("length > 0")
         .select("path", "length", F.explode(places).alias("block"))
         .withColumn("begin", F.col("block") * F.lit(block_bytes))
         .withColumn("stop", F.least(F.col("begin") + F.lit(block_bytes), "length"))
     )
+
+
+def blocks_of(
+    files: DataFrame, block_bytes: int, most_tasks: int = 4096
+) -> tuple[DataFrame, int]:
+    """``path, length, block, begin, stop`` of the blocks of ``path, length``, and their tasks."""
+    blocks = F.ceil(F.col("length") / F.lit(block_bytes))
+    count = files.agg(F.sum(blocks)).first()[0] or 1
     tasks = min(most_tasks, int(count))
-    return rows.repartition(tasks, "path", "block"), tasks
+    return block_rows(files, block_bytes).repartition(tasks, "path", "block"), tasks
 
 
 def store_files(files: DataFrame, directory: str) -> None:

@@ -142,6 +142,22 @@ def test_listing_has_hidden_names(spark, tmp_path):
         list_tree(spark, str(tmp_path / "gone"))
 
 
+def test_lines_are_read_by_many_tasks(spark, tmp_path):
+    texts = {
+        "a": b"one\r\ntwo\rthree\n\nfour \xc3\xa9", "b": b"\n\n", "c": b"x" * 50, "d": b"\r\ny\r",
+        "e": b"".join(b"%d\n" % i for i in range(300)), "f": b"long" * 9 + b"\n" + b"z\n",
+    }
+    for name, data in texts.items():
+        (tmp_path / f"{name}.txt").write_bytes(data)
+    files = list_tree(spark, str(tmp_path))
+    expected = sorted(map(tuple, text_lines(files).collect()))
+    assert sum(path.endswith("e.txt") for path, _ in expected) == 300 and len(expected) == 312
+    for size in (1, 2, 7, 64):
+        assert sorted(map(tuple, text_lines(files, size).collect())) == expected, size
+    per_task = text_lines(files, 64).rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert sum(n > 0 for n in per_task) >= 8 and max(per_task) < 150
+
+
 def test_files_arrive_as_a_stream(spark, tmp_path):
     folder, out = tmp_path / "in", str(tmp_path / "out")
     folder.mkdir()
