@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators.columns import settle
-from folioflow.sources.files import spread_scan
+from folioflow.sources.files import spread_scan, spread_tasks
 from folioflow.sources.ranges import store_files
 
 WORDS_PER_PAGE = 200
@@ -90,9 +90,13 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bills headed by the customer name, with the values they were made from."""
-    orders = orders_of_bills(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"
+    )
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return orders.join(customers, orders.o_custkey == customers.c_custkey).select(
+    joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    # A shuffled join of narrow rows ends in few tasks, too few for what bills are searched for.
+    return joined.repartition(spread_tasks(orders)).select(
         F.col("o_orderkey").alias("doc_id"),
         file_name(F.col("o_orderkey")).alias("file_path"),
         bill_text(F.col("c_name")).alias("text"),

@@ -19,6 +19,8 @@ VIDEO_EXTENSIONS = (".mp4", ".avi", ".mov", ".mkv", ".m4v")
 PDF_CONTENT_TYPE = "application/pdf"
 IMAGE_CONTENT_TYPES = ("image/jpeg", "image/png", "image/jpg")
 FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+# Tasks for each partition of a scan that is evened out.
+SPREAD = 8
 # Largest value of a binary column.
 MAX_CONTENT_BYTES = 2_147_483_647 - 64
 
@@ -43,17 +45,28 @@ def stream_files(spark: SparkSession, directory: str, glob: str | None = None) -
     return reader.load(directory)
 
 
+def spread_tasks(scan: DataFrame) -> int:
+    """Over how many tasks costly work on the rows of a plain file scan should spread.
+
+    At least one for each task slot, and several for each partition of the scan, so that they
+    grow in number with the input and not in length.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return max(slots, scan.rdd.getNumPartitions() * SPREAD)
+
+
 def spread_scan(scan: DataFrame) -> DataFrame:
     """Even out a scan that yields fewer partitions than there are task slots.
 
     For costly per-row work on a few files that cannot be split; with enough partitions, or on
     a stream, the scan is returned as it is. ``scan`` must be a plain file scan, since its
-    partitions are counted.
+    partitions are counted; see ``spread_tasks``.
     """
     if scan.isStreaming:
         return scan
     slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+    few = scan.rdd.getNumPartitions() < slots
+    return scan.repartition(spread_tasks(scan)) if few else scan
 
 
 def extension(path: Column | str) -> Column:

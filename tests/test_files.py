@@ -13,6 +13,7 @@ from folioflow.plans.extract import extract_documents
 from folioflow.sources.archives import expand_archives
 from folioflow.sources.files import (
     check_archives, discover, extension, read_files, read_labels, route_media,
+    spread_scan,
 )
 from folioflow.sources.sinks import write_artifacts, write_report
 
@@ -148,3 +149,14 @@ def test_report(spark, tmp_path):
     (part,) = out.glob("part-*.json")
     report = json.loads(part.read_text())
     assert report["accuracy"] == 0.95 and "timestamp" in report
+
+
+def test_tasks_grow_with_the_scan(spark, tmp_path):
+    spark.range(100).repartition(6).write.parquet(str(tmp_path / "t"))
+    for files in (1, 6):
+        paths = sorted(map(str, tmp_path.glob("t/*.parquet")))[:files]
+        scan = spark.read.parquet(*paths)
+        found = scan.rdd.getNumPartitions()
+        assert found < spark.sparkContext.defaultParallelism
+        assert spread_scan(scan).rdd.getNumPartitions() == max(8, 8 * found)
+        assert sorted(spread_scan(scan).collect()) == sorted(scan.collect())
