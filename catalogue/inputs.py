@@ -444,6 +444,9 @@ def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ARCHIVE_BATCH_BYTES = 4 * 1024 * 1024
+
+
 def _zip_bytes(text: str) -> bytes:
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as archive:
@@ -452,24 +455,33 @@ def _zip_bytes(text: str) -> bytes:
     return buffer.getvalue()
 
 
-def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ZIP archive per document, every 50th broken; whole texts inside."""
+def pack_archives(batches):
+    for batch in batches:
+        keys, contents, size = [], [], 0
+        for key, text in zip(batch.column("doc_id"), batch.column("text")):
+            keys.append(key.as_py())
+            contents.append(b"broken" if keys[-1] % 50 == 0 else _zip_bytes(text.as_py()))
+            size += len(contents[-1])
+            # Archives leave in small batches, however many rows came in.
+            if size >= ARCHIVE_BATCH_BYTES:
+                yield _packed(keys, contents)
+                keys, contents, size = [], [], 0
+        if keys:
+            yield _packed(keys, contents)
 
-    def pack(batches):
-        for batch in batches:
-            rows = batch.to_pydict()
-            contents = [
-                b"broken" if key % 50 == 0 else _zip_bytes(text)
-                for key, text in zip(rows["doc_id"], rows["text"])
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([f"doc_{key}.zip" for key in rows["doc_id"]], pa.string()),
-                    pa.array([len(c) for c in contents], pa.int64()),
-                    pa.array(contents, pa.binary()),
-                ],
-                names=["path", "length", "content"],
-            )
 
+def _packed(keys, contents):
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([f"doc_{key}.zip" for key in keys], pa.string()),
+            pa.array([len(c) for c in contents], pa.int64()),
+            pa.array(contents, pa.binary()),
+        ],
+        names=["path", "length", "content"],
+    )
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ZIP archive per document, every 50th broken; whole texts inside."""
     documents = spread_table(spark, sf_dir, "documents", "doc_id", "text")
-    return documents.mapInArrow(pack, "path STRING, length BIGINT, content BINARY")
+    return documents.mapInArrow(pack_archives, "path STRING, length BIGINT, content BINARY")

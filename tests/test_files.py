@@ -2,10 +2,12 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from catalogue.inputs import ARCHIVE_BATCH_BYTES, pack_archives
 from folioflow.operators.documents import (
     document_id, map_documents, number_documents, spread_documents,
 )
@@ -160,3 +162,11 @@ def test_tasks_grow_with_the_scan(spark, tmp_path):
         assert found < spark.sparkContext.defaultParallelism
         assert spread_scan(scan).rdd.getNumPartitions() == max(8, 8 * found)
         assert sorted(spread_scan(scan).collect()) == sorted(scan.collect())
+
+
+def test_archives_leave_in_small_batches():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "text": ["x" * 20_000] * 400})
+    made = list(pack_archives([batch]))
+    assert [p for m in made for p in m["path"].to_pylist()] == [f"doc_{i}.zip" for i in range(400)]
+    assert max(sum(m["length"].to_pylist()) for m in made) < 2 * ARCHIVE_BATCH_BYTES
+    assert made[0]["content"][0].as_py() == b"broken" and len(made) > 4
