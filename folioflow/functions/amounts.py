@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import SPACE, bind, matches_near, preceded_by
+from .strings import SPACE, as_column, before, bind, from_first_cue, matches_near, preceded_by
 
 # Cue words, window, scores, currency default, number shapes.
 TOTAL_KEYWORDS = ("total", "grand total", "amount due", "balance due")
@@ -58,13 +58,57 @@ def amount_candidates(
     return F.filter(scored, lambda c: c["value"] >= SMALLEST_AMOUNT)
 
 
-def total_amount(text: Column | str, currency: str = CURRENCY, **options) -> Column:
-    """``struct<value, currency, confidence>``: highest score, then largest value."""
+def _largest_plain(text: Column, plain_digits: bool) -> Column:
+    """The largest amount of a text without cues as a candidate, null without one."""
+    number = PLAIN_NUMBER if plain_digits else GROUPED_NUMBER
+    values = F.transform(
+        F.regexp_extract_all(text, F.lit(f"({number})"), F.lit(1)),
+        lambda value: F.replace(value, F.lit(","), F.lit("")).try_cast("double"),
+    )
+    return bind(
+        F.array_max(values),
+        lambda value: F.when(
+            value >= SMALLEST_AMOUNT,
+            F.struct(F.lit(PLAIN_SCORE).alias("score"), value.alias("value")),
+        ),
+    )
+
+
+def total_amount(
+    text: Column | str,
+    currency: str = CURRENCY,
+    keywords: Sequence[str] = TOTAL_KEYWORDS,
+    window: int = AMOUNT_WINDOW,
+    plain_digits: bool = False,
+    penalise_subtotal: bool = False,
+) -> Column:
+    """``struct<value, currency, confidence>``: highest score, then largest value.
+
+    What stands before the first keyword is searched only if no amount after it is near one.
+    """
+    text = as_column(text)
+    options = (keywords, window, plain_digits, penalise_subtotal)
+    guard = "sub" if penalise_subtotal else ""
+    rest = from_first_cue(text, (*keywords, *(["subtotal"] if guard else [])), guard)
+    if rest is None:
+        best = F.array_max(amount_candidates(text, *options))
+    else:
+
+        def of_both(tail: Column) -> Column:
+            def larger(late: Column) -> Column:
+                plain = _largest_plain(before(text, tail), plain_digits)
+                return F.when(late["score"] == NEAR_SCORE, late).otherwise(
+                    F.array_max(F.array(late, plain))
+                )
+
+            return bind(F.array_max(amount_candidates(tail, *options)), larger)
+
+        best = bind(rest, of_both)
     return bind(
-        F.array_max(amount_candidates(text, **options)),
-        lambda best: F.struct(
-            best["value"].alias("value"),
-            F.when(best.isNotNull(), currency).alias("currency"),
-            F.coalesce(best["score"], F.lit(0.0)).alias("confidence"),
+        best,
+        lambda found: F.struct(
+            found["value"].alias("value"),
+            F.when(found.isNotNull(), currency).alias("currency"),
+            F.coalesce(found["score"], F.lit(0.0)).alias("confidence"),
         ),
     )

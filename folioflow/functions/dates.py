@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import SPACE, bind, matches_near, preceded_by
+from .strings import SPACE, as_column, before, bind, from_first_cue, matches_near, preceded_by
 
 # Cue words, how far left of a date they may stand, scores, date shapes.
 DATE_KEYWORDS = ("invoice date", "date:", "dated:", "bill date")
@@ -17,7 +17,7 @@ PLAIN_SCORE = 0.5
 DATE_SHAPES = (
     r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}",
     r"[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}",
-    rf"[A-Za-z]{{3}}{SPACE}[0-9]{{1,2}},{SPACE}[0-9]{{4}}",
+    rf"[A-Za-z]{{3}}(?![!-~]){SPACE}[0-9]{{1,2}},{SPACE}[0-9]{{4}}",
 )
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -52,6 +52,17 @@ def parse_date(raw: Column, century_pivot: int = 69) -> Column:
     )
 
 
+def _shapes() -> str:
+    """One of the shapes; those in numbers are tried at digits only."""
+    numeric = "|".join(shape for shape in DATE_SHAPES if shape.startswith("[0-9]"))
+    named = "|".join(shape for shape in DATE_SHAPES if not shape.startswith("[0-9]"))
+    return f"(?:(?=[0-9])(?:{numeric})|{named})"
+
+
+# Every shape has a digit before a separator or comma.
+_NEEDS = "[0-9][/,-]"
+
+
 def date_candidates(
     text: Column | str,
     keywords: Sequence[str] = DATE_KEYWORDS,
@@ -59,10 +70,8 @@ def date_candidates(
     century_pivot: int = 69,
 ) -> Column:
     """``array<struct<score, position, value>>`` of the parseable candidates in text order."""
-    shapes = "(?:" + "|".join(DATE_SHAPES) + ")"
-    # Every shape has a digit before a separator or comma.
     found = matches_near(
-        text, shapes, shapes, needs="[0-9][/,-]", near=preceded_by(keywords, window)
+        text, _shapes(), _shapes(), needs=_NEEDS, near=preceded_by(keywords, window)
     )
     scored = F.transform(
         found,
@@ -75,16 +84,61 @@ def date_candidates(
     return F.filter(scored, lambda c: c["value"].isNotNull())
 
 
-def invoice_date(text: Column | str, **options) -> Column:
-    """``struct<value: date, confidence>``: the first candidate with the highest score."""
+def _first_date(text: Column, century_pivot: int) -> Column:
+    """Date of the first parseable candidate, null without one."""
+    found = matches_near(text, _shapes(), _shapes(), needs=_NEEDS)
+    dates = F.transform(found, lambda hit: parse_date(hit["value"], century_pivot))
+    return F.get(F.filter(dates, lambda value: value.isNotNull()), F.lit(0))
+
+
+def _best(candidates: Column) -> Column:
+    """``struct<value, score>`` of the first candidate with the highest score, null without one."""
     ranked = F.transform(
-        date_candidates(text, **options),
+        candidates,
         lambda c: F.struct((-c["score"]).alias("rank"), c["position"], c["value"]),
     )
     return bind(
         F.array_min(ranked),
-        lambda best: F.struct(
-            best["value"].alias("value"),
-            F.coalesce(-best["rank"], F.lit(0.0)).alias("confidence"),
+        lambda best: F.when(
+            best.isNotNull(), F.struct(best["value"].alias("value"), (-best["rank"]).alias("score"))
+        ),
+    )
+
+
+def invoice_date(
+    text: Column | str,
+    keywords: Sequence[str] = DATE_KEYWORDS,
+    window: int = DATE_WINDOW,
+    century_pivot: int = 69,
+) -> Column:
+    """``struct<value: date, confidence>``: the first candidate with the highest score.
+
+    What stands before the first keyword is searched only if no date after it is near one.
+    """
+    text = as_column(text)
+    rest = from_first_cue(text, keywords)
+    if rest is None:
+        best = _best(date_candidates(text, keywords, window, century_pivot))
+    else:
+
+        def of_both(tail: Column) -> Column:
+            def earlier(late: Column) -> Column:
+                first = bind(
+                    _first_date(before(text, tail), century_pivot),
+                    lambda value: F.when(
+                        value.isNotNull(),
+                        F.struct(value.alias("value"), F.lit(PLAIN_SCORE).alias("score")),
+                    ),
+                )
+                return F.when(late["score"] == NEAR_SCORE, late).otherwise(F.coalesce(first, late))
+
+            return bind(_best(date_candidates(tail, keywords, window, century_pivot)), earlier)
+
+        best = bind(rest, of_both)
+    return bind(
+        best,
+        lambda found: F.struct(
+            found["value"].alias("value"),
+            F.coalesce(found["score"], F.lit(0.0)).alias("confidence"),
         ),
     )

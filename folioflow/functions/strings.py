@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -20,6 +21,8 @@ WHITESPACE_CLASS = (
 )
 
 
+_LETTERS = re.compile("[A-Za-z]{3}")
+
 # The same set for Java regular expressions outside classes, faster than a list of ranges.
 SPACE = r"(?U:[\s\x{1c}-\x{1f}])"
 
@@ -54,10 +57,49 @@ def preceded_by(
     needed = [k for k in needed if len(k) <= window]
     initials = "".join(sorted({rf"\x{{{ord(k[0]):x}}}" for k in needed}))
     guard = rf"(?<!\Q{unless_after}\E)" if unless_after else ""
-    contexts = "|".join(rf"\Q{k}\E[\s\S]{{0,{window - len(k)}}}" for k in needed)
+    # Lazy, so that it stops at the value instead of running past it and back.
+    contexts = "|".join(rf"\Q{k}\E(?s:.{{0,{window - len(k)}}}?)" for k in needed)
     return rf"(?:(?i:(?<=((?=[{initials}]){guard}(?:{contexts})){prefix})))?"
 
 
+def from_first_cue(
+    text: Column | str, keywords: Sequence[str], unless_after: str = ""
+) -> Column | None:
+    """The text from its first keyword on, empty without one; null stays null.
+
+    Nothing before it is near a keyword, so that only the rest must be searched for cues. Each
+    keyword must begin with three letters, which keeps values from lying across the cut: no
+    value has a letter but for a named month, whose third letter a blank follows. For other
+    keywords there is no such text, and the answer is None. ``unless_after`` stays with the
+    keyword that follows it.
+    """
+    if not keywords or not all(_LETTERS.match(k) for k in (*keywords, unless_after or "abc")):
+        return None
+    kept = rf"(?:\Q{unless_after}\E)?" if unless_after else ""
+    first = {k[0] for k in (*keywords, *unless_after[:1])}
+    initials = "".join(sorted({c for k in first for c in (k.lower(), k.upper())}))
+    opening = "|".join(rf"\Q{k}\E" for k in keywords)
+    text = as_column(text)
+    met = F.regexp_extract(text, rf"(?=[{initials}])(?i:{kept}(?:{opening}))", 0)
+    # As it is written there, the keyword found first stands nowhere before.
+    return bind(
+        met,
+        lambda keyword: F.when(keyword == "", keyword).otherwise(
+            F.substr(text, F.char_length(_up_to(text, keyword)) + 1)
+        ),
+    )
+
+
+def _up_to(text: Column, part: Column) -> Column:
+    return F.call_function("substring_index", text, part, F.lit(1))
+
+
+def before(text: Column | str, rest: Column) -> Column:
+    """What stands before ``rest``, which the text ends with."""
+    text = as_column(text)
+    return F.substr(text, F.lit(1), F.char_length(text) - F.char_length(rest))
+
+
 def matches_near(
     text: Column | str, value: str, starts: str, needs: str | None = None, **cues: str
 ) -> Column:

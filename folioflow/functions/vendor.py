@@ -15,13 +15,14 @@ LONGER_THAN = 3
 KNOWN_CONFIDENCE = 0.8
 LINE_CONFIDENCE = 0.4
 
-_EDGE = r"^\p{Punct}+|\p{Punct}+$"
+# What is trimmed from words, the same as \p{Punct}.
+_EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def name_words(text: Column | str) -> Column:
     """Lower-cased words without the punctuation around them."""
     words = F.split(F.lower(as_column(text)), f"[{WHITESPACE_CLASS}]+")
-    bare = F.transform(words, lambda word: F.regexp_replace(word, _EDGE, ""))
+    bare = F.transform(words, lambda word: F.btrim(word, F.lit(_EDGE)))
     return F.filter(bare, lambda word: word != "")
 
 
@@ -67,7 +68,7 @@ def known_name(text: Column | str, names: Sequence[str], head_chars: int = HEAD_
 
 
 def _plain_word(word: str) -> str:
-    return word.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    return word.strip(_EDGE)
 
 
 def vendor(text: Column | str, known: Column | None = None) -> Column:
