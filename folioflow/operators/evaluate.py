@@ -28,6 +28,7 @@ class Evaluation:
     details: DataFrame
     skipped: DataFrame
     duplicate_predictions: DataFrame
+    target: float = TARGET_ACCURACY
 
 
 def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.operators.evaluate import FIELDS, Evaluation
+from folioflow.operators.evaluate import FIELDS, Evaluation, confusion_counts, score
+from folioflow.session import scratch_path
 
 
 def write_artifacts(
@@ -62,11 +63,16 @@ def write_evaluation(evaluation: Evaluation, path: str, mode: str = "overwrite")
     ``<path>/details`` holds a JSON line per document, sorted by file within and across the
     parts, so that no row and no task holds all of them. ``<path>/manifest`` has a row per part:
     ``part, rows, first_file, last_file``. ``<path>/summary`` is the document, with counts of
-    details instead of the details. Details are written first and not computed again.
+    details instead of the details. The comparison runs once: its rows are kept in the scratch
+    folder, as ordering them reads them twice and the summary counts them.
     """
     spark = evaluation.details.sparkSession
+    kept = scratch_path(spark, "details")
+    evaluation.details.write.parquet(kept)
+    details = spark.read.schema(evaluation.details.schema).parquet(kept)
+    summary = score(confusion_counts(details), evaluation.target)
     order = ["file_path", "gt_vendor", "gt_date", "gt_amount", "gt_doc_type"]
-    evaluation.details.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(
+    details.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(
         mode
     ).json(f"{path}/details")
     stored = spark.read.schema(evaluation.details.schema).json(f"{path}/details")
@@ -79,7 +85,7 @@ def write_evaluation(evaluation: Evaluation, path: str, mode: str = "overwrite")
         f"{path}/manifest"
     )
     listed = spark.read.schema(manifest.schema).json(f"{path}/manifest")
-    evaluation_report(evaluation.summary, listed).coalesce(1).write.mode(mode).json(
+    evaluation_report(summary, listed).coalesce(1).write.mode(mode).json(
         f"{path}/summary"
     )
 
