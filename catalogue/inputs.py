@@ -165,6 +165,11 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Over how many tasks tokens are dealt, in proportion to the documents; they take more room."""
+    return 2 * spread_tasks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def token_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages ``word_tokens`` covers."""
     last = F.floor((F.size(F.split("text", " ")) - 1) / WORDS_PER_PAGE).cast("int")

@@ -220,7 +220,8 @@ def _page_columns(pages: DataFrame) -> DataFrame:
 
 
 def reading_order(spark, sf_dir):
-    return _page_columns(read_pages(inputs.word_tokens(spark, sf_dir)))
+    tasks = inputs.token_tasks(spark, sf_dir)
+    return _page_columns(read_pages(inputs.word_tokens(spark, sf_dir), tasks=tasks))
 
 
 def engine_fallback_tokens(spark, sf_dir):

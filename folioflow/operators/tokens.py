@@ -72,26 +72,60 @@ def engine_fallback(
     return primary.unionByName(rescued.withColumn("engine", F.lit(engine)))
 
 
-def _sortable() -> Column:
-    """Token with its sort key in front: top-left y, top-left x, reported position."""
-    corner = F.col("bbox")[0]
+def _packed() -> Column:
+    """Token as it travels: the coordinates of four corners by axis, other outlines whole.
+
+    A struct for each corner would take twice the room, in every shuffle and sort.
+    """
+    box = F.col("bbox")
+    plain = F.size(box) == 4
+    for place in range(4):
+        plain = plain & F.get(box, F.lit(place)).isNotNull()
     return F.struct(
-        corner["y"].alias("y"),
-        corner["x"].alias("x"),
-        F.col("seq"),
-        F.struct("text", "confidence", "bbox").alias("token"),
+        "seq", "text", "confidence",
+        F.when(plain, box["x"]).alias("xs"),
+        F.when(plain, box["y"]).alias("ys"),
+        F.when(~F.coalesce(plain, F.lit(False)), box).alias("outline"),
     )
 
 
 def _in_reading_order(collected: Column) -> Column:
-    return F.transform(F.sort_array(collected), lambda entry: entry["token"])
+    """Tokens by top-left y, top-left x, reported position."""
+
+    def sortable(packed: Column) -> Column:
+        other = F.when(packed["ys"].isNull(), packed["outline"][0])
+        return F.struct(
+            F.coalesce(packed["ys"][0], other["y"]).alias("y"),
+            F.coalesce(packed["xs"][0], other["x"]).alias("x"),
+            packed["seq"].alias("seq"),
+            packed.alias("packed"),
+        )
+
+    def token(entry: Column) -> Column:
+        packed = entry["packed"]
+        corners = F.arrays_zip(packed["xs"].alias("x"), packed["ys"].alias("y"))
+        return F.struct(
+            packed["text"].alias("text"), packed["confidence"].alias("confidence"),
+            F.coalesce(corners, packed["outline"]).alias("bbox"),
+        )
 
+    return F.transform(F.sort_array(F.transform(collected, sortable)), token)
 
-def read_pages(tokens: DataFrame, keys: Sequence[str] = PAGE_KEY) -> DataFrame:
-    """One row per page: ``tokens`` in reading order and ``full_text`` joined by blanks."""
+
+def read_pages(
+    tokens: DataFrame, keys: Sequence[str] = PAGE_KEY, tasks: int | None = None
+) -> DataFrame:
+    """One row per page: ``tokens`` in reading order and ``full_text`` joined by blanks.
+
+    Lists of many pages do not fit the memory of a task and are sorted by page, before the
+    shuffle and after it. For large inputs ``tasks`` deals the tokens over so many tasks first,
+    so that they are sorted in small parts only, which need no disk.
+    """
+    packed = tokens.select(*keys, "engine", _packed().alias("_token"))
     return (
-        tokens.groupBy(*keys)
-        .agg(F.min("engine").alias("engine"), F.collect_list(_sortable()).alias("_found"))
+        (packed.repartition(tasks, *keys) if tasks else packed)
+        .groupBy(*keys)
+        .agg(F.min("engine").alias("engine"), F.collect_list("_token").alias("_found"))
         .withColumn("tokens", _in_reading_order(F.col("_found")))
         .select(*keys, "engine", "tokens", tokens_text("tokens").alias("full_text"))
     )
@@ -105,6 +139,7 @@ def read_pages_with_fallback(
     primary_engine: str = PRIMARY_ENGINE,
     fallback_engine: str = FALLBACK_ENGINE,
     together: Sequence[str] = (),
+    tasks: int | None = None,
 ) -> DataFrame:
     """Reading order and engine fallback for every listed page in one shuffle.
 
@@ -114,15 +149,16 @@ def read_pages_with_fallback(
     """
 
     def tagged(tokens: DataFrame, rank: int) -> DataFrame:
-        return tokens.select(*keys, F.lit(rank).alias("_rank"), _sortable().alias("_entry"))
+        return tokens.select(*keys, F.lit(rank).alias("_rank"), _packed().alias("_entry"))
 
-    entry = primary.select(_sortable().alias("e")).schema["e"].dataType
+    entry = primary.select(_packed().alias("e")).schema["e"].dataType
     listed = pages.select(
         *keys, F.lit(0).alias("_rank"), F.lit(None).cast(entry).alias("_entry")
     )
     rows = listed.unionByName(tagged(primary, 1)).unionByName(tagged(secondary, 2))
+    parts = [tasks] if tasks else []
     grouped = (
-        (rows.repartition(*together) if together else rows)
+        (rows.repartition(*parts, *together) if together else rows)
         .groupBy(*keys)
         .agg(
             F.max(F.col("_rank") == 0).alias("_listed"),
