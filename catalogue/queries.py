@@ -239,14 +239,16 @@ def _document_columns(documents: DataFrame) -> DataFrame:
 
 def page_assembly(spark, sf_dir):
     # Pages and then documents are grouped from one partitioning by document.
-    tokens = inputs.word_tokens(spark, sf_dir).repartition("doc_id")
+    tasks = inputs.token_tasks(spark, sf_dir)
+    tokens = inputs.word_tokens(spark, sf_dir).repartition(tasks, "doc_id")
     return _document_columns(assemble_documents(read_pages(tokens)))
 
 
 def documents_with_fallback(spark, sf_dir):
     primary, secondary = inputs.two_engines(spark, sf_dir)
     pages = inputs.token_pages(spark, sf_dir)
-    return _document_columns(documents_from_tokens(primary, secondary, pages))
+    tasks = inputs.token_tasks(spark, sf_dir)
+    return _document_columns(documents_from_tokens(primary, secondary, pages, tasks=tasks))
 
 
 def page_cap(spark, sf_dir):

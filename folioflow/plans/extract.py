@@ -101,14 +101,17 @@ def documents_from_tokens(
     secondary: DataFrame | None = None,
     pages: DataFrame | None = None,
     max_pages: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Document texts from token tables, of all pages or the first ``max_pages``.
 
-    ``pages`` lists the pages that exist; without it only pages with tokens are known.
+    ``pages`` lists the pages that exist; without it only pages with tokens are known. The
+    documents are dealt over ``tasks`` tasks, by default as many as the session shuffles to.
     """
+    parts = [tasks] if tasks else []
     primary = cap_pages(primary, max_pages)
     if secondary is None and pages is None:
-        return assemble_documents(read_pages(primary.repartition("doc_id")))
+        return assemble_documents(read_pages(primary.repartition(*parts, "doc_id")))
     secondary = primary.limit(0) if secondary is None else cap_pages(secondary, max_pages)
     if pages is None:
         pages = primary.select("doc_id", "page").unionByName(secondary.select("doc_id", "page"))
@@ -116,7 +119,7 @@ def documents_from_tokens(
     # Partitioned by document once: page and document assembly both fit this partitioning.
     return assemble_documents(
         read_pages_with_fallback(
-            cap_pages(pages, max_pages), primary, secondary, together=("doc_id",)
+            cap_pages(pages, max_pages), primary, secondary, together=("doc_id",), tasks=tasks
         )
     )
 
