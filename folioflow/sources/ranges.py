@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Bytes of blocks for a task, whose start costs as much as some megabytes, and tasks for a slot.
+TASK_BYTES = 16 * 1024 * 1024
+SLOT_TASKS = 4
+
 _URI = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/]*)(.*)", re.DOTALL)
 
 
@@ -55,10 +59,15 @@ def block_rows(files: DataFrame, block_bytes: int) -> DataFrame:
 def blocks_of(
     files: DataFrame, block_bytes: int, most_tasks: int = 4096
 ) -> tuple[DataFrame, int]:
-    """``path, length, block, begin, stop`` of the blocks of ``path, length``, and their tasks."""
+    """``path, length, block, begin, stop`` of the blocks of ``path, length``, and their tasks.
+
+    A task has about ``TASK_BYTES`` of blocks, read one after another, but every slot has some.
+    """
     blocks = F.ceil(F.col("length") / F.lit(block_bytes))
-    count = files.agg(F.sum(blocks)).first()[0] or 1
-    tasks = min(most_tasks, int(count))
+    count, size = files.agg(F.sum(blocks), F.sum("length")).first()
+    slots = files.sparkSession.sparkContext.defaultParallelism
+    wanted = max(SLOT_TASKS * slots, int(size or 0) // TASK_BYTES)
+    tasks = min(most_tasks, int(count or 1), wanted)
     return block_rows(files, block_bytes).repartition(tasks, "path", "block"), tasks
 
 
