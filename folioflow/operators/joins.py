@@ -51,7 +51,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    hashed: bool = False,
 ) -> DataFrame:
     """Join where ``right`` holds one row per key and a left key may hold most rows.
 
@@ -59,10 +63,15 @@ def lookup_join(
     keeps the planner from reusing the partitioning of a grouped ``right``: both inputs then
     come straight from their own shuffle, which is what lets adaptive execution split a
     skewed left partition over many tasks.
+
+    ``hashed`` is for a ``right`` with far fewer rows than ``left``: a task holds its rows of
+    ``right`` in memory and lets those of ``left`` pass, instead of sorting both. Narrow rows
+    of few keys compress so well that a task may get a hundred millions of them to sort.
     """
     spread = F.xxhash64(*keys)
+    found = right.withColumn("_spread", spread)
     joined = left.withColumn("_spread", spread).join(
-        right.withColumn("_spread", spread), [*keys, "_spread"], how
+        found.hint("shuffle_hash") if hashed else found, [*keys, "_spread"], how
     )
     return joined.drop("_spread")
 

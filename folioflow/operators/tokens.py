@@ -66,9 +66,12 @@ def engine_fallback(
     keys: Sequence[str] = PAGE_KEY,
     engine: str = FALLBACK_ENGINE,
 ) -> DataFrame:
-    """Primary tokens, plus the secondary tokens of pages where primary has none."""
+    """Primary tokens, plus the secondary tokens of pages where primary has none.
+
+    A task holds the keys of its pages, not their tokens.
+    """
     served = primary.select(*keys).distinct()
-    rescued = lookup_join(secondary, served, list(keys), "left_anti")
+    rescued = lookup_join(secondary, served, list(keys), "left_anti", hashed=True)
     return primary.unionByName(rescued.withColumn("engine", F.lit(engine)))
 
 
