@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .strings import as_column
 
+# Fixed value: the first two coordinates of a piece with a comma.
+_PIECE = "(?:^|;)([^,;]*),([^,;]*)"
+
 
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
@@ -44,8 +47,7 @@ def box_height(bbox: Column | str) -> Column:
 
 def bounding_box(points: Column) -> Column:
     """Smallest box around ``array<struct<x, y>>``; null below two points."""
-    xs = F.transform(points, lambda p: p["x"])
-    ys = F.transform(points, lambda p: p["y"])
+    xs, ys = points["x"], points["y"]
     return F.when(
         F.size(points) >= 2,
         box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)),
@@ -57,11 +59,12 @@ def points_from_text(raw: Column | str) -> Column:
 
     A coordinate that is no number is null, see ``half_read``.
     """
-    pieces = F.filter(F.split(as_column(raw), ";"), lambda piece: piece.contains(","))
-    return F.transform(
-        F.transform(pieces, lambda piece: F.split(piece, ",")),
-        lambda xy: point(xy[0].try_cast("double"), xy[1].try_cast("double")),
-    )
+
+    def coordinates(place: int) -> Column:
+        texts = F.regexp_extract_all(as_column(raw), F.lit(_PIECE), F.lit(place))
+        return texts.try_cast("array<double>")
+
+    return F.arrays_zip(coordinates(1).alias("x"), coordinates(2).alias("y"))
 
 
 def half_read(points: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import operator
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,14 +32,15 @@ def attributes(fixed: Mapping[str, Column], children: Column | None = None) -> C
     base = F.create_map(*pieces)
     if children is None:
         return base
-    entries = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
-            for name, value in fixed.items()
-        ]
-    )
-    return F.when(F.size(children) == 0, base).otherwise(
-        bind(F.concat(entries, children), _last_of_each_name)
+    names = F.concat(F.array(*[F.lit(name) for name in fixed]), children["name"])
+    texts = F.concat(F.array(*[v.cast("string") for v in fixed.values()]), children["value"])
+    entries = F.arrays_zip(names.alias("name"), texts.alias("value"))
+    once = F.size(F.array_distinct(names)) == F.size(names)
+    # A name hardly ever comes twice, and looking for its last entry costs more than the rest.
+    return (
+        F.when(F.size(children) == 0, base)
+        .when(once, F.map_from_arrays(names, texts))
+        .otherwise(bind(entries, _last_of_each_name))
     )
 
 
@@ -58,13 +60,11 @@ def number(text: Column, default: float = 0.0) -> Column:
 
 def unreadable(texts: Mapping[str, Column]) -> Column:
     """Names of the texts that are there but say no number."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(text.isNotNull() & text.try_cast("double").isNull(), F.lit(name))
-                for name, text in texts.items()
-            ]
-        )
+    bad = {n: t.isNotNull() & t.try_cast("double").isNull() for n, t in texts.items()}
+    names = F.array_compact(F.array(*[F.when(b, F.lit(n)) for n, b in bad.items()]))
+    # The list is for few rows, and costs more than all the rest.
+    return F.when(functools.reduce(operator.or_, bad.values()), names).otherwise(
+        F.array().cast("array<string>")
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import box_from_centre
 from folioflow.functions.strings import SPACE, strip
+from folioflow.operators.columns import settle
 
 from .listing import list_tree, text_lines
 from .annotations import attach_image_size, attributes, name_classes, order_key, record
@@ -19,25 +20,21 @@ TOOL = "roboflow"
 _NUMBERS = ("_x", "_y", "_w", "_h")
 
 
-def _numbers(value: str) -> Column:
-    """Array of one struct of numbers with a ``readable`` flag, empty below five fields.
+def _numbers(lines: DataFrame) -> DataFrame:
+    """The lines with ``class_id`` and numbers, ``_listed`` with five fields, ``_readable``.
 
     Further fields are ignored.
     """
-
-    def parsed(fields: Column) -> Column:
-        class_id = F.get(fields, F.lit(0)).try_cast("int")
-        numbers = [F.get(fields, F.lit(i)).try_cast("double") for i in range(1, 5)]
-        readable = functools.reduce(
-            operator.and_, [n.isNotNull() for n in numbers], class_id.isNotNull()
-        )
-        return F.struct(
-            readable.alias("readable"), class_id.alias("class_id"),
-            *[n.alias(name) for n, name in zip(numbers, _NUMBERS)],
-        )
-
-    fields = F.array(F.split(strip(value), f"{SPACE}+"))
-    return F.transform(F.filter(fields, lambda f: F.size(f) >= 5), parsed)
+    # Generators keep what is filtered by where it is: a filter on the parsed numbers would be
+    # moved below earlier shuffles and parse every line a second time.
+    split = settle(lines, _fields=F.split(strip("value"), f"{SPACE}+"))
+    class_id = F.get("_fields", F.lit(0)).try_cast("int")
+    numbers = [F.get("_fields", F.lit(i)).try_cast("double") for i in range(1, 5)]
+    parsed = settle(split, class_id=class_id, **dict(zip(_NUMBERS, numbers)))
+    readable = functools.reduce(
+        operator.and_, [F.col(n).isNotNull() for n in ("class_id", *_NUMBERS)]
+    )
+    return parsed.withColumns({"_readable": readable, "_listed": F.size("_fields") >= 5})
 
 
 def box_records(
@@ -46,10 +43,8 @@ def box_records(
     images: DataFrame | None = None,
 ) -> DataFrame:
     """Records of ``stem, value`` lines; in pixels where ``images`` knows the size of a stem."""
-    # Unreadable lines are dropped inside the generator: a filter on the parsed numbers would
-    # be moved below earlier shuffles and parse every line a second time.
-    parsed = lines.select(
-        "stem", F.inline(F.filter(_numbers("value"), lambda n: n["readable"]))
+    parsed = _numbers(lines.select("stem", "value")).filter("_readable").select(
+        "stem", "class_id", *_NUMBERS
     )
     sized = attach_image_size(name_classes(parsed, classes), images)
     attrs = attributes(
@@ -68,8 +63,7 @@ def box_records(
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """Lines with enough fields whose numbers cannot be read."""
-    bad = F.filter(_numbers("value"), lambda n: ~n["readable"])
-    return lines.select("*", F.explode(bad).alias("_bad")).drop("_bad")
+    return _numbers(lines).filter("_listed AND NOT _readable").select(*lines.columns)
 
 
 def read_lines(spark: SparkSession, directory: str) -> DataFrame:

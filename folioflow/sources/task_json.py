@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import bounding_box, box, half_read, percent_to_pixel, point
-from folioflow.functions.strings import bind
 from folioflow.operators.columns import settle
 
 from .annotations import (
@@ -73,64 +72,54 @@ def task_rows(tasks: DataFrame) -> DataFrame:
             percent_to_pixel(F.get(p, F.lit(1)).try_cast("double"), height),
         ),
     )
-    no_box = F.lit(None).cast(
-        "STRUCT<x_min: DOUBLE, y_min: DOUBLE, x_max: DOUBLE, y_max: DOUBLE>"
-    )
-    none = attributes({})
 
-    def entry(label, bbox, attrs, unread=all_read):
+    def entry(names=F.lit(None), points=F.lit(None)):
         return F.struct(
-            label.alias("label"), bbox.alias("bbox"), attrs.alias("attrs"),
-            unread.alias("unreadable"),
-        )
-
-    def polygon(points):
-        unread = F.when(half_read(points), F.array(F.lit("points"))).otherwise(all_read)
-        return entry(
-            first_label(value["polygonlabels"]), bounding_box(points),
-            attributes({"type": F.lit("polygon")}), F.concat(unread, unreadable(sizes)),
+            names.cast("ARRAY<STRING>").alias("names"),
+            points.cast("ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>").alias("points"),
         )
 
-    def image_label(tax_path):
-        label = F.coalesce(F.try_element_at(tax_path, F.lit(-1)), F.lit(UNKNOWN))
-        return entry(label, no_box, none)
-
     kind = r["type"]
+    is_rectangle, is_polygon = kind == "rectanglelabels", kind == "polygonlabels"
     entries = (
-        F.when(
-            kind == "rectanglelabels",
-            F.array(
-                entry(
-                    first_label(value["rectanglelabels"]), rectangle,
-                    attributes({"rotation": F.coalesce(value["rotation"], F.lit("0"))}),
-                    unreadable({**edges, **sizes}),
-                )
-            ),
-        )
-        .when(
-            kind == "polygonlabels",
-            # Under two points there is no box, whether they can be read or not.
-            F.filter(F.array(bind(outline, polygon)), lambda e: e["bbox"].isNotNull()),
-        )
+        F.when(is_rectangle, F.array(entry()))
+        .when(is_polygon, F.array(entry(points=outline)))
         .when(
             kind == "taxonomy",
             F.transform(
                 F.coalesce(value["taxonomy"], F.array(F.expr("CAST(array() AS ARRAY<STRING>)"))),
-                image_label,
+                lambda names: entry(names),
             ),
         )
     )
-    rows = settle(results, entries=entries).select(
-        "file", "id", "path", "a_no", "place", F.posexplode("entries").alias("e_no", "e")
+    # Numbers are read from the rows of the entries: within an array's elements Spark works out
+    # columns that are not asked for, and within a lambda function it compiles nothing.
+    rows = results.select(
+        "file", "id", "path", "a_no", "place", "r", F.posexplode(entries).alias("e_no", "e")
     )
-    return rows.select(
+    points = F.col("e.points")
+    half = F.when(half_read(points), F.array(F.lit("points"))).otherwise(all_read)
+    # Under two points there is no box, whether they can be read or not.
+    return rows.filter(~is_polygon | (F.size(points) >= 2)).select(
         *record(
-            F.col("path"), F.col("e.label"), F.col("e.bbox"), TOOL, F.col("e.attrs"),
+            F.col("path"),
+            F.when(is_rectangle, first_label(value["rectanglelabels"]))
+            .when(is_polygon, first_label(value["polygonlabels"]))
+            .otherwise(F.coalesce(F.try_element_at("e.names", F.lit(-1)), F.lit(UNKNOWN))),
+            F.when(is_rectangle, rectangle).when(is_polygon, bounding_box(points)),
+            TOOL,
+            F.when(
+                is_rectangle, attributes({"rotation": F.coalesce(value["rotation"], F.lit("0"))})
+            )
+            .when(is_polygon, attributes({"type": F.lit("polygon")}))
+            .otherwise(attributes({})),
             order_key(
                 F.col("file"), F.col("id"), F.col("a_no"), F.col("place"), F.col("e_no")
             ),
         ),
-        F.col("e.unreadable").alias("unreadable"),
+        F.when(is_rectangle, unreadable({**edges, **sizes}))
+        .when(is_polygon, F.concat(half, unreadable(sizes)))
+        .otherwise(all_read).alias("unreadable"),
     )
 
 

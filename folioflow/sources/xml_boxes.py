@@ -26,11 +26,13 @@ CORNERS = ("_xtl", "_ytl", "_xbr", "_ybr")
 # Numbers are read as texts, which tell an absent one from an unreadable one.
 _CORNERS = ", ".join(f"{c}: STRING" for c in CORNERS)
 _SHAPE = "ARRAY<STRUCT<_label: STRING, _points: STRING>>"
+_BOX = (
+    f"STRUCT<_label: STRING, _occluded: STRING, {_CORNERS}, "
+    "attribute: ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>>"
+)
 IMAGE_ELEMENT = (
     "_id BIGINT, _name STRING, _width STRING, _height STRING, "
-    f"box ARRAY<STRUCT<_label: STRING, _occluded: STRING, {_CORNERS}, "
-    "attribute: ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>>>, "
-    f"polygon {_SHAPE}, polyline {_SHAPE}"
+    f"box ARRAY<{_BOX}>, polygon {_SHAPE}, polyline {_SHAPE}"
 )
 TRACK_ELEMENT = (
     "_id BIGINT, _label STRING, _source STRING, "
@@ -47,15 +49,15 @@ def _named(shape: Column) -> dict[str, Column]:
 
 
 def _entry(
-    section: int, place: Column, label: Column, bbox: Column, attrs: Column, unread: Column
+    section: int, place: Column, label: Column, box: Column, tag: Column, points: Column
 ) -> Column:
     return F.struct(
         F.lit(section).alias("section"),
         place.alias("place"),
-        F.coalesce(label, F.lit(UNKNOWN)).alias("label"),
-        bbox.alias("bbox"),
-        attrs.alias("attrs"),
-        unread.alias("unreadable"),
+        label.alias("label"),
+        box.cast(_BOX).alias("box"),
+        tag.cast("string").alias("tag"),
+        points.cast("string").alias("points"),
     )
 
 
@@ -64,68 +66,75 @@ def _image_size() -> dict[str, Column]:
 
 
 def _box_entries() -> Column:
-    def entry(b: Column, place: Column) -> Column:
-        children = F.transform(
-            F.coalesce(b["attribute"], F.array()),
-            lambda a: F.struct(
-                F.coalesce(a["_name"], F.lit("")).alias("name"), a["_VALUE"].alias("value")
-            ),
-        )
-        fixed = {
-            "occluded": F.coalesce(b["_occluded"] == "1", F.lit(False)),
-            "image_width": number(F.col("_width")),
-            "image_height": number(F.col("_height")),
-        }
-        unread = unreadable({**_named(b), **_image_size()})
-        return _entry(
-            0, place, b["_label"], _corner_box(b), bind(children, lambda c: attributes(fixed, c)),
-            unread,
-        )
-
-    return F.transform(F.coalesce(F.col("box"), F.array()), entry)
+    nothing = F.lit(None)
+    return F.transform(
+        F.coalesce(F.col("box"), F.array()),
+        lambda b, place: _entry(0, place, b["_label"], b, nothing, nothing),
+    )
 
 
 def _shape_entries() -> Column:
-    """Polygons, then polylines, as bounding boxes; readable ones under two points are dropped."""
+    """Polygons, then polylines."""
 
     def tagged(tag: str) -> Column:
         return F.transform(
             F.coalesce(F.col(tag), F.array()),
             lambda s: F.struct(
                 F.lit(tag).alias("tag"), s["_label"].alias("label"),
-                points_from_text(s["_points"]).alias("points"),
+                s["_points"].alias("points"),
             ),
         )
 
-    def entry(s: Column, place: Column) -> Column:
-        unread = F.concat(
-            F.when(half_read(s["points"]), F.array(F.lit("points"))).otherwise(
-                F.array().cast("array<string>")
-            ),
-            unreadable(_image_size()),
-        )
-        return _entry(
-            1, place, s["label"], bounding_box(s["points"]), attributes({"type": s["tag"]}), unread
-        )
+    return bind(
+        F.concat(tagged("polygon"), tagged("polyline")),
+        lambda shapes: F.transform(
+            shapes,
+            lambda s, place: _entry(1, place, s["label"], F.lit(None), s["tag"], s["points"]),
+        ),
+    )
+
 
-    entries = bind(
-        F.concat(tagged("polygon"), tagged("polyline")), lambda shapes: F.transform(shapes, entry)
+def _box_attributes(b: Column) -> Column:
+    children = F.transform(
+        F.coalesce(b["attribute"], F.array()),
+        lambda a: F.struct(
+            F.coalesce(a["_name"], F.lit("")).alias("name"), a["_VALUE"].alias("value")
+        ),
     )
-    return F.filter(entries, lambda e: e["bbox"].isNotNull() | (F.size(e["unreadable"]) > 0))
+    fixed = {
+        "occluded": F.coalesce(b["_occluded"] == "1", F.lit(False)),
+        "image_width": number(F.col("_width")),
+        "image_height": number(F.col("_height")),
+    }
+    return attributes(fixed, children)
 
 
 def _image_rows(images: DataFrame, entries: Column) -> DataFrame:
-    listed = settle(
-        images.select("file", "_id", "_name", "_width", "_height", "box", "polygon", "polyline"),
-        entries=entries,
+    """A row per entry; readable shapes under two points are dropped.
+
+    Numbers are read from the rows of the entries: within a lambda function Spark compiles
+    nothing, and works out columns that are not asked for.
+    """
+    listed = images.select(
+        "file", "_id", "_name", "_width", "_height", F.explode(entries).alias("e")
+    )
+    rows = settle(listed, points=points_from_text("e.points"))
+    b, points, is_box = F.col("e.box"), F.col("points"), F.col("e.section") == 0
+    half = F.when(half_read(points), F.array(F.lit("points"))).otherwise(
+        F.array().cast("array<string>")
     )
-    return listed.select("file", "_id", "_name", F.explode("entries").alias("e")).select(
+    unread = F.when(is_box, unreadable({**_named(b), **_image_size()})).otherwise(
+        F.concat(half, unreadable(_image_size()))
+    )
+    outlined = F.coalesce(F.size(points) >= 2, F.lit(False))
+    return rows.filter(is_box | outlined | (F.size(unread) > 0)).select(
         *record(
-            F.coalesce("_name", F.lit(UNKNOWN)), F.col("e.label"), F.col("e.bbox"), TOOL,
-            F.col("e.attrs"),
+            F.coalesce("_name", F.lit(UNKNOWN)), F.coalesce("e.label", F.lit(UNKNOWN)),
+            F.when(is_box, _corner_box(b)).otherwise(bounding_box(points)), TOOL,
+            F.when(is_box, _box_attributes(b)).otherwise(attributes({"type": F.col("e.tag")})),
             order_key(F.col("file"), F.col("_id"), F.col("e.section"), F.col("e.place")),
         ),
-        F.col("e.unreadable").alias("unreadable"),
+        unread.alias("unreadable"),
     )
 
 
