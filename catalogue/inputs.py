@@ -271,6 +271,12 @@ def _damaged(element: Column, key: Column, *changes: tuple[int, str, str]) -> Co
     return element
 
 
+def numbered(before: str, number: Column, after: str) -> Column:
+    """A name with a number in it, without a formatter for each row."""
+    text = F.coalesce(number.cast("string"), F.lit("null"))
+    return F.concat(F.lit(before), text, F.lit(after))
+
+
 def write_xml_files(spark: SparkSession, sf_dir: str, path: str) -> None:
     """The image and track elements as files, some with numbers that cannot be read."""
     image_id = F.regexp_extract("xml", 'id="([0-9]+)"', 1).cast("bigint")
@@ -281,16 +287,16 @@ def write_xml_files(spark: SparkSession, sf_dir: str, path: str) -> None:
     tracks = _damaged(F.col("xml"), image_id, (29, 'xbr="3"', 'xbr="three"'))
     number = F.floor(image_id / ITEMS_PER_FILE)
     elements = xml_images(spark, sf_dir).select(
-        images.alias("xml"), F.format_string("images_%d.xml", number).alias("name")
+        images.alias("xml"), numbered("images_", number, ".xml").alias("name")
     ).unionByName(
         xml_tracks(spark, sf_dir).select(
-            tracks.alias("xml"), F.format_string("tracks_%d.xml", number).alias("name")
+            tracks.alias("xml"), numbered("tracks_", number, ".xml").alias("name")
         )
     )
     files = elements.groupBy("name").agg(F.array_join(F.collect_list("xml"), "\n").alias("all"))
     head = F.lit('<?xml version="1.0"?>\n<annotations>\n')
     whole = F.concat(head, "all", F.lit("\n</annotations>"))
-    store_files(files.select("name", F.encode(whole, "UTF-8").alias("content")), path)
+    store_files(files.select("name", whole.cast("binary").alias("content")), path)
 
 
 def write_task_arrays(spark: SparkSession, sf_dir: str, path: str) -> None:

@@ -69,7 +69,12 @@ def points_from_text(raw: Column | str) -> Column:
 
 def half_read(points: Column) -> Column:
     """Whether a point lacks a coordinate."""
-    return F.exists(points, lambda p: p["x"].isNull() | p["y"].isNull())
+
+    def lacking(coordinates: Column) -> Column:
+        # Sorting puts nulls first and is compiled, other than lambda functions.
+        return (F.size(coordinates) > 0) & F.get(F.sort_array(coordinates), F.lit(0)).isNull()
+
+    return lacking(points["x"]) | lacking(points["y"])
 
 
 def percent_to_pixel(percent: Column, size: Column) -> Column:

@@ -58,9 +58,12 @@ def number(text: Column, default: float = 0.0) -> Column:
     return F.coalesce(text.try_cast("double"), F.lit(default))
 
 
-def unreadable(texts: Mapping[str, Column]) -> Column:
-    """Names of the texts that are there but say no number."""
-    bad = {n: t.isNotNull() & t.try_cast("double").isNull() for n, t in texts.items()}
+def unreadable(
+    texts: Mapping[str, Column], numbers: Mapping[str, Column] | None = None
+) -> Column:
+    """Names of the texts that are there but say no number; ``numbers``: what they say, if known."""
+    said = numbers or {n: t.try_cast("double") for n, t in texts.items()}
+    bad = {n: t.isNotNull() & said[n].isNull() for n, t in texts.items()}
     names = F.array_compact(F.array(*[F.when(b, F.lit(n)) for n, b in bad.items()]))
     # The list is for few rows, and costs more than all the rest.
     return F.when(functools.reduce(operator.or_, bad.values()), names).otherwise(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import bounding_box, box, half_read, points_from_text
-from folioflow.functions.strings import bind
 from folioflow.operators.columns import settle
 
 from .annotations import (
@@ -23,6 +22,7 @@ from .annotations import (
 
 TOOL = "cvat"
 CORNERS = ("_xtl", "_ytl", "_xbr", "_ybr")
+SIZES = ("_width", "_height")
 # Numbers are read as texts, which tell an absent one from an unreadable one.
 _CORNERS = ", ".join(f"{c}: STRING" for c in CORNERS)
 _SHAPE = "ARRAY<STRUCT<_label: STRING, _points: STRING>>"
@@ -48,91 +48,89 @@ def _named(shape: Column) -> dict[str, Column]:
     return {n[1:]: shape[n] for n in CORNERS}
 
 
-def _entry(
-    section: int, place: Column, label: Column, box: Column, tag: Column, points: Column
-) -> Column:
-    return F.struct(
-        F.lit(section).alias("section"),
-        place.alias("place"),
-        label.alias("label"),
-        box.cast(_BOX).alias("box"),
-        tag.cast("string").alias("tag"),
-        points.cast("string").alias("points"),
-    )
-
-
-def _image_size() -> dict[str, Column]:
-    return {"width": F.col("_width"), "height": F.col("_height")}
-
+def _box_attributes(b: Column, width: Column, height: Column) -> Column:
+    given = F.coalesce(b["attribute"], F.array())
+    names = given["_name"]
+    # Hardly any lacks its name, and lambda functions are not compiled.
+    nameless = (F.size(names) > 0) & F.get(F.sort_array(names), F.lit(0)).isNull()
+    named = F.when(
+        nameless, F.transform(names, lambda n: F.coalesce(n, F.lit("")))
+    ).otherwise(names)
+    fixed = {
+        "occluded": F.coalesce(b["_occluded"] == "1", F.lit(False)),
+        "image_width": width,
+        "image_height": height,
+    }
+    return attributes(fixed, F.arrays_zip(named.alias("name"), given["_VALUE"].alias("value")))
 
-def _box_entries() -> Column:
-    nothing = F.lit(None)
-    return F.transform(
-        F.coalesce(F.col("box"), F.array()),
-        lambda b, place: _entry(0, place, b["_label"], b, nothing, nothing),
-    )
 
+def _listed(images: DataFrame, boxes: bool, shapes: bool) -> DataFrame:
+    """A row per box, polygon and polyline of an image, in this order, by numbers.
 
-def _shape_entries() -> Column:
-    """Polygons, then polylines."""
+    The lists are not put together by lambda functions, which Spark does not compile. What the
+    image says is read once for all its rows.
+    """
 
-    def tagged(tag: str) -> Column:
-        return F.transform(
-            F.coalesce(F.col(tag), F.array()),
-            lambda s: F.struct(
-                F.lit(tag).alias("tag"), s["_label"].alias("label"),
-                s["_points"].alias("points"),
-            ),
-        )
+    def count(name: str) -> Column:
+        return F.coalesce(F.size(name), F.lit(0))
 
-    return bind(
-        F.concat(tagged("polygon"), tagged("polyline")),
-        lambda shapes: F.transform(
-            shapes,
-            lambda s, place: _entry(1, place, s["label"], F.lit(None), s["tag"], s["points"]),
-        ),
+    sized = settle(
+        images,
+        boxes=count("box"), polygons=count("polygon"), polylines=count("polyline"),
+        **{f"read{n}": F.col(n).try_cast("double") for n in SIZES},
+        **{f"text{n}": number(F.col(n)).cast("string") for n in SIZES},
     )
-
-
-def _box_attributes(b: Column) -> Column:
-    children = F.transform(
-        F.coalesce(b["attribute"], F.array()),
-        lambda a: F.struct(
-            F.coalesce(a["_name"], F.lit("")).alias("name"), a["_VALUE"].alias("value")
-        ),
+    begin = F.lit(0) if boxes else F.col("boxes")
+    wanted = [F.col("boxes")] * boxes + [F.col("polygons") + F.col("polylines")] * shapes
+    at = begin + F.col("n")
+    shape = at - F.col("boxes")
+    is_polygon = shape < F.col("polygons")
+    return sized.select(
+        "*", F.posexplode(F.array_repeat(F.lit(True), sum(wanted, F.lit(0)))).alias("n", "_there")
+    ).select(
+        "file", "_id", "_name", *SIZES, *[f"{kind}{n}" for kind in ("read", "text") for n in SIZES],
+        (shape < 0).alias("is_box"),
+        F.when(shape < 0, at).otherwise(shape).alias("place"),
+        F.get("box", at).alias("b"),
+        F.when(is_polygon, "polygon").otherwise("polyline").alias("tag"),
+        F.when(is_polygon, F.get("polygon", shape)).otherwise(
+            F.get("polyline", shape - F.col("polygons"))
+        ).alias("s"),
     )
-    fixed = {
-        "occluded": F.coalesce(b["_occluded"] == "1", F.lit(False)),
-        "image_width": number(F.col("_width")),
-        "image_height": number(F.col("_height")),
-    }
-    return attributes(fixed, children)
 
 
-def _image_rows(images: DataFrame, entries: Column) -> DataFrame:
+def _image_rows(images: DataFrame, boxes: bool = True, shapes: bool = True) -> DataFrame:
     """A row per entry; readable shapes under two points are dropped.
 
-    Numbers are read from the rows of the entries: within a lambda function Spark compiles
-    nothing, and works out columns that are not asked for.
+    Numbers are read once for a row, before it is looked whether they all could be read.
     """
-    listed = images.select(
-        "file", "_id", "_name", "_width", "_height", F.explode(entries).alias("e")
+    rows = settle(
+        _listed(images, boxes, shapes),
+        points=points_from_text("s._points"),
+        **{f"read{n}": F.col(f"b.{n}").try_cast("double") for n in CORNERS},
     )
-    rows = settle(listed, points=points_from_text("e.points"))
-    b, points, is_box = F.col("e.box"), F.col("points"), F.col("e.section") == 0
+    b, points, is_box = F.col("b"), F.col("points"), F.col("is_box")
+    read = {n[1:]: F.col(f"read{n}") for n in (*CORNERS, *SIZES)}
+    size = {n[1:]: F.col(n) for n in SIZES}
     half = F.when(half_read(points), F.array(F.lit("points"))).otherwise(
         F.array().cast("array<string>")
     )
-    unread = F.when(is_box, unreadable({**_named(b), **_image_size()})).otherwise(
-        F.concat(half, unreadable(_image_size()))
+    unread = F.when(is_box, unreadable({**_named(b), **size}, read)).otherwise(
+        F.concat(half, unreadable(size, read))
     )
     outlined = F.coalesce(F.size(points) >= 2, F.lit(False))
+    corners = box(*[F.coalesce(f"read{n}", F.lit(0.0)) for n in CORNERS])
     return rows.filter(is_box | outlined | (F.size(unread) > 0)).select(
         *record(
-            F.coalesce("_name", F.lit(UNKNOWN)), F.coalesce("e.label", F.lit(UNKNOWN)),
-            F.when(is_box, _corner_box(b)).otherwise(bounding_box(points)), TOOL,
-            F.when(is_box, _box_attributes(b)).otherwise(attributes({"type": F.col("e.tag")})),
-            order_key(F.col("file"), F.col("_id"), F.col("e.section"), F.col("e.place")),
+            F.coalesce("_name", F.lit(UNKNOWN)),
+            F.coalesce(F.when(is_box, b["_label"]).otherwise(F.col("s._label")), F.lit(UNKNOWN)),
+            F.when(is_box, corners).otherwise(bounding_box(points)), TOOL,
+            F.when(is_box, _box_attributes(b, *[F.col(f"text{n}") for n in SIZES])).otherwise(
+                attributes({"type": F.col("tag")})
+            ),
+            order_key(
+                F.col("file"), F.col("_id"), F.when(is_box, 0).otherwise(1), F.col("place")
+            ),
         ),
         unread.alias("unreadable"),
     )
@@ -145,17 +143,17 @@ def image_rows(images: DataFrame) -> DataFrame:
     cannot be read, of a box or of its image, is named in ``unreadable``, as is ``points`` where
     a coordinate of a shape is no number; ``readable`` and ``rejected`` part the rows.
     """
-    return _image_rows(images, F.concat(_box_entries(), _shape_entries()))
+    return _image_rows(images)
 
 
 def image_boxes(images: DataFrame) -> DataFrame:
     """Records of the readable boxes in parsed image elements (``IMAGE_ELEMENT`` plus ``file``)."""
-    return readable(_image_rows(images, _box_entries()))
+    return readable(_image_rows(images, shapes=False))
 
 
 def image_shapes(images: DataFrame) -> DataFrame:
     """Records of readable polygons, then polylines, as bounding boxes; under two points dropped."""
-    return readable(_image_rows(images, _shape_entries()))
+    return readable(_image_rows(images, boxes=False))
 
 
 def track_rows(tracks: DataFrame) -> DataFrame:
