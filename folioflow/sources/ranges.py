@@ -71,6 +71,15 @@ def blocks_of(
     return block_rows(files, block_bytes).repartition(tasks, "path", "block"), tasks
 
 
+def store_file(directory: str, name: str, content: bytes | memoryview | pa.Buffer) -> None:
+    """Write a file below a directory, over one of that name."""
+    system, folder = located(directory)
+    path = f"{folder}/{name}"
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path) as out:
+        out.write(content)
+
+
 def store_files(files: DataFrame, directory: str) -> None:
     """Write ``name, content`` rows as files below a directory.
 
@@ -78,14 +87,10 @@ def store_files(files: DataFrame, directory: str) -> None:
     """
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = located(directory)
         for batch in batches:
             names = batch.column("name").to_pylist()
             for name, content in zip(names, batch.column("content")):
-                path = f"{folder}/{name}"
-                system.create_dir(path.rpartition("/")[0], recursive=True)
-                with system.open_output_stream(path) as out:
-                    out.write(content.as_buffer())
+                store_file(directory, name, content.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], names=["files"])
 
     files.select("name", "content").mapInArrow(write, "files BIGINT").agg(F.sum("files")).collect()
