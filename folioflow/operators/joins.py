@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 SMALL_SIDE_ROWS = 100_000
 SMALL_SIDE_BYTES = 64 * 1024 * 1024
+# A table of bits for keys: blocks of 64 numbers of 64 bits, 16 MB in all for any number of keys.
+BIT_BLOCKS = 1 << 15
+BLOCK_NUMBERS = 64
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -79,3 +82,42 @@ def lookup_join(
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their row counts."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+
+
+def _bit_place(keys: Sequence[Column | str]) -> tuple[Column, Column, Column]:
+    """Block, number in the block and bit of the number for a key."""
+    code = F.xxhash64(*keys)
+    block = F.pmod(F.shiftright(code, 12), F.lit(BIT_BLOCKS)).cast("int")
+    number = F.pmod(code, F.lit(BLOCK_NUMBERS)).cast("int")
+    return block, number, F.pmod(F.shiftright(code, 6), F.lit(64)).cast("int")
+
+
+def key_bits(df: DataFrame, *keys: str) -> DataFrame:
+    """``_block, _bits``: a bit set for each key of ``df``, for ``possible_keys``."""
+    block, number, bit = _bit_place(keys)
+    one = F.lit(1).cast("bigint")
+    numbers = (
+        df.select(block.alias("_block"), number.alias("_number"), bit.alias("_bit"))
+        .groupBy("_block", "_number")
+        .agg(F.bit_or(F.call_function("shiftleft", one, F.col("_bit"))).alias("_set"))
+    )
+    placed = F.map_from_entries(F.collect_list(F.struct("_number", "_set")))
+    return numbers.groupBy("_block").agg(placed.alias("_placed")).select(
+        "_block",
+        F.transform(
+            F.sequence(F.lit(0), F.lit(BLOCK_NUMBERS - 1)),
+            lambda n: F.coalesce(F.try_element_at("_placed", n), F.lit(0).cast("bigint")),
+        ).alias("_bits"),
+    )
+
+
+def possible_keys(df: DataFrame, bits: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``df`` whose key may be among those of ``bits``, without a shuffle of ``df``.
+
+    All that are among them stay, and few others: one in 25 with five million keys. What needs
+    the keys exactly joins the rows that are left, which are far fewer where most keys are others.
+    """
+    block, number, bit = _bit_place(keys)
+    # Nothing but the rows of df goes on, the bits stay in the join.
+    is_set = F.getbit(F.get("_bits", number), bit) == 1
+    return df.join(F.broadcast(bits), (F.col("_block") == block) & is_set, "left_semi")

@@ -12,7 +12,7 @@ from folioflow.functions.vendor import HEAD_CHARS, name_words, normalised_name,
 from folioflow.session import scratch_path
 
 from .columns import settle
-from .joins import small_side
+from .joins import key_bits, possible_keys, small_side
 
 # Candidates of one run that a task joins, where the names are too many to broadcast.
 HOT_ROWS = 100_000
@@ -24,13 +24,18 @@ class NameIndex:
 
     ``runs`` has a row per distinct run of words: ``_run, vendor``. ``firsts`` has a row per
     word that opens a name: ``_first`` and the ``_lengths`` of the names it opens. Both are
-    stored, and marked for broadcast if that is small; ``spread`` says that runs are not.
+    stored, and marked for broadcast if that is small; ``spread`` says that runs are not. Then
+    ``lengths`` has those of all names, and ``first_bits`` and ``run_bits`` leave out most words
+    and runs that are no name's before anything is shuffled.
     """
 
     runs: DataFrame
     firsts: DataFrame
     spread: bool
     head_chars: int
+    lengths: tuple[int, ...] = ()
+    first_bits: DataFrame | None = None
+    run_bits: DataFrame | None = None
 
 
 def name_index(names: DataFrame, name: str = "name", head_chars: int = HEAD_CHARS) -> NameIndex:
@@ -53,7 +58,15 @@ def name_index(names: DataFrame, name: str = "name", head_chars: int = HEAD_CHAR
     opening.write.parquet(f"{path}/firsts")
     firsts = spark.read.schema(opening.schema).parquet(f"{path}/firsts")
     small = small_side(runs)
-    return NameIndex(small, small_side(firsts), small is runs, head_chars)
+    if small is not runs:
+        return NameIndex(small, small_side(firsts), False, head_chars)
+    lengths = firsts.select(F.explode("_lengths").alias("n")).distinct().collect()
+    bits = {}
+    for part, table, key in (("first_bits", firsts, "_first"), ("run_bits", runs, "_run")):
+        marked = key_bits(table, key)
+        marked.write.parquet(f"{path}/{part}")
+        bits[part] = spark.read.schema(marked.schema).parquet(f"{path}/{part}")
+    return NameIndex(runs, firsts, True, head_chars, tuple(sorted(r.n for r in lengths)), **bits)
 
 
 def vendor_mentions(
@@ -69,24 +82,31 @@ def vendor_mentions(
     A word of the head that opens no name goes no further. For the others, runs of the lengths
     of the names they open are matched to the names by equality, so the work grows with the
     texts and not with texts times names. With a ``NameIndex`` no job runs until the result is
-    asked for; a table is indexed first. Where the names are too many to broadcast, the runs
-    are shuffled, those met most often alone in parts. Documents without a mention have no
-    row; a null text has none, and rows of one id are one document.
+    asked for; a table is indexed first. Where the names are too many to broadcast, bits tell
+    words and runs that are no name's, and runs that may be one are shuffled, those met most often
+    alone in parts; words and texts stay in place. Documents without a mention have no row; a null
+    text has none, and rows of one id are one document.
     """
     index = names if isinstance(names, NameIndex) else name_index(names, name, head_chars)
     heads = documents.select(doc_id, text_head(text, index.head_chars).alias("_head"))
     worded = settle(heads, _words=name_words("_head"))
-    opening = worded.select(doc_id, "_words", F.posexplode("_words").alias("_at", "_word")).join(
-        index.firsts, F.col("_word") == F.col("_first")
-    )
+    words = worded.select(doc_id, "_words", F.posexplode("_words").alias("_at", "_word"))
+    if index.spread:
+        lengths = F.array(*map(F.lit, index.lengths)).cast("array<int>")
+        opening = possible_keys(words, index.first_bits, "_word").withColumn("_lengths", lengths)
+    else:
+        opening = words.join(index.firsts, F.col("_word") == F.col("_first"))
     fitting = F.filter("_lengths", lambda n: F.col("_at") + n <= F.size("_words"))
     candidates = settle(
         opening.select(doc_id, "_words", "_at", F.explode(fitting).alias("_n")),
         _met=F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_n")), " "),
     ).drop("_words")
-    found = _spread_runs(candidates, index.runs, doc_id) if index.spread else candidates.join(
-        index.runs, F.col("_met") == F.col("_run")
-    )
+    if index.spread:
+        found = _spread_runs(
+            possible_keys(candidates, index.run_bits, "_met"), index.runs, doc_id
+        )
+    else:
+        found = candidates.join(index.runs, F.col("_met") == F.col("_run"))
     return found.groupBy(doc_id).agg(
         F.min_by("vendor", F.struct("_at", (-F.col("_n")).alias("_longest"))).alias("vendor")
     )
@@ -94,6 +114,9 @@ def vendor_mentions(
 
 def _spread_runs(candidates: DataFrame, runs: DataFrame, doc_id: str) -> DataFrame:
     """Join where a run may be met by most documents: such runs are counted and salted alone."""
+    # Both uses read one shuffle: settled, neither asks it for fewer columns than the other.
+    dealt = candidates.repartition(doc_id, "_at")
+    candidates = dealt.select(F.inline(F.array(F.struct(*dealt.columns))))
     # One run for each HOT_ROWS candidates at most.
     hot = F.broadcast(
         candidates.groupBy(F.col("_met").alias("_hot"))
