@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import zipfile
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from folioflow.sources.ranges import store_file, store_files
 WORDS_PER_PAGE = 200
 # Items of an export file, whatever the table's size.
 ITEMS_PER_FILE = 2000
+# Text that a task takes apart into tokens.
+TOKENIZED_BYTES = 12 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,7 +149,13 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     Coordinates follow from the word position so that reading order differs from word order
     and some tokens share a corner.
     """
-    documents = spread_table(spark, sf_dir, "documents", "doc_id", "text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Tokens take thirty times the room of their text, and a task sorts its own for the shuffle.
+    size = documents.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    slots = spark.sparkContext.defaultParallelism
+    tasks = max(slots, math.ceil(size / TOKENIZED_BYTES))
+    if documents.rdd.getNumPartitions() < tasks:
+        documents = documents.repartition(tasks)
     words = settle(documents.withColumnRenamed("text", "full"), words=F.split("full", " ")).select(
         "doc_id", F.posexplode("words").alias("pos", "text")
     )

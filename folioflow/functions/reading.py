@@ -24,7 +24,7 @@ def in_reading_order(tokens: Column | str) -> Column:
 
 def tokens_text(tokens: Column | str) -> Column:
     """Token texts joined by blanks, in array order."""
-    return F.array_join(F.transform(as_column(tokens), lambda token: token["text"]), " ")
+    return F.array_join(as_column(tokens)["text"], " ")
 
 
 def read_page_array(pages: Column | str, max_pages: int | None = None) -> Column:

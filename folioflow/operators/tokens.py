@@ -92,27 +92,24 @@ def _packed() -> Column:
     )
 
 
-def _in_reading_order(collected: Column) -> Column:
-    """Tokens by top-left y, top-left x, reported position."""
-
-    def sortable(packed: Column) -> Column:
-        other = F.when(packed["ys"].isNull(), packed["outline"][0])
-        return F.struct(
-            F.coalesce(packed["ys"][0], other["y"]).alias("y"),
-            F.coalesce(packed["xs"][0], other["x"]).alias("x"),
-            packed["seq"].alias("seq"),
-            packed.alias("packed"),
-        )
-
-    def token(entry: Column) -> Column:
-        packed = entry["packed"]
-        corners = F.arrays_zip(packed["xs"].alias("x"), packed["ys"].alias("y"))
-        return F.struct(
+def _unpacked(packed: Column) -> Column:
+    """The token with its place in reading order before it: top-left y, x, reported position."""
+    corners = F.arrays_zip(packed["xs"].alias("x"), packed["ys"].alias("y"))
+    x, y = (F.get(packed[axis], F.lit(0)) for axis in ("xs", "ys"))
+    other = F.get(packed["outline"], F.lit(0))
+    return F.struct(
+        F.coalesce(y, other["y"]).alias("y"), F.coalesce(x, other["x"]).alias("x"),
+        packed["seq"].alias("seq"),
+        F.struct(
             packed["text"].alias("text"), packed["confidence"].alias("confidence"),
             F.coalesce(corners, packed["outline"]).alias("bbox"),
-        )
+        ).alias("token"),
+    )
 
-    return F.transform(F.sort_array(F.transform(collected, sortable)), token)
+
+def _in_reading_order(unpacked: Column) -> Column:
+    """The tokens of a page, sorted by their places."""
+    return F.sort_array(unpacked)["token"]
 
 
 def read_pages(
@@ -124,12 +121,16 @@ def read_pages(
     shuffle and after it. For large inputs ``tasks`` deals the tokens over so many tasks first,
     so that they are sorted in small parts only, which need no disk.
     """
-    packed = tokens.select(*keys, "engine", _packed().alias("_token"))
+    rows, found = tokens.select(*keys, "engine", _packed().alias("_token")), F.col("_found")
+    if tasks:
+        # Unpacked row by row where tokens arrive, which takes less time than list by list.
+        rows = rows.repartition(tasks, *keys).withColumn("_token", _unpacked(F.col("_token")))
+    else:
+        found = F.transform(found, _unpacked)
     return (
-        (packed.repartition(tasks, *keys) if tasks else packed)
-        .groupBy(*keys)
+        rows.groupBy(*keys)
         .agg(F.min("engine").alias("engine"), F.collect_list("_token").alias("_found"))
-        .withColumn("tokens", _in_reading_order(F.col("_found")))
+        .withColumn("tokens", _in_reading_order(found))
         .select(*keys, "engine", "tokens", tokens_text("tokens").alias("full_text"))
     )
 
@@ -180,10 +181,17 @@ def read_pages_with_fallback(
         *keys, F.lit(0).alias("_rank"), F.lit(None).cast(entry).alias("_entry")
     )
     rows = listed.unionByName(tagged(primary, 1)).unionByName(tagged(secondary, 2))
-    parts = [tasks] if tasks else []
+    served = F.size("_primary") > 0
+    found = F.when(served, F.col("_primary")).otherwise(F.col("_secondary"))
+    if together:
+        parts = [tasks] if tasks else []
+        # As in read_pages, unpacked where tokens arrive.
+        rows = rows.repartition(*parts, *together)
+        rows = rows.withColumn("_entry", _unpacked(F.col("_entry")))
+    else:
+        found = F.transform(found, _unpacked)
     grouped = (
-        (rows.repartition(*parts, *together) if together else rows)
-        .groupBy(*keys)
+        rows.groupBy(*keys)
         .agg(
             F.max(F.col("_rank") == 0).alias("_listed"),
             F.collect_list(F.when(F.col("_rank") == 1, F.col("_entry"))).alias("_primary"),
@@ -191,12 +199,8 @@ def read_pages_with_fallback(
         )
         .filter("_listed")
     )
-    served = F.size("_primary") > 0
     return (
-        grouped.withColumn(
-            "tokens",
-            _in_reading_order(F.when(served, F.col("_primary")).otherwise(F.col("_secondary"))),
-        )
+        grouped.withColumn("tokens", _in_reading_order(found))
         .withColumn("engine", F.when(served, primary_engine).otherwise(fallback_engine))
         .select(*keys, "engine", "tokens", tokens_text("tokens").alias("full_text"))
     )
