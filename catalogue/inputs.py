@@ -143,19 +143,29 @@ def bill_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of every document as a token on pages of 200 words.
+def bounded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in tasks whose tokens fit their memory, for a shuffle of the texts.
 
-    Coordinates follow from the word position so that reading order differs from word order
-    and some tokens share a corner.
+    Tokens take thirty times the room of their text, and a task holds its own to shuffle them.
     """
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # Tokens take thirty times the room of their text, and a task sorts its own for the shuffle.
     size = documents.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     slots = spark.sparkContext.defaultParallelism
     tasks = max(slots, math.ceil(size / TOKENIZED_BYTES))
-    if documents.rdd.getNumPartitions() < tasks:
-        documents = documents.repartition(tasks)
+    few = documents.rdd.getNumPartitions() < tasks
+    return documents.repartition(tasks) if few else documents
+
+
+def word_tokens(spark: SparkSession, sf_dir: str, bounded: bool = False) -> DataFrame:
+    """Every word of every document as a token on pages of 200 words.
+
+    Coordinates follow from the word position so that reading order differs from word order
+    and some tokens share a corner. ``bounded`` is for tokens of which much is shuffled.
+    """
+    if bounded:
+        documents = bounded_documents(spark, sf_dir)
+    else:
+        documents = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     words = settle(documents.withColumnRenamed("text", "full"), words=F.split("full", " ")).select(
         "doc_id", F.posexplode("words").alias("pos", "text")
     )
@@ -187,9 +197,11 @@ def token_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def two_engines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def two_engines(
+    spark: SparkSession, sf_dir: str, bounded: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Primary tokens with a fifth of the pages empty, secondary with a fifteenth empty."""
-    tokens = word_tokens(spark, sf_dir)
+    tokens = word_tokens(spark, sf_dir, bounded)
     page_no = F.col("doc_id") + F.col("page")
     primary = tokens.filter(page_no % 5 != 0)
     secondary = tokens.filter(page_no % 15 != 0).withColumn("text", F.lower("text"))

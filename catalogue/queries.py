@@ -245,7 +245,7 @@ def page_assembly(spark, sf_dir):
 
 
 def documents_with_fallback(spark, sf_dir):
-    primary, secondary = inputs.two_engines(spark, sf_dir)
+    primary, secondary = inputs.two_engines(spark, sf_dir, bounded=True)
     pages = inputs.token_pages(spark, sf_dir)
     tasks = inputs.token_tasks(spark, sf_dir)
     return _document_columns(documents_from_tokens(primary, secondary, pages, tasks=tasks))

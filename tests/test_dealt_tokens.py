@@ -53,5 +53,5 @@ def test_text_that_a_task_takes_apart_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(inputs, "TOKENIZED_BYTES", 100_000)
     folder = "/root/testdata/sf0.01"
     size = inputs.table(spark, folder, "documents").agg(F.sum(F.octet_length("text"))).first()[0]
-    tokens = inputs.word_tokens(spark, folder)
-    assert tokens.rdd.getNumPartitions() == math.ceil(size / 100_000) > 8
+    for tokens in inputs.two_engines(spark, folder, bounded=True):
+        assert tokens.rdd.getNumPartitions() == math.ceil(size / 100_000) > 8
